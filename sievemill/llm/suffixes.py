@@ -5,8 +5,8 @@ keep every group bounded and every shuffle small; documents are dealt to groups
 compressed.
 
 1. Anchors. A window's anchor is the smallest hash of the 32-byte strings in it, so equal windows have equal anchors.
-   Each group sends its distinct anchors (five bytes each, by bucket of the hash); a bucket answers each group with one
-   bit per anchor: whether another document has it. Windows of unshared anchors are unique, which settles most of a
+   Each group sends its distinct anchors (five bytes each, by bucket of the hash); a bucket answers each group with
+   those that another document has too. Windows of unshared anchors are unique, which settles most of a
    corpus.
 2. Snippets. The other windows are cut into runs with a common 16-byte minimum and sent, each distinct run of a group
    once with the smallest doc_id that has it, to the bucket of that minimum; equal windows meet there.
@@ -66,19 +66,21 @@ def _sliding_minimum(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (w - width)], h[w - width :]) if w > width else h
 
 
-def window_hashes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every window of ``x``: its anchor, its seed (smallest 16-byte hash) and a hash of all of it."""
+def window_hashes(x: np.ndarray, seeds: bool = True) -> tuple[np.ndarray, ...]:
+    """For every window of ``x``: its anchor, and (unless only that is asked for) its seed, the smallest 16-byte hash,
+    and a hash of all of it."""
     h1 = _BYTE[x]
     h2 = _joined(h1, h1, 1, 1)
     h4 = _joined(h2, h2, 2, 2)
     h8 = _joined(h4, h4, 4, 4)
     h16 = _joined(h8, h8, 8, 8)
     h32 = _joined(h16, h16, 16, 16)
-    whole = _joined(_joined(h32, h16, 32, 16), h2, 48, 2)
     # minima are small numbers; the factors spread them over all buckets again
     anchor = _sliding_minimum(_mixed(h32), WINDOW - _ANCHOR + 1) * _SPREAD
+    if not seeds:
+        return (anchor,)
     seed = _sliding_minimum(_mixed(h16), WINDOW - _SEED + 1) * _SPREAD
-    return anchor, seed, whole
+    return anchor, seed, _joined(_joined(h32, h16, 32, 16), h2, 48, 2)
 
 
 # -- groups of documents -------------------------------------------------------------------------------------------
@@ -103,8 +105,17 @@ class Group:
         self.known, self.x, self.extras = join(known, bool), join(texts, np.uint8), extras
         self.at = np.cumsum(self.sizes) - self.sizes
 
-    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Start (in x), document number, anchor, seed and hash of all windows, a bounded number at a time."""
+    def only(self, chosen: np.ndarray) -> Group:
+        """The chosen documents; ``origin``: where each began in this group."""
+        part = object.__new__(Group)
+        part.ids, part.sizes, part.known = self.ids[chosen], self.sizes[chosen], self.known[chosen]
+        part.x = np.concatenate([self.x[a : a + n] for a, n in zip(self.at[chosen], part.sizes)] or [self.x[:0]])
+        part.at = np.cumsum(part.sizes) - part.sizes
+        part.extras, part.origin = [], self.at[chosen]
+        return part
+
+    def chunks(self, seeds: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
+        """Start (in x), document number and hashes of all windows, a bounded number at a time."""
         first = 0
         n = len(self.ids)
         while first < n:
@@ -116,14 +127,15 @@ class Group:
                 b = min(a + _CHUNK + WINDOW - 1, hi)
                 if b - a < WINDOW:
                     continue
-                anchor, seed, whole = window_hashes(self.x[a:b])
-                starts = np.arange(a, a + len(whole))
+                hashes = window_hashes(self.x[a:b], seeds)
+                n_windows = b - a - WINDOW + 1
+                starts = np.arange(a, a + n_windows)
                 if last - first == 1:
-                    doc = np.full(len(whole), first)
+                    doc = np.full(n_windows, first)
                 else:
-                    doc = np.repeat(np.arange(first, last), self.sizes[first:last])[a - lo : a - lo + len(whole)]
+                    doc = np.repeat(np.arange(first, last), self.sizes[first:last])[a - lo : a - lo + n_windows]
                 ok = (starts + WINDOW <= (self.at + self.sizes)[doc]) & self.known[doc]
-                yield starts[ok], doc[ok], anchor[ok], seed[ok], whole[ok]
+                yield starts[ok], doc[ok], *(h[ok] for h in hashes)
             first = last
 
 
@@ -150,7 +162,7 @@ def _slices(bucket: np.ndarray, buckets: int) -> np.ndarray:
 def anchors_of(group: Group) -> tuple[np.ndarray, np.ndarray]:
     """A group's distinct anchors in order, and whether two documents have each."""
     values, owners = [], []
-    for _, doc, anchor, _, _ in group.chunks():
+    for _, doc, anchor in group.chunks(seeds=False):
         if len(anchor):
             new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
             values.append(anchor[new])
@@ -164,19 +176,34 @@ def anchors_of(group: Group) -> tuple[np.ndarray, np.ndarray]:
     return value[start], np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start)
 
 
-def shared_anchors(shards: list[tuple[bytes, bytes]]) -> list[np.ndarray]:
-    """For each group's (five-byte anchors, bits: in two of its documents): which anchors another document has too."""
+def _short(value: np.ndarray) -> bytes:
+    """Five bytes of each hash; the bucket has what they lack."""
+    return value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unshort(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return wide.view("<u8")[:, 0]
+
+
+def shared_anchors(shards: list[tuple[bytes, bytes]]) -> list[bytes]:
+    """For each group's (five-byte anchors, bits: in two of its documents): the anchors that another document has too."""
     sizes = [len(v) // 5 for v, _ in shards]
-    wide = np.zeros((sum(sizes), 8), np.uint8)
-    wide[:, :5] = np.frombuffer(b"".join(v for v, _ in shards), np.uint8).reshape(-1, 5)
-    value = wide.view("<u8")[:, 0]
+    value = _unshort(b"".join(v for v, _ in shards))
     twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for n, (_, b) in zip(sizes, shards)])
     order = np.argsort(value, kind="stable")
-    run = np.cumsum(np.concatenate([[False], value[order][1:] != value[order][:-1]]))
+    new = np.concatenate([[True], value[order][1:] != value[order][:-1]])
     of = np.empty(len(value), np.int64)
-    of[order] = run
-    shared = (np.bincount(of) > 1) | (np.bincount(of, twice) > 0)
-    return np.split(shared[of], np.cumsum(sizes)[:-1])
+    of[order] = np.cumsum(new) - 1
+    shared = ((np.bincount(of) > 1) | (np.bincount(of, twice) > 0))[of]
+    edges = np.cumsum([0, *sizes])
+    return [_short(value[a:b][shared[a:b]]) for a, b in zip(edges, edges[1:])]
+
+
+def _place(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    """What an anchor is told by: its bucket and its five bytes."""
+    return _bucket(anchor, buckets) << 40 | (anchor & np.uint64((1 << 40) - 1)).astype(np.int64)
 
 
 # -- step 2: snippets ------------------------------------------------------------------------------------------------
@@ -188,14 +215,27 @@ class Snippets:
     ``run_of``, ``start``, ``count``, ``doc``: all runs and the distinct run each is; ``first``: a run for each distinct.
     """
 
-    def __init__(self, group: Group, anchors: np.ndarray, shared: np.ndarray, buckets: int):
+    def __init__(self, whole_group: Group, shared: np.ndarray, buckets: int):
+        """``shared``: places of the anchors that another document has too, sorted."""
         starts, counts, docs, keys, seeds = [], [], [], [], []
-        kept = anchors[shared]
+        hit_docs = np.zeros(len(whole_group.ids), bool)
+
+        def hits(doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+            """Windows with shared anchors; neighbours with one anchor are looked up once."""
+            if not len(anchor) or not len(shared):
+                return np.zeros(len(anchor), bool)
+            begin = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
+            place = _place(anchor[begin], buckets)
+            at = np.searchsorted(shared, place).clip(max=len(shared) - 1)
+            return np.repeat(shared[at] == place, np.diff(np.append(begin, len(anchor))))
+
+        for _, doc, anchor in whole_group.chunks(seeds=False):
+            hit_docs[doc[hits(doc, anchor)]] = True
+        number = np.flatnonzero(hit_docs)
+        group = whole_group.only(number)
+        shift = group.origin - group.at
         for start, doc, anchor, seed, whole in group.chunks():
-            if not len(kept):
-                break
-            at = np.searchsorted(kept, anchor).clip(max=len(kept) - 1)
-            hit = np.flatnonzero(kept[at] == anchor)
+            hit = np.flatnonzero(hits(doc, anchor))
             if not len(hit):
                 continue
             s, d, m, w = start[hit], doc[hit], seed[hit], whole[hit]
@@ -204,14 +244,15 @@ class Snippets:
             place = np.arange(len(s)) - np.repeat(begin, np.diff(np.append(begin, len(s))))
             begin = np.flatnonzero(place % _RUN == 0)
             end = np.append(begin[1:], len(s)) - 1
-            starts.append(s[begin])
+            starts.append(s[begin] + shift[d[begin]])
             counts.append(end - begin + 1)
-            docs.append(d[begin])
+            docs.append(number[d[begin]])
             seeds.append(m[begin])
             keys.append(_mixed(w[begin]) * np.uint64(3) + _mixed(w[end] + (end - begin).astype(np.uint64)))
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.start, self.count, self.doc = join(starts, np.int64), join(counts, np.int64), join(docs, np.int64)
-        key, bucket = join(keys, np.uint64), _bucket(join(seeds, np.uint64), buckets)
+        key, self.seed = join(keys, np.uint64), join(seeds, np.uint64)
+        bucket = _bucket(self.seed, buckets)
         order = np.lexsort((key, bucket))
         new = np.ones(len(order), bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
@@ -220,7 +261,7 @@ class Snippets:
         self.first = order[new]
         self.bucket = bucket[self.first]
         self.owner = np.full(len(self.first), np.iinfo(np.int64).max)
-        np.minimum.at(self.owner, self.run_of, group.ids[self.doc])
+        np.minimum.at(self.owner, self.run_of, whole_group.ids[self.doc])
 
     def rows(self, group: Group, buckets: int) -> Iterator[tuple[int, bytes]]:
         """Each bucket's snippets: their number, starts, smallest doc_ids and bytes."""
@@ -230,7 +271,7 @@ class Snippets:
             start, count = self.start[first], self.count[first]
             size = count + WINDOW - 1
             index = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            raw = count.astype(np.uint8).tobytes() + self.owner[cut[b] : cut[b + 1]].astype("<i8").tobytes() + group.x[index].tobytes()
+            raw = count.astype(np.uint8).tobytes() + self.owner[cut[b] : cut[b + 1]].astype("<i8").tobytes() + _short(self.seed[first]) + group.x[index].tobytes()
             yield int(b), len(first).to_bytes(8, "little") + zstandard.compress(raw, 1)
 
 
@@ -316,48 +357,56 @@ def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
 def repeated_windows(shards: list[bytes], shard_bytes: int = 1 << 20) -> list[np.ndarray]:
     """For each group's snippets, whether each window also starts in a document with a smaller doc_id than its owner.
 
-    Snippets that several groups sent are one string here, owned by the smallest doc_id; the distinct ones are dealt to
-    shards of about ``shard_bytes``, whose transforms are merged.
+    Snippets that several groups sent are one string here, owned by the smallest doc_id. Equal windows have equal seeds,
+    so a distinct snippet alone with its seed shares no window; the others are dealt to shards of about ``shard_bytes``,
+    whose transforms are merged.
     """
-    counts, owners, texts = [], [], []
+    counts, owners, seeds, texts = [], [], [], []
     for blob in shards:
         n = int.from_bytes(blob[:8], "little")
         raw = zstandard.decompress(blob[8:])
         counts.append(np.frombuffer(raw, np.uint8, n).astype(np.int64))
         owners.append(np.frombuffer(raw, "<i8", n, n))
-        texts.append(np.frombuffer(raw, np.uint8, -1, 9 * n))
-    count, owner, data = (np.concatenate(x) for x in (counts, owners, texts))
+        seeds.append(_unshort(raw[9 * n : 14 * n]))
+        texts.append(np.frombuffer(raw, np.uint8, -1, 14 * n))
+    count, owner, seed, data = (np.concatenate(x) for x in (counts, owners, seeds, texts))
     size = count + WINDOW - 1
     begin = np.cumsum(size) - size
     whole = data.tobytes()
     number: dict[bytes, int] = {}
     of = np.fromiter((number.setdefault(whole[a:b], len(number)) for a, b in zip(begin.tolist(), (begin + size).tolist())), np.int64, len(size))
+    del whole
     first = np.full(len(number), -1)
     first[of[::-1]] = np.arange(len(of))[::-1]
-    least = np.full(len(number), np.iinfo(np.int64).max)
+    number.clear()
+    least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, of, owner)
-    size_1, count_1 = size[first], count[first]
-    shard_of = (np.cumsum(size_1) - size_1) // shard_bytes
-    edges = np.append(np.flatnonzero(np.concatenate([[True], shard_of[1:] != shard_of[:-1]])), len(first))
-    built = []
-    for a, b in zip(edges, edges[1:]):
-        n = size_1[a:b]
-        index = np.repeat(begin[first[a:b]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        built.append(Shard(n, data[index]))
-    merged, block = merge_transforms([s.bwt for s in built], WINDOW)
-    # by place in the concatenated transforms: the snippet, the window in it, and whether a whole window starts there
-    string, place = [], []
-    for shard, a in zip(built, edges):
-        string.append(shard.string[shard.order] + a)
-        place.append(shard.order - shard.begin[shard.string[shard.order]])
-    string, place = np.concatenate(string)[merged], np.concatenate(place)[merged]
-    valid = place < count_1[string]
-    string, place, block = string[valid], place[valid], block[valid]
-    lowest = np.full(int(block[-1]) + 1 if len(block) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(lowest, block, least[string])
+    count_1 = count[first]
     offset = np.cumsum(count_1) - count_1
     hit = np.zeros(int(count_1.sum()), bool)
-    hit[offset[string] + place] = lowest[block] < least[string]
+    _, same, crowd = np.unique(seed[first], return_inverse=True, return_counts=True)
+    chosen = np.flatnonzero(crowd[same] > 1)
+    if len(chosen):
+        size_2 = size[first[chosen]]
+        shard_of = (np.cumsum(size_2) - size_2) // shard_bytes
+        edges = np.append(np.flatnonzero(np.concatenate([[True], shard_of[1:] != shard_of[:-1]])), len(chosen))
+        built = []
+        for a, b in zip(edges, edges[1:]):
+            n = size_2[a:b]
+            index = np.repeat(begin[first[chosen[a:b]]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            built.append(Shard(n, data[index]))
+        merged, block = merge_transforms([s.bwt for s in built], WINDOW)
+        # by place in the concatenated transforms: the snippet, the window in it, and whether a whole window starts there
+        string, place = [], []
+        for shard, a in zip(built, edges):
+            string.append(shard.string[shard.order] + a)
+            place.append(shard.order - shard.begin[shard.string[shard.order]])
+        string, place = chosen[np.concatenate(string)[merged]], np.concatenate(place)[merged]
+        valid = place < count_1[string]
+        string, place, block = string[valid], place[valid], block[valid]
+        lowest = np.full(int(block[-1]) + 1 if len(block) else 0, np.iinfo(np.int64).max)
+        np.minimum.at(lowest, block, least[string])
+        hit[offset[string] + place] = lowest[block] < least[string]
     # each group's windows: all of them if another group's owner of the same snippet is smaller
     within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     bits = hit[np.repeat(offset[of], count) + within] | np.repeat(owner > least[of], count)
@@ -374,10 +423,14 @@ def covered(group: Group, snippets: Snippets, hits: np.ndarray) -> np.ndarray:
         n = snippets.count[snippets.first]
         offset = np.cumsum(n) - n
         later = group.ids[snippets.doc] > snippets.owner[snippets.run_of]
-        count = snippets.count
+        some = np.add.reduceat(hits, offset) > 0 if len(hits) else np.zeros(len(n), bool)
+        np.add.at(change, snippets.start[later], 1)
+        np.add.at(change, snippets.start[later] + snippets.count[later] - 1 + WINDOW, -1)
+        rest = np.flatnonzero(~later & some[snippets.run_of])
+        count = snippets.count[rest]
         within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        bit = hits[np.repeat(offset[snippets.run_of], count) + within] | np.repeat(later, count)
-        start = (np.repeat(snippets.start, count) + within)[bit]
+        bit = hits[np.repeat(offset[snippets.run_of[rest]], count) + within]
+        start = (np.repeat(snippets.start[rest], count) + within)[bit]
         np.add.at(change, start, 1)
         np.add.at(change, start + WINDOW, -1)
     return np.cumsum(change[:-1]) > 0
@@ -392,9 +445,10 @@ def _bits(column: list, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shared_of(answers: pa.Table, anchors: np.ndarray, buckets: int) -> np.ndarray:
-    rows = [(b, raw) for step, b, raw in zip(*(answers.column(n).to_pylist() for n in ("step", "b", "bits"))) if step == 1]
-    return _bits(rows, _slices(_bucket(anchors, buckets), buckets))
+def _shared_of(answers: pa.Table) -> np.ndarray:
+    """Places of a group's shared anchors, from the answers of step 1."""
+    parts = [b << 40 | _unshort(raw).astype(np.int64) for step, b, raw in zip(*(answers.column(n).to_pylist() for n in ("step", "b", "bits"))) if step == 1]
+    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
 
 
 _TO_BUCKET = pa.schema([("b", pa.int64()), ("p", pa.int64()), ("data", pa.binary()), ("more", pa.binary())])
@@ -448,15 +502,15 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, group_bytes: int = 16 <
         p = got.column("p")[0].as_py()
         cut = _slices(_bucket(value, buckets), buckets)
         rows = [
-            (int(b), p, value[cut[b] : cut[b + 1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), np.packbits(twice[cut[b] : cut[b + 1]]).tobytes())
+            (int(b), p, _short(value[cut[b] : cut[b + 1]]), np.packbits(twice[cut[b] : cut[b + 1]]).tobytes())
             for b in np.flatnonzero(np.diff(cut))
         ]
         return _table(rows, _TO_BUCKET)
 
-    def answer(step: int, solve: Callable[[pa.Table], list[np.ndarray]]) -> Callable[[pa.Table], pa.Table]:
+    def answer(step: int, solve: Callable[[pa.Table], list[bytes]]) -> Callable[[pa.Table], pa.Table]:
         def run(got: pa.Table) -> pa.Table:
             bits = solve(got)
-            return _table([(p, step, b, np.packbits(x).tobytes()) for p, b, x in zip(got.column("p").to_pylist(), got.column("b").to_pylist(), bits)], _TO_GROUP)
+            return _table([(p, step, b, x) for p, b, x in zip(got.column("p").to_pylist(), got.column("b").to_pylist(), bits)], _TO_GROUP)
 
         return run
 
@@ -464,8 +518,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, group_bytes: int = 16 <
         if not docs.num_rows:
             return _table([], _TO_BUCKET)
         group = Group(docs.column("blob").to_pylist())
-        anchors, _ = anchors_of(group)
-        snippets = Snippets(group, anchors, _shared_of(answers, anchors, buckets), buckets)
+        snippets = Snippets(group, _shared_of(answers), buckets)
         p = docs.column("p")[0].as_py()
         return _table([(b, p, blob, b"") for b, blob in snippets.rows(group, buckets)], _TO_BUCKET)
 
@@ -477,8 +530,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, group_bytes: int = 16 <
         if not docs.num_rows:
             return _table([], schema)
         group = Group(docs.column("blob").to_pylist())
-        anchors, _ = anchors_of(group)
-        snippets = Snippets(group, anchors, _shared_of(answers, anchors, buckets), buckets)
+        snippets = Snippets(group, _shared_of(answers), buckets)
         counts = snippets.count[snippets.first]
         edge = np.concatenate([[0], np.cumsum(counts)])[_slices(snippets.bucket, buckets)]
         hits = _bits([(b, raw) for step, b, raw in zip(*(answers.column(n).to_pylist() for n in ("step", "b", "bits"))) if step == 2], edge)
@@ -497,7 +549,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, group_bytes: int = 16 <
     solve_one = lambda got: shared_anchors(list(zip(got.column("data").to_pylist(), got.column("more").to_pylist())))
     first = checkpoint(spark, sent.groupBy("b").applyInArrow(answer(1, solve_one), to_group))
     snippets = grouped().cogroup(first.groupBy("p")).applyInArrow(send_snippets, to_bucket)
-    solve_two = lambda got: repeated_windows(got.column("data").to_pylist())
+    solve_two = lambda got: [np.packbits(x).tobytes() for x in repeated_windows(got.column("data").to_pylist())]
     second = checkpoint(spark, snippets.groupBy("b").applyInArrow(answer(2, solve_two), to_group))
     both = first.unionByName(second)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, extra string" * keep_text
