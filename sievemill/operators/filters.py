@@ -55,7 +55,7 @@ def detected_presets(dependencies: DataFrame, environment: Iterable[str] = ()) -
     hints = [(i, p, h[:-1] + "%" if h.endswith("*") else h, h.endswith("*")) for i, p in enumerate(PRESETS) for h in PACKAGES[p]]
     spark = dependencies.sparkSession
     table = F.broadcast(spark.createDataFrame(hints, "ordinal int, preset string, hint string, prefix boolean"))
-    match = F.when(table["prefix"], dependencies["name"].like(table["hint"])).otherwise(dependencies["name"] == table["hint"])
+    match = F.when(table["prefix"], F.like(dependencies["name"], table["hint"])).otherwise(dependencies["name"] == table["hint"])
     found = dependencies.join(table, match).select("ordinal", "preset")
     by_env = [(i, p) for i, p in enumerate(PRESETS) if set(ENVIRONMENT.get(p, ())) & set(environment)]
     if by_env:

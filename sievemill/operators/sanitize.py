@@ -55,7 +55,7 @@ def _safe(value: Any, depth: int = 0) -> Any:
     return value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def safe_json(values: pd.Series) -> pd.Series:
     """JSON values of no fixed type, sanitised at every depth; what is not JSON becomes null."""
 

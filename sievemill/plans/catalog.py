@@ -5,6 +5,415 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from sievemill.functions import errors as E
+from sievemill.functions import paths as P
+from sievemill.functions import text as T
+from sievemill.operators import attempts, buffers, dedup, filters, report, sanitize, truncate, validate
+from sievemill.sources import events as S
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function as a query under its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.attempts_of_events(S.table(spark, sf_dir, "events"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "documents").select(F.col("source").alias("entity"), F.col("doc_id").alias("seq"), F.col("lang").alias("level"), F.col("text").alias("message"))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.when(F.col("role") == "system", "info").when(F.col("role") == "user", "warn").otherwise("log")
+    return S.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("entity"), F.col("turn").alias("seq"), level.alias("level"), F.col("text").alias("message"))
+
+
+_STATUS = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'passed' WHEN 'signup' THEN 'skipped' END"
+_ATTEMPTS = f"WITH a AS (SELECT user_id entity, event_id seq, {_STATUS} status, coalesce(value, 0) duration, ts AS at FROM events WHERE event_type IN ('error','purchase','signup')), f AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY seq) attempt FROM a WHERE status <> 'skipped'), k AS (SELECT entity, count(*) total_attempts, count(*) FILTER (status = 'failed') failed_attempts, count(*) FILTER (status = 'failed') > 0 AND max_by(status, seq) = 'passed' is_flaky, min(attempt) FILTER (status = 'passed') success_attempt FROM f GROUP BY entity) "
+
+
+# -- attempts and summaries --------------------------------------------------------------------------------------------
+
+
+@query(_ATTEMPTS + "SELECT (SELECT count(*) FROM a) total, (SELECT count(*) FROM a WHERE status='passed') passed, (SELECT count(*) FROM a WHERE status='failed') failed, (SELECT count(*) FROM a WHERE status='skipped') skipped, (SELECT round(sum(duration), 3) FROM a) duration, (SELECT count(*) FROM k WHERE is_flaky) flaky, (SELECT count(*) FROM k WHERE total_attempts > 1) retried")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.summary(_attempts(spark, sf_dir)).withColumn("duration", F.round("duration", 3))
+
+
+@query(_ATTEMPTS + "SELECT status, count(*) n, round(sum(duration), 3) duration FROM a GROUP BY status")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _attempts(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("duration"), 3).alias("duration"))
+
+
+@query(_ATTEMPTS + "SELECT entity, seq, status, attempt, min(seq) OVER (PARTITION BY entity) first_seq FROM f")
+def attempt_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempts.numbered(_attempts(spark, sf_dir)).select("entity", "seq", "status", F.col("attempt").cast("long"), "first_seq")
+
+
+@query(_ATTEMPTS + "SELECT entity, count(*) attempts, string_agg(status, ',' ORDER BY seq) statuses FROM f GROUP BY entity")
+def attempt_history_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempts.histories(_attempts(spark, sf_dir)).select("entity", F.size("attempts").cast("long").alias("attempts"), F.array_join(F.col("attempts.status"), ",").alias("statuses"))
+
+
+@query(_ATTEMPTS + "SELECT * FROM k WHERE total_attempts > 1")
+def flaky_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempts.retry_info(_attempts(spark, sf_dir)).withColumn("success_attempt", F.col("success_attempt").cast("long"))
+
+
+@query(_ATTEMPTS + "SELECT entity, seq, status FROM (SELECT *, lead(status) OVER (PARTITION BY entity ORDER BY seq) nxt FROM f) WHERE NOT (status = 'failed' AND coalesce(nxt, '') = 'passed')")
+def supersede_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempts.superseded(_attempts(spark, sf_dir)).select("entity", "seq", "status")
+
+
+@query(_ATTEMPTS + "SELECT entity, seq, status FROM f WHERE status = 'passed' OR NOT EXISTS (SELECT 1 FROM f g WHERE g.entity = f.entity AND g.status = 'passed' AND g.seq > f.seq)")
+def supersede_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempts.superseded(_attempts(spark, sf_dir), clean=True).select("entity", "seq", "status")
+
+
+@query("SELECT user_id, min(ts) start_time, max(ts) end_time, epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 duration_ms FROM events GROUP BY user_id")
+def module_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempts.spans(S.table(spark, sf_dir, "events"), "user_id", "ts")
+
+
+@query("SELECT state, count(*) n FROM (SELECT user_id, max_by(event_type, event_id) state FROM events GROUP BY user_id) GROUP BY state")
+def module_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempts.snapshot(S.table(spark, sf_dir, "events").withColumnRenamed("event_type", "state"), "user_id", "state", "event_id")
+
+
+@query(_ATTEMPTS + "SELECT 'attempt' AS section, entity, seq FROM a WHERE status = 'failed' UNION ALL SELECT 'unhandled', user_id, event_id FROM events WHERE event_type = 'view' AND value > 400 UNION ALL SELECT 'module', NULL, o_orderkey FROM orders WHERE o_totalprice > 400000")
+def union_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = _attempts(spark, sf_dir).filter("status = 'failed'").select(F.lit("attempt").alias("section"), "entity", "seq")
+    unhandled = S.table(spark, sf_dir, "events").filter("event_type = 'view' AND value > 400").select(F.lit("unhandled").alias("section"), F.col("user_id").alias("entity"), F.col("event_id").alias("seq"))
+    module = S.table(spark, sf_dir, "orders").filter("o_totalprice > 400000").select(F.lit("module").alias("section"), F.lit(None).cast("long").alias("entity"), F.col("o_orderkey").alias("seq"))
+    return failed.unionByName(unhandled).unionByName(module)
+
+
+@query(_ATTEMPTS + "SELECT entity, seq, duration FROM a WHERE status = 'failed' ORDER BY seq LIMIT 5")
+def first_n_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return buffers.first_n(_attempts(spark, sf_dir).filter("status = 'failed'").select("entity", "seq", "duration"), 5, "seq")
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 100")
+def recent_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return buffers.recent_n(S.table(spark, sf_dir, "events").select("event_id", "ts"), 100, "ts", "event_id")
+
+
+@query("SELECT event_type, count(*) n, round(avg(value), 6) average, round(count(*) FILTER (value > 50) * 1.0 / count(*), 6) hit_rate FROM events GROUP BY event_type")
+def monitoring_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = S.table(spark, sf_dir, "events").groupBy("event_type")
+    return e.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("average"), F.round(F.try_divide(F.count_if(F.col("value") > 50), F.count("*")), 6).alias("hit_rate"))
+
+
+@query("SELECT n_nationkey, r_name || ' > ' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey")
+def suite_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region = S.table(spark, sf_dir, "region").select((F.col("r_regionkey") + 1000).cast("long").alias("id"), F.lit(None).cast("long").alias("parent"), F.col("r_name").alias("name"))
+    nation = S.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_regionkey") + 1000).cast("long").alias("parent"), F.col("n_name").alias("name"))
+    paths = report.suite_paths(region.unionByName(nation), depth=3).filter("id < 1000")
+    return paths.select(F.col("id").cast("int").alias("n_nationkey"), F.array_join("path", " > ").alias("path"))
+
+
+@query()
+def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _attempts(spark, sf_dir)
+    named = rows.select("entity", "seq", "status", "duration", F.concat(F.lit("test "), F.col("entity").cast("string")).alias("name"), F.lit("src/app.test.ts").alias("file"))
+    return report.document(named, report.summary(rows), report.View(passed=True))
+
+
+# -- text --------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) tokens FROM documents")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT source, CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) tokens, count(*) texts FROM documents GROUP BY source")
+def token_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(T.estimate_tokens(F.col("text"))).alias("tokens"), F.count("*").alias("texts"))
+
+
+@query("SELECT doc_id FROM documents WHERE ceil(length(text) / 4.0) > 1000")
+def over_token_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "documents").filter(T.exceeds_tokens(F.col("text"), 1000)).select("doc_id")
+
+
+_SQL_NORM = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\x1B\[[0-9;]*m', '', 'g'), '\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}:\d{{2}}(\.\d{{3}})?Z?', '', 'g'), '\d{{4}}-\d{{2}}-\d{{2}}\s+\d{{2}}:\d{{2}}:\d{{2}}', '', 'g'), '(\b(?:timestamp|time(?:stamp)?|epoch|unix(?:_timestamp)?)[:=]?\s*)\d{{10}}(?:\d{{3}})?\b', '\1', 'gi'), '\[\s*\d{{10}}(?:\d{{3}})?\s*\]', '[]', 'g'), '\(\s*\d{{10}}(?:\d{{3}})?\s*\)', '()', 'g')"""
+
+
+def _sql_normal(column: str) -> str:
+    inner = _SQL_NORM.format(column)
+    return rf"lower(CASE WHEN regexp_matches({inner}, '\s{{2}}') THEN trim(regexp_replace({inner}, '\s+', ' ', 'g')) ELSE {inner} END)"
+
+
+@query(f"SELECT doc_id, md5({_sql_normal('text')}) norm FROM documents")
+def normalize_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_message(F.col("text"))).alias("norm"))
+
+
+@query("SELECT conv_id, turn, lower(to_base(list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(text, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (h * 33 + c) & 4294967295), 36)) AS hash FROM conversations WHERE text <> '' UNION ALL SELECT conv_id, turn, '45h' FROM conversations WHERE text = ''")
+def djb2_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", T.djb2(F.col("text")).alias("hash"))
+
+
+_SQL_CUT = "substr(text, 1, 270)"
+_SQL_EDGE = f"greatest(CASE WHEN instr(reverse({_SQL_CUT}), ' ') = 0 THEN -1 ELSE 270 - instr(reverse({_SQL_CUT}), ' ') END, CASE WHEN instr(reverse({_SQL_CUT}), chr(10)) = 0 THEN -1 ELSE 270 - instr(reverse({_SQL_CUT}), chr(10)) END, CASE WHEN instr(reverse({_SQL_CUT}), '.') = 0 THEN -1 ELSE 270 - instr(reverse({_SQL_CUT}), '.') END, CASE WHEN instr(reverse({_SQL_CUT}), ',') = 0 THEN -1 ELSE 270 - instr(reverse({_SQL_CUT}), ',') END)"
+
+
+@query(f"SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN {_SQL_EDGE} > 216 THEN substr(text, 1, {_SQL_EDGE} + 1) ELSE {_SQL_CUT} END trimmed FROM documents")
+def safe_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "documents").select("doc_id", T.safe_trim(F.col("text"), 300).alias("trimmed"))
+
+
+@query(r"""SELECT page_id, replace(replace(replace(replace(replace(replace(replace(html, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t'), chr(12), '\f'), chr(8), '\b') AS escaped FROM pages""")
+def json_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "pages").select("page_id", T.json_escape(F.col("html")).alias("escaped"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 1000 THEN substr(text, 1, 1000) || '... [truncated]' ELSE text END AS shown FROM conversations")
+def console_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.console_argument(F.col("text")).alias("shown"))
+
+
+@query(r"SELECT doc_id, count(*) FILTER (regexp_matches(line, '^(FAIL|FAILED|✖|✗|×)|^\s*(Expected|Received|Actual|Assert)|^[A-Z]\w*Error:|^(Error|TypeError|ReferenceError|SyntaxError|RangeError|AssertionError):')) error_lines, count(*) FILTER (contains(lower(line), 'error') OR contains(lower(line), 'test') OR contains(lower(line), 'it(') OR contains(lower(line), 'must') OR contains(lower(line), 'bug') OR contains(lower(line), 'fail') OR contains(lower(line), 'failure') OR contains(lower(line), 'exception') OR contains(lower(line), 'throw') OR contains(lower(line), 'crash') OR contains(lower(line), 'fatal') OR contains(lower(line), 'assert') OR contains(lower(line), 'expect') OR contains(lower(line), 'should') OR contains(lower(line), 'require') OR contains(lower(line), 'describe') OR contains(lower(line), 'spec') OR contains(lower(line), 'scenario') OR contains(lower(line), 'warning') OR contains(lower(line), 'critical') OR contains(lower(line), 'important') OR contains(lower(line), 'issue') OR contains(lower(line), 'problem')) key_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) line FROM documents) GROUP BY doc_id")
+def line_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = S.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count_if(T.is_error_line(F.col("line"))).alias("error_lines"), F.count_if(T.has_keyword(F.col("line"))).alias("key_lines"))
+
+
+@query()
+def fair_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = S.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return turns.select("conv_id", T.fair_caps(F.col("t.text"), 600).alias("capped"))
+
+
+# -- deduplication -----------------------------------------------------------------------------------------------------
+
+_KEYED = f"WITH m AS (SELECT source entity, doc_id seq, lang AS level, text AS message, {_sql_normal('text')} norm FROM documents) "
+
+
+@query(_KEYED + "SELECT min(seq) seq, count(*) copies, max(seq) last_seq, count(*) > 1 deduplicated FROM m GROUP BY level, norm")
+def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.first_of_each(_documents(spark, sf_dir)).select("seq", "copies", "last_seq", "deduplicated")
+
+
+@query(_KEYED + "SELECT level, md5(norm) norm, min(seq) first_seq, max(seq) last_seq, count(*) copies, count(DISTINCT entity) n_sources FROM m GROUP BY level, norm")
+def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.groups(_documents(spark, sf_dir)).select("level", F.md5("norm").alias("norm"), "first_seq", "last_seq", "copies", F.size("sources").cast("long").alias("n_sources"))
+
+
+@query(_KEYED + "SELECT CAST(sum(c) AS BIGINT) total_logs, count(*) unique_logs, CAST(sum(c) AS BIGINT) - count(*) duplicates_removed FROM (SELECT count(*) c FROM m GROUP BY level, norm)")
+def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.statistics(_documents(spark, sf_dir))
+
+
+@query(_KEYED + "SELECT entity, level, md5(norm) norm, min(seq) first_seq, count(*) copies FROM m GROUP BY entity, level, norm")
+def dedup_per_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup.groups(_documents(spark, sf_dir), dedup.Dedup(scope="per-test"))
+    return found.select(F.col("scope_key").alias("entity"), "level", F.md5("norm").alias("norm"), "first_seq", "copies")
+
+
+@query(_KEYED + "SELECT seq, count(*) OVER (PARTITION BY level, norm) copies, min(seq) OVER (PARTITION BY level, norm) first_seq, seq = min(seq) OVER (PARTITION BY level, norm) is_first FROM m")
+def dedup_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.annotated(_documents(spark, sf_dir)).select("seq", "copies", "first_seq", "is_first")
+
+
+@query()
+def lru_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.first_of_each(_documents(spark, sf_dir), dedup.Dedup(max_entries=100)).select("seq", "copies", "last_seq")
+
+
+@query()
+def merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _turns(spark, sf_dir).withColumn("ts", (F.col("seq") * 3).cast("long"))
+    merged = dedup.merged_sources(turns.filter("level = 'log'"), turns.filter("level <> 'log'"), "entity")
+    return merged.select("entity", F.size("events").alias("n"), F.col("events.seq").alias("seqs"))
+
+
+# -- buffers and filters -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT entity, seq FROM (SELECT conv_id entity, turn seq, sum(octet_length(encode(text))) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) used, row_number() OVER (PARTITION BY conv_id ORDER BY turn) n FROM conversations) WHERE used <= 800 AND n <= 4")
+def buffer_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return buffers.bounded(_turns(spark, sf_dir), max_bytes=800, max_lines=4).select("entity", "seq")
+
+
+_LEVELED = "WITH m AS (SELECT conv_id entity, turn seq, CASE role WHEN 'system' THEN 'info' WHEN 'user' THEN 'warn' ELSE 'log' END AS level FROM conversations) "
+
+
+@query(_LEVELED + "SELECT entity, seq, level FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY seq) k FROM (SELECT *, row_number() OVER (PARTITION BY entity, level ORDER BY seq) n FROM m) WHERE n <= CASE level WHEN 'info' THEN 1 WHEN 'warn' THEN 1 ELSE 3 END) WHERE k <= 15")
+def level_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return buffers.level_capped(_turns(spark, sf_dir), buffers.pass_caps(3)).select("entity", "seq", "level")
+
+
+@query("SELECT doc_id, count(*) n_lines, count(*) FILTER (regexp_matches(line, '(?i)^licensed under|all rights reserved')) n_suppressed FROM (SELECT doc_id, unnest(string_split(text, chr(10))) line FROM documents) GROUP BY doc_id")
+def line_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = S.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    hit = filters.suppressed(F.col("line"), [r"(?i)^licensed under", r"(?i)all rights reserved", "(broken"])
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(hit).alias("n_suppressed"))
+
+
+@query(r"SELECT page_id, count(*) FILTER (NOT regexp_matches(line, '(?i)(?:Express|Server) listening (?:on|at)') AND NOT regexp_matches(line, '^Remix App Server|^💿')) AS kept FROM (SELECT page_id, unnest(string_split(html, chr(10))) line FROM pages) GROUP BY page_id")
+def preset_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = S.table(spark, sf_dir, "pages").select("page_id", F.explode(F.split("html", "\n")).alias("line"))
+    return lines.groupBy("page_id").agg(F.count_if(~filters.suppressed(F.col("line"), filters.preset_patterns(["express", "remix"]))).alias("kept"))
+
+
+@query("SELECT source, count(*) total_lines, count(*) FILTER (contains(line, ' the ')) suppressed_lines FROM (SELECT source, unnest(string_split(text, chr(10))) line FROM documents) WHERE line <> '' AND line <> chr(13) GROUP BY source")
+def suppression_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = S.table(spark, sf_dir, "documents").select("source", F.col("text").alias("message"))
+    return filters.suppression_totals(docs, "source", [" the "])
+
+
+# -- paths, validation, sanitising -------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, CASE WHEN p = '/srv/app' THEN '.' WHEN starts_with(p, '/srv/app/') THEN regexp_replace(substr(p, 10), '/+$', '') ELSE p END AS relative FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '/srv/app/' ELSE '/srv/apple/' END || regexp_replace(regexp_replace(url, '^https?:', ''), '/+', '/', 'g') q, regexp_replace(q, '/+', '/', 'g') p FROM pages)")
+def path_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = F.regexp_replace(F.regexp_replace("url", "^https?:", ""), "/+", "/")
+    path = F.concat(F.when(F.col("page_id") % 2 == 0, "/srv/app/").otherwise("/srv/apple/"), rest)
+    return S.table(spark, sf_dir, "pages").select("page_id", P.process_path(path, "/srv/app")["file_relative"].alias("relative"))
+
+
+_FILES = "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '/srv/app/src/' WHEN 1 THEN '/srv/app/node_modules/x/' WHEN 2 THEN '/usr/lib/' ELSE '/srv/app/node_modules_not/' END || replace(p_brand, '#', '') || '.js' AS path FROM part"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_size") % 4
+    root = F.when(k == 0, "/srv/app/src/").when(k == 1, "/srv/app/node_modules/x/").when(k == 2, "/usr/lib/").otherwise("/srv/app/node_modules_not/")
+    return S.table(spark, sf_dir, "part").select("p_partkey", F.concat(root, F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(".js")).alias("path"))
+
+
+@query(f"SELECT p_partkey, starts_with(path, '/srv/app/') AND NOT contains(path, '/node_modules/') in_project, contains(path, '/node_modules/') in_node_modules FROM ({_FILES})")
+def path_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).select("p_partkey", P.in_project(F.col("path"), "/srv/app").alias("in_project"), P.in_node_modules(F.col("path")).alias("in_node_modules"))
+
+
+@query("SELECT page_id, NOT (contains(url, '..') OR contains(lower(url), 'javascript:') OR contains(lower(url), 'data:') OR contains(lower(url), 'file://') OR regexp_matches(url, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)') OR length(url) > 4096 OR url = '' OR regexp_matches(lower(url), '%2e(%2e|\\.)|\\.%2e|%00')) AS valid FROM pages")
+def path_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "pages").select("page_id", P.is_valid_path(F.col("url")).alias("valid"))
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS row, path FROM (SELECT *, unnest([CASE WHEN NOT l_linenumber > 1 THEN 'startLine' END, CASE WHEN NOT l_quantity >= l_linenumber * 8 THEN 'endLine' END]) path FROM lineitem) WHERE path IS NOT NULL")
+def validation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), F.lit("t").alias("test"), F.lit("src/a.ts").alias("file"),
+        F.when(F.col("l_linenumber") > 1, F.col("l_linenumber") * 8).otherwise(F.lit(0)).alias("start_line"),
+        F.when(F.col("l_quantity") >= F.col("l_linenumber") * 8, F.lit(1_000)).otherwise(F.lit(-1)).alias("end_line"), F.lit(None).cast("array<string>").alias("suite"),
+    )
+    return validate.base_violations(rows, "key")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS row, 'summary.total (sum)' AS path FROM orders WHERE o_orderkey % 7 = 3")
+def summary_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = S.table(spark, sf_dir, "orders").select(
+        k.alias("key"), (k % 5 + k % 3 + k % 2 + (k % 7 == 3).cast("int")).alias("total"), (k % 5).alias("passed"), (k % 3).alias("failed"), (k % 2).alias("skipped"),
+        F.col("o_totalprice").alias("duration"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+    )
+    return validate.summary_violations(rows, "key")
+
+
+@query("SELECT status AS row, 'section size' AS path FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'passed' ELSE 'skipped' END AS status, count(*) n FROM orders GROUP BY 1) WHERE n > CASE status WHEN 'failed' THEN 1000 ELSE 10000 END")
+def section_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "passed").otherwise("skipped")
+    return validate.size_violations(S.table(spark, sf_dir, "orders").select(status.alias("status")))
+
+
+@query("SELECT page_id, regexp_replace('/home/u' || CAST(page_id AS VARCHAR) || '/app/home/x', '^/home/[^/]+', '/Users/***') AS path FROM pages")
+def mask_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/home/u"), F.col("page_id").cast("string"), F.lit("/app/home/x"))
+    return S.table(spark, sf_dir, "pages").select("page_id", T.mask_home(path).alias("path"))
+
+
+@query()
+def sanitize_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = S.table(spark, sf_dir, "events").select("event_id", F.struct("event_type", "props").alias("payload"), F.array("props").alias("lines"))
+    return sanitize.sanitized(events)
+
+
+@query()
+def sanitize_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "events").select("event_id", sanitize.safe_json(F.col("props")).alias("props"))
+
+
+# -- errors ------------------------------------------------------------------------------------------------------------
+
+
+def _stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.concat(F.lit("TypeError: part "), F.col("p_partkey").cast("string"))
+    row = F.col("p_size").cast("string")
+    lines = [
+        F.concat(F.lit("    at run (/srv/app/src/a.ts:"), row, F.lit(":7)")), F.concat(F.lit("    at async step (file:///srv/app/node_modules/x/i.js:"), row, F.lit(":1)")),
+        F.lit("    at node:internal/timers:5:9"), F.lit("    at /usr/lib/q.js:3:4"),
+    ]
+    return S.table(spark, sf_dir, "part").select("p_partkey", "p_size", F.concat_ws("\n", head, *lines).alias("stack"))
+
+
+@query("SELECT p_partkey, 3::BIGINT n_frames, 'src/a.ts' AS file, p_size AS line, 'run' AS function, 1::BIGINT in_project, 1::BIGINT in_node_modules FROM part")
+def stack_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _stacks(spark, sf_dir).select("p_partkey", E.stack_frames(F.col("stack"), "/srv/app").alias("f"))
+    first = E.first_frame(F.col("f"))
+    count = lambda name: F.size(F.filter("f", lambda x: x[name])).cast("long").alias(name)
+    return rows.select("p_partkey", F.size("f").cast("long").alias("n_frames"), first["file_relative"].alias("file"), first["line"].alias("line"), first["function"].alias("function"), count("in_project"), count("in_node_modules"))
+
+
+@query("SELECT p_partkey, 'TypeError: part ' || CAST(p_partkey AS VARCHAR) || chr(10) || '    at run (/srv/app/src/a.ts:' || CAST(p_size AS VARCHAR) || ':7)' || chr(10) || '    at /usr/lib/q.js:3:4' || chr(10) || '    ... 2 frames omitted' AS stack FROM part")
+def truncated_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stacks(spark, sf_dir).select("p_partkey", E.truncated_stack(F.col("stack"), 2).alias("stack"))
+
+
+@query("WITH l AS (SELECT doc_id, string_split(text, chr(10)) lines FROM documents) SELECT doc_id, CASE WHEN len(lines) >= 2 THEN array_to_string(list_transform(range(1, least(len(lines), 5) + 1), lambda i: lpad(CAST(i AS VARCHAR), 3, ' ') || ': ' || lines[i] || CASE WHEN i = 2 THEN ' // <- failure' ELSE '' END), chr(10)) END AS code FROM l")
+def code_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "documents").select("doc_id", F.array_join(E.code_window(F.col("text"), F.lit(2)), "\n").alias("code"))
+
+
+@query("WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) SELECT doc_id, string_agg(lpad(CAST(line AS VARCHAR), 3, ' ') || ': ' || text || CASE WHEN line = 2 THEN ' // <- failure' ELSE '' END, chr(10) ORDER BY line) AS code FROM s WHERE line BETWEEN 1 AND 4 GROUP BY doc_id")
+def code_window_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    frames = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("frame_id"), F.col("doc_id").alias("file"), F.lit(2).alias("line"))
+    found = S.frame_context(frames, docs.select("file", (F.col("n") + 1).alias("line"), "text"), around=2)
+    return found.select(F.col("frame_id").alias("doc_id"), F.array_join("code", "\n").alias("code"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS VARCHAR) WHEN p_size % 3 = 1 THEN 'true' ELSE '\"' || p_type || '\"' END AS value, CASE p_size % 3 WHEN 0 THEN 'number' WHEN 1 THEN 'boolean' ELSE 'string' END AS kind FROM part")
+def assertion_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("string")).when(F.col("p_size") % 3 == 1, "true").otherwise(F.col("p_type"))
+    v = E.assertion_value(raw)
+    return S.table(spark, sf_dir, "part").select("p_partkey", v["value"].alias("value"), v["type"].alias("kind"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name ELSE 'Unknown error' END AS message, CASE WHEN p_size % 2 = 0 THEN 'RangeError' ELSE 'Error' END AS kind, CAST(p_size AS BIGINT) AS line FROM part")
+def normalized_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    null = F.lit(None).cast("string")
+    e = E.normalized_error(
+        F.when(F.col("p_size") % 3 == 0, F.col("p_name")).otherwise(F.lit("")), F.when(F.col("p_size") % 2 == 0, "RangeError"), null, F.lit("Object"),
+        F.concat(F.lit("x.ts:"), F.col("p_size").cast("string"), F.lit(":1")), null, null,
+    )
+    return S.table(spark, sf_dir, "part").select("p_partkey", e["message"].alias("message"), e["type"].alias("kind"), e["line"].alias("line"))
+
+
+@query()
+def truncate_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = _attempts(spark, sf_dir).filter("status = 'failed'")
+    rows = failed.select(
+        "entity", "seq", F.repeat(F.lit("expected value did not match. "), 30).alias("message"), F.concat(F.lit("Error: x\n"), F.repeat(F.lit("    at f (/srv/a.ts:1:2)\n"), 20)).alias("stack"),
+        F.array_repeat(F.lit("code line"), 9).alias("code"), F.lit(4).alias("line"), F.lit("1").alias("expected"), F.lit("2").alias("actual"),
+    )
+    others = _attempts(spark, sf_dir).filter("status <> 'failed'")
+    failures, _, _, phases = truncate.fit(rows, others, _turns(spark, sf_dir), truncate.Budget(True, True, 20_000))
+    return failures.withColumn("phases", F.lit(",".join(phases)))
