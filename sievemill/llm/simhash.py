@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sievemill.llm.common import checkpoint, shuffle_width
 from sievemill.llm.components import connected_components, roots_of
+from sievemill.llm.sketch import shingle_hashes
 
 BITS = 64
 #: Node pairs with at most so many fingerprint pairs are compared outright.
@@ -185,3 +186,42 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 3, budget
     named = named.select(F.expr("fp ^ 0L").alias("fp"), F.coalesce("component", "id").alias("component"))
     return prints.join(named, "fp").select("doc_id", "fp", "component")
 
+
+
+def redundant(
+    spark: SparkSession, docs: DataFrame, width: int = 3, budget: int = 8, similarity: float = 0.8, words: int = 5, rounds: int = 3, broadcast_rows: int = 500_000
+) -> DataFrame:
+    """doc_id of the ``doc_id, text`` rows that repeat another one: all but the smallest doc_id of each group.
+
+    Equal texts repeat each other. Else fingerprints within ``budget`` bits propose groups, and a document goes if its
+    distinct ``words``-word shingles have a Jaccard similarity of ``similarity`` or more with those of its group's
+    smallest doc_id; what is unlike it forms a group of its own in the next of ``rounds`` rounds, and stays after the
+    last. Null texts count as empty; rows without a doc_id repeat nothing; an empty table gives no rows.
+    """
+    docs = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hashed = checkpoint(spark, docs.select("doc_id", F.sha2("text", 256).alias("h")))
+    firsts = checkpoint(spark, hashed.groupBy("h").agg(F.min("doc_id").alias("first")))
+    gone = hashed.join(firsts, "h").filter("doc_id <> first").select("doc_id")
+    prints = near_duplicates(spark, docs, width, budget).select("doc_id", "component").distinct()
+    groups = checkpoint(spark, prints.join(firsts.select(F.col("first").alias("doc_id")), "doc_id"))
+    crowds = groups.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select(F.expr("component ^ 0L").alias("component"))
+    chosen = checkpoint(spark, groups.join(crowds, "component"))
+    side = F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen
+    shingles = F.array_distinct(shingle_hashes(F.col("text"), words)).alias("s")
+    left = checkpoint(spark, docs.join(side, "doc_id").select("doc_id", "component", shingles).dropDuplicates(["doc_id"]))
+    found = [gone]
+    for _ in range(rounds):
+        heads = left.groupBy("component").agg(F.min("doc_id").alias("head")).select(F.expr("component ^ 0L").alias("component"), "head")
+        heads = heads.join(left.select(F.col("doc_id").alias("head"), F.col("s").alias("head_s")), "head")
+        common = F.size(F.array_intersect("s", "head_s"))
+        total = F.size("s") + F.size("head_s") - common
+        alike = F.when(total == 0, F.lit(True)).otherwise(common >= F.lit(similarity) * total)
+        judged = checkpoint(spark, left.join(heads.select(F.expr("component ^ 0L").alias("component"), "head", "head_s"), "component").select("doc_id", "component", "s", "head", alike.alias("alike")))
+        found.append(judged.filter("alike AND doc_id <> head").select("doc_id"))
+        left = judged.filter("NOT alike").select("doc_id", "component", "s")
+        if not left.take(1):
+            break
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return checkpoint(spark, out.distinct())

@@ -463,7 +463,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 def remove_repeats(spark: SparkSession, docs: DataFrame, group_bytes: int = 16 << 20, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of ``doc_id, text`` rows.
 
-    With ``keep_text`` also kept (the bytes left) and extra, a string column of the input that is carried along. Null texts count as empty; texts under 50 bytes and rows without a doc_id are left whole and remove nothing; rows of
+    With ``keep_text`` also kept (the bytes left as text, without halves of characters) and extra, a string column of the input that is carried along. Null texts count as empty; texts under 50 bytes and rows without a doc_id are left whole and remove nothing; rows of
     one doc_id do not remove each other's strings; an empty table gives no rows.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -523,7 +523,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, group_bytes: int = 16 <
         return _table([(b, p, blob, b"") for b, blob in snippets.rows(group, buckets)], _TO_BUCKET)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "extra"][: 5 + 2 * keep_text]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()][: 5 + 2 * keep_text]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()][: 5 + 2 * keep_text]
 
     def cut_out(docs: pa.Table, answers: pa.Table) -> pa.Table:
         schema = pa.schema(list(zip(names, types)))
@@ -541,7 +541,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, group_bytes: int = 16 <
             out, text = gone[at : at + size], group.x[at : at + size]
             kept = text[~out].tobytes()
             spans = int(out[:1].sum() + (out[1:] & ~out[:-1]).sum())
-            rows.append((doc_id if known else None, size, int(out.sum()), spans, hashlib.sha256(kept).hexdigest(), kept, extra)[: len(names)])
+            rows.append((doc_id if known else None, size, int(out.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore"), extra)[: len(names)])
         return _table(rows, schema)
 
     to_bucket, to_group = "b long, p long, data binary, more binary", "p long, step int, b long, bits binary"
@@ -552,5 +552,5 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, group_bytes: int = 16 <
     solve_two = lambda got: [np.packbits(x).tobytes() for x in repeated_windows(got.column("data").to_pylist())]
     second = checkpoint(spark, snippets.groupBy("b").applyInArrow(answer(2, solve_two), to_group))
     both = first.unionByName(second)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, extra string" * keep_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, extra string" * keep_text
     return grouped().cogroup(both.groupBy("p")).applyInArrow(cut_out, schema)
