@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import os
 import tempfile
@@ -48,3 +49,9 @@ def checkpoint(spark: SparkSession, df: DataFrame, eager: bool = True) -> DataFr
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions of a shuffle in this session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so once their plans are garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -5,10 +5,10 @@ keep every group bounded and every shuffle small; documents are dealt to groups
 compressed.
 
 1. Anchors. A window's anchor is the smallest hash of the 32-byte strings in it, so equal windows have equal anchors.
-   Each group sends its distinct anchors (five bytes each, by bucket of the hash); a bucket answers each group with
+   Each group sends its distinct anchors (four bytes each, by bucket of the hash); a bucket answers each group with
    those that another document has too. Windows of unshared anchors are unique, which settles most of a
    corpus.
-2. Snippets. The other windows are cut into runs with a common 16-byte minimum and sent, each distinct run of a group
+2. Snippets. The other windows are cut into runs with a common 12-byte minimum and sent, each distinct run of a group
    once with the smallest doc_id that has it, to the bucket of that minimum; equal windows meet there.
 3. Merge. In a bucket every group's snippets are a shard with its own Burrows-Wheeler transform. The transforms are
    merged by refining their interleave: a stable pass over the merged transform's characters turns the order by k
@@ -30,10 +30,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import checkpoint
+from sievemill.llm.common import checkpoint, release
 
 WINDOW = 50
-_ANCHOR, _SEED = 32, 16
+_ANCHOR, _SEED = 32, 12
 #: Starts of a run at most, so that its first and last window cover it.
 _RUN = 32
 _CHUNK = 1 << 19
@@ -67,7 +67,7 @@ def _sliding_minimum(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def window_hashes(x: np.ndarray, seeds: bool = True) -> tuple[np.ndarray, ...]:
-    """For every window of ``x``: its anchor, and (unless only that is asked for) its seed, the smallest 16-byte hash,
+    """For every window of ``x``: its anchor, and (unless only that is asked for) its seed, the smallest 12-byte hash,
     and a hash of all of it."""
     h1 = _BYTE[x]
     h2 = _joined(h1, h1, 1, 1)
@@ -79,7 +79,7 @@ def window_hashes(x: np.ndarray, seeds: bool = True) -> tuple[np.ndarray, ...]:
     anchor = _sliding_minimum(_mixed(h32), WINDOW - _ANCHOR + 1) * _SPREAD
     if not seeds:
         return (anchor,)
-    seed = _sliding_minimum(_mixed(h16), WINDOW - _SEED + 1) * _SPREAD
+    seed = _sliding_minimum(_mixed(_joined(h8, h4, 8, 4)), WINDOW - _SEED + 1) * _SPREAD
     return anchor, seed, _joined(_joined(h32, h16, 32, 16), h2, 48, 2)
 
 
@@ -177,19 +177,17 @@ def anchors_of(group: Group) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _short(value: np.ndarray) -> bytes:
-    """Five bytes of each hash; the bucket has what they lack."""
-    return value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """Four bytes of each hash; with its bucket they tell a hash from all but a few in a million others."""
+    return value.astype("<u4").tobytes()
 
 
 def _unshort(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return wide.view("<u8")[:, 0]
+    return np.frombuffer(raw, "<u4")
 
 
 def shared_anchors(shards: list[tuple[bytes, bytes]]) -> list[bytes]:
-    """For each group's (five-byte anchors, bits: in two of its documents): the anchors that another document has too."""
-    sizes = [len(v) // 5 for v, _ in shards]
+    """For each group's (four-byte anchors, bits: in two of its documents): the anchors that another document has too."""
+    sizes = [len(v) // 4 for v, _ in shards]
     value = _unshort(b"".join(v for v, _ in shards))
     twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for n, (_, b) in zip(sizes, shards)])
     order = np.argsort(value, kind="stable")
@@ -202,8 +200,8 @@ def shared_anchors(shards: list[tuple[bytes, bytes]]) -> list[bytes]:
 
 
 def _place(anchor: np.ndarray, buckets: int) -> np.ndarray:
-    """What an anchor is told by: its bucket and its five bytes."""
-    return _bucket(anchor, buckets) << 40 | (anchor & np.uint64((1 << 40) - 1)).astype(np.int64)
+    """What an anchor is told by: its bucket and its four bytes."""
+    return _bucket(anchor, buckets) << 32 | (anchor & np.uint64((1 << 32) - 1)).astype(np.int64)
 
 
 # -- step 2: snippets ------------------------------------------------------------------------------------------------
@@ -251,8 +249,7 @@ class Snippets:
             keys.append(_mixed(w[begin]) * np.uint64(3) + _mixed(w[end] + (end - begin).astype(np.uint64)))
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.start, self.count, self.doc = join(starts, np.int64), join(counts, np.int64), join(docs, np.int64)
-        key, self.seed = join(keys, np.uint64), join(seeds, np.uint64)
-        bucket = _bucket(self.seed, buckets)
+        key, bucket = join(keys, np.uint64), _bucket(join(seeds, np.uint64), buckets)
         order = np.lexsort((key, bucket))
         new = np.ones(len(order), bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
@@ -271,8 +268,8 @@ class Snippets:
             start, count = self.start[first], self.count[first]
             size = count + WINDOW - 1
             index = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            raw = count.astype(np.uint8).tobytes() + self.owner[cut[b] : cut[b + 1]].astype("<i8").tobytes() + _short(self.seed[first]) + group.x[index].tobytes()
-            yield int(b), len(first).to_bytes(8, "little") + zstandard.compress(raw, 1)
+            raw = count.astype(np.uint8).tobytes() + self.owner[cut[b] : cut[b + 1]].astype("<i8").tobytes() + group.x[index].tobytes()
+            yield int(b), len(first).to_bytes(8, "little") + zstandard.compress(raw, 3)
 
 
 # -- step 3: Burrows-Wheeler transforms --------------------------------------------------------------------------------
@@ -354,22 +351,42 @@ def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
     return merged, block
 
 
+def _sharing(data: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """The strings that have a window whose hash another of the strings has too."""
+    hashes, owner = [], []
+    cuts = np.searchsorted(np.cumsum(size), np.arange(most, int(size.sum()) + most, most)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(size)]):
+        n = size[a:b]
+        if not len(n):
+            continue
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        whole = window_hashes(data[np.repeat(begin[a:b], n) + within])[2]
+        ok = np.flatnonzero((within + WINDOW <= np.repeat(n, n))[: len(whole)])
+        hashes.append(whole[ok])
+        owner.append(np.repeat(np.arange(a, min(b, len(size))), n)[ok])
+    h, o = np.concatenate(hashes), np.concatenate(owner)
+    order = np.argsort(h)
+    h, o = h[order], o[order]
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    several = np.repeat(np.minimum.reduceat(o, start) != np.maximum.reduceat(o, start), np.diff(np.append(start, len(h))))
+    return np.unique(o[several])
+
+
 def repeated_windows(shards: list[bytes], shard_bytes: int = 1 << 20) -> list[np.ndarray]:
     """For each group's snippets, whether each window also starts in a document with a smaller doc_id than its owner.
 
-    Snippets that several groups sent are one string here, owned by the smallest doc_id. Equal windows have equal seeds,
-    so a distinct snippet alone with its seed shares no window; the others are dealt to shards of about ``shard_bytes``,
-    whose transforms are merged.
+    Snippets that several groups sent are one string here, owned by the smallest doc_id. Equal windows have equal hashes,
+    so a distinct snippet without a hash that another has can't share a window; all others are dealt to shards of about
+    ``shard_bytes``, whose transforms are merged and decide.
     """
-    counts, owners, seeds, texts = [], [], [], []
+    counts, owners, texts = [], [], []
     for blob in shards:
         n = int.from_bytes(blob[:8], "little")
         raw = zstandard.decompress(blob[8:])
         counts.append(np.frombuffer(raw, np.uint8, n).astype(np.int64))
         owners.append(np.frombuffer(raw, "<i8", n, n))
-        seeds.append(_unshort(raw[9 * n : 14 * n]))
-        texts.append(np.frombuffer(raw, np.uint8, -1, 14 * n))
-    count, owner, seed, data = (np.concatenate(x) for x in (counts, owners, seeds, texts))
+        texts.append(np.frombuffer(raw, np.uint8, -1, 9 * n))
+    count, owner, data = (np.concatenate(x) for x in (counts, owners, texts))
     size = count + WINDOW - 1
     begin = np.cumsum(size) - size
     whole = data.tobytes()
@@ -384,8 +401,7 @@ def repeated_windows(shards: list[bytes], shard_bytes: int = 1 << 20) -> list[np
     count_1 = count[first]
     offset = np.cumsum(count_1) - count_1
     hit = np.zeros(int(count_1.sum()), bool)
-    _, same, crowd = np.unique(seed[first], return_inverse=True, return_counts=True)
-    chosen = np.flatnonzero(crowd[same] > 1)
+    chosen = _sharing(data, begin[first], size[first])
     if len(chosen):
         size_2 = size[first[chosen]]
         shard_of = (np.cumsum(size_2) - size_2) // shard_bytes
@@ -447,7 +463,7 @@ def _bits(column: list, cuts: np.ndarray) -> np.ndarray:
 
 def _shared_of(answers: pa.Table) -> np.ndarray:
     """Places of a group's shared anchors, from the answers of step 1."""
-    parts = [b << 40 | _unshort(raw).astype(np.int64) for step, b, raw in zip(*(answers.column(n).to_pylist() for n in ("step", "b", "bits"))) if step == 1]
+    parts = [b << 32 | _unshort(raw).astype(np.int64) for step, b, raw in zip(*(answers.column(n).to_pylist() for n in ("step", "b", "bits"))) if step == 1]
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
 
 
@@ -548,9 +564,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, group_bytes: int = 16 <
     sent = grouped().applyInArrow(send_anchors, to_bucket)
     solve_one = lambda got: shared_anchors(list(zip(got.column("data").to_pylist(), got.column("more").to_pylist())))
     first = checkpoint(spark, sent.groupBy("b").applyInArrow(answer(1, solve_one), to_group))
+    release(spark)
     snippets = grouped().cogroup(first.groupBy("p")).applyInArrow(send_snippets, to_bucket)
     solve_two = lambda got: [np.packbits(x).tobytes() for x in repeated_windows(got.column("data").to_pylist())]
     second = checkpoint(spark, snippets.groupBy("b").applyInArrow(answer(2, solve_two), to_group))
+    release(spark)
     both = first.unionByName(second)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, extra string" * keep_text
     return grouped().cogroup(both.groupBy("p")).applyInArrow(cut_out, schema)
