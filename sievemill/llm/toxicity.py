@@ -45,6 +45,14 @@ def _hashed(term: str) -> int:
     return zlib.crc32(term.encode()) % SPACE
 
 
+def _capitals(text: str, lower: str) -> int:
+    """Letters that lower-casing changes."""
+    if len(text) != len(lower):
+        return sum(map(str.isupper, text))
+    a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") for x in (text, lower))
+    return int(np.count_nonzero(a != b))
+
+
 def features(text: str) -> set[int]:
     """Hashed words and word beginnings of five and seven letters, each once, and what the patterns find."""
     lower = text.lower()
@@ -57,8 +65,7 @@ def features(text: str) -> set[int]:
             found.add(_AIMED_AT)
     if _MARKS.search(text):
         found.add(_MARKED)
-    capitals = sum(map(str.isupper, text[:4000])) if not text.islower() else 0
-    if capitals * 2 > min(len(text), 4000) and len(text) > 20:
+    if len(text) > 20 and 2 * _capitals(text, lower) > len(text):
         found.add(_SHOUTED)
     return found
 
