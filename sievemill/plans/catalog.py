@@ -232,6 +232,16 @@ def dedup_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.annotated(_documents(spark, sf_dir)).select("seq", "copies", "first_seq", "is_first")
 
 
+@query("SELECT count(*) logs, count(DISTINCT l_returnflag || '/' || CAST(l_partkey AS VARCHAR)) unique_logs, count(*) - count(DISTINCT l_returnflag || '/' || CAST(l_partkey AS VARCHAR)) duplicates_removed FROM lineitem")
+def dedup_many_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Throughput: one log line for each line item, as many distinct ones as parts and flags."""
+    line = F.concat(F.lit("[INFO] 2024-01-02 03:04:05 shipped part  "), F.col("l_partkey").cast("string"))
+    logs = S.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("entity"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.col("l_returnflag").alias("level"), line.alias("message")
+    )
+    return dedup.statistics(logs, dedup.Dedup(sources=False)).withColumnRenamed("total_logs", "logs")
+
+
 @query()
 def lru_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.first_of_each(_documents(spark, sf_dir), dedup.Dedup(max_entries=100)).select("seq", "copies", "last_seq")
