@@ -135,7 +135,9 @@ def links_between(graph: Graph, q: np.ndarray, least: float, beam: int = 48, aud
     left, right = [], []
     todo = np.arange(n)
     while len(todo):
-        ids, sims = graph.search(q[todo], beam)
+        # a bounded number of queries at a time: each keeps track of the nodes it has seen
+        parts = [graph.search(q[todo[a : a + 1024]], beam) for a in range(0, len(todo), 1024)]
+        ids, sims = (np.concatenate(p) for p in zip(*parts))
         hit = sims >= least
         full = hit.all(axis=1) & (beam < m)
         missed = False
@@ -152,7 +154,7 @@ def links_between(graph: Graph, q: np.ndarray, least: float, beam: int = 48, aud
     return np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)])
 
 
-def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.93, shard: int = 2000) -> DataFrame:
+def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.93, shard: int = 8192) -> DataFrame:
     """vec_id, n_links, component_id, kept of ``vec_id, embedding, label`` rows.
 
     Vectors of one label are linked if their cosine, in double precision, is ``least`` or more. A vector that is null,
