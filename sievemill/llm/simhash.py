@@ -112,6 +112,29 @@ def trie_self_join(group: np.ndarray, x: np.ndarray, budget: int) -> Iterator[tu
         stack.append((d + 1, s, starts[d][p + 1] - s, t, starts[d][q + 1] - t, err))
 
 
+def linked_roots(group: np.ndarray, x: np.ndarray, budget: int, held: int = 1 << 20) -> np.ndarray:
+    """The first member of each value's component under the links; at most about ``held`` links are kept at a time."""
+    root = np.arange(len(x))
+    left, right, n = [], [], 0
+
+    def fold() -> None:
+        nonlocal root, n
+        if n:
+            root = roots_of(len(x), root[np.concatenate(left)], root[np.concatenate(right)])[root]
+            left.clear()
+            right.clear()
+            n = 0
+
+    for i, j in trie_self_join(group, x, budget):
+        left.append(i)
+        right.append(j)
+        n += len(i)
+        if n >= held:
+            fold()
+    fold()
+    return root
+
+
 def _rotated(x: np.ndarray, by: int) -> np.ndarray:
     return x if not by else x << np.uint64(by) | x >> np.uint64(BITS - by)
 
@@ -158,13 +181,7 @@ def linked_stars(spark: SparkSession, prints: DataFrame, budget: int = 2, crowd:
             x[r == i] = _rotated(x[r == i], s)
         order = np.lexsort((x, cell))
         x, ids, cell = x[order], ids[order], cell[order]
-        left, right = [], []
-        for i, j in trie_self_join(cell, x, budget):
-            left.append(i)
-            right.append(j)
-        if not left:
-            return
-        root = roots_of(len(x), np.concatenate(left), np.concatenate(right))
+        root = linked_roots(cell, x, budget)
         rest = np.flatnonzero(root != np.arange(len(x)))
         yield pa.RecordBatch.from_arrays([pa.array(ids[rest]), pa.array(ids[root[rest]])], ["a", "b"])
 
@@ -216,7 +233,7 @@ def redundant(
         common = F.size(F.array_intersect("s", "head_s"))
         total = F.size("s") + F.size("head_s") - common
         alike = F.when(total == 0, F.lit(True)).otherwise(common >= F.lit(similarity) * total)
-        judged = checkpoint(spark, left.join(heads.select(F.expr("component ^ 0L").alias("component"), "head", "head_s"), "component").select("doc_id", "component", "s", "head", alike.alias("alike")))
+        judged = checkpoint(spark, left.join(heads.select(F.expr("component ^ 0L").alias("component"), "head", "head_s"), "component").select("doc_id", "component", "s", "head", alike.alias("alike")).withColumn("s", F.when(~F.col("alike"), F.col("s"))))
         found.append(judged.filter("alike AND doc_id <> head").select("doc_id"))
         left = judged.filter("NOT alike").select("doc_id", "component", "s")
         if not left.take(1):
