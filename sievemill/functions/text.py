@@ -203,3 +203,10 @@ def console_message(arguments: Column) -> Column:
 def mask_home(path: Column) -> Column:
     """The first home folder's owner is masked."""
     return F.regexp_replace(path, r"^(.*?)/?\b(?:Users|home)/[^/]+", "$1/Users/***")
+
+
+def truncated_logs(logs: Column, limit: int = 1000) -> Column:
+    """A category's logs, or one cut text of them all if they are longer together than the limit."""
+    whole = F.array_join(logs, "\n")
+    cut = F.array(F.concat(safe_trim(whole, limit - 20), F.lit("\n...[truncated]")))
+    return F.when(F.length(whole) <= limit, logs).otherwise(cut)

@@ -66,3 +66,18 @@ def safe_json(values: pd.Series) -> pd.Series:
             return None
 
     return values.map(one)
+
+
+#: What is kept of an environment.
+ENVIRONMENT = {"os": ("platform", "release", "version", "arch"), "runtime": ("spark", "python"), "node": ("version", "runtime")}
+
+
+def environment(rows: DataFrame) -> DataFrame:
+    """An environment table with only the known fields of known sections, escaped."""
+    kept = []
+    for f in rows.schema:
+        if f.name in ENVIRONMENT and isinstance(f.dataType, T.StructType):
+            kept.append(F.struct(*[F.col(f.name)[n].alias(n) for n in ENVIRONMENT[f.name] if n in f.dataType.names]).alias(f.name))
+        elif f.name in ("ci", "packageManager"):
+            kept.append(F.col(f.name))
+    return sanitized(rows.select(*kept))

@@ -96,3 +96,27 @@ def size_violations(rows: DataFrame, limits: Limits | None = None) -> DataFrame:
 def json_bytes(rows: DataFrame, *columns: str) -> DataFrame:
     """JSON bytes of all rows together."""
     return rows.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*columns)))), F.lit(0)).alias("bytes"))
+
+
+def environment_violations(rows: DataFrame, key: str) -> DataFrame:
+    """rows: key, environment (JSON text or null). Known sections must be objects, and their fields of their types."""
+    doc = F.try_parse_json("environment")
+
+    def typed(path: str, kind: str) -> Column:
+        value = F.try_variant_get(doc, path, "variant")
+        return value.isNull() | F.schema_of_variant(value).isin(*kind.split("|"))
+
+    known = {"environment": F.col("environment").isNull() | F.schema_of_variant(doc).startswith("OBJECT")}
+    for path, kind in {"$.os.platform": "STRING", "$.os.release": "STRING", "$.os.arch": "STRING", "$.node.version": "STRING", "$.ci": "BOOLEAN", "$.packageManager": "STRING"}.items():
+        known[path.replace("$", "environment")] = typed(path, kind)
+    return _violations(rows, key, known)
+
+
+def assertion_violations(rows: DataFrame, key: str) -> DataFrame:
+    """rows: key, expected, actual as JSON text: each must parse."""
+    return _violations(rows, key, {f"assertion.{n}": F.col(n).isNull() | F.try_parse_json(n).isNotNull() for n in ("expected", "actual")})
+
+
+def messages(violations: DataFrame) -> DataFrame:
+    """Violations with a sentence for people."""
+    return violations.withColumn("message", F.format_string("%s: %s is missing, of the wrong type or out of range", "row", "path"))

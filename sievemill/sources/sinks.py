@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,15 @@ def write_json(documents: DataFrame, path: str, column: str = "document") -> str
     return path
 
 
+def write_json_later(documents: DataFrame, path: str, column: str = "document") -> Future[str]:
+    """As ``write_json``, without waiting for it."""
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(write_json, documents, path, column)
+    finally:
+        pool.shutdown(wait=False)
+
+
 def print_document(document: DataFrame, frame: bool = False, column: str = "document") -> bool:
     """Print a one-row report if its summary has results; whether it was printed."""
     row = document.select(column, F.get_json_object(column, "$.summary.total").cast("long").alias("total")).first()

@@ -256,3 +256,22 @@ def test_report_and_sinks(spark, tmp_path, capsys):
     errors = spark.createDataFrame([("m.ts", None, None, "i", [("boom", None)])], "filepath string, module_id string, relative_id string, id string, errors array<struct<message:string,stack:string>>")
     assert report.module_errors(errors).first()["stack"] == "boom\n    at m.ts:1:1"
     assert report.unhandled_rows(spark.createDataFrame([("",)], "message string")).first()["message"] == "Unhandled Error"
+
+
+def test_smaller_parts(spark, tmp_path):
+    assert value(spark, T.truncated_logs(F.col("x"), 100), x=["a"] * 3) == ["a"] * 3
+    assert value(spark, T.truncated_logs(F.col("x"), 100), x=["word"] * 90)[0].endswith("\n...[truncated]")
+    rows = spark.createDataFrame([("1", '{"os": {"platform": "x"}, "ci": true}', "1", "nope"), ("2", '{"os": {"platform": 5}}', None, "{}"), ("3", None, "[1]", None)], "k string, environment string, expected string, actual string")
+    assert {(r["row"], r["path"]) for r in validate.environment_violations(rows, "k").collect()} == {("2", "environment.os.platform")}
+    assert {(r["row"], r["path"]) for r in validate.assertion_violations(rows, "k").collect()} == {("1", "assertion.actual")}
+    assert validate.messages(validate.assertion_violations(rows, "k")).first()["message"].startswith("1: assertion.actual")
+    a, b = messages(spark, ("e", 1, "log", "x")), messages(spark, ("e", 2, "log", "X"), ("e", 3, "log", "y"))
+    assert sorted((r["seq"], r["origin"]) for r in dedup.captured(a, b).collect()) == [(1, "intercepted"), (3, "task")]
+    table = attempts_table(spark, t1="FP", t2="P")
+    got = {r["entity"]: r["retry_info"] for r in report.with_retry_info(table.filter("status = 'passed'"), attempts.retry_info(table)).collect()}
+    assert got["t2"] is None and got["t1"]["is_flaky"]
+    totals = spark.createDataFrame([("t1", 3, 1)], "entity string, total_lines int, suppressed_lines int")
+    logs = report.success_logs(table, messages(spark, ("t1", 1, "log", "hello")), totals).collect()
+    assert [(r["entity"], r["suppressed"]["total_lines"]) for r in logs] == [("t1", 3)]
+    assert set(sanitize.environment(S.environment(spark)).columns) == {"os", "runtime", "ci"}
+    assert sinks.write_json_later(spark.createDataFrame([("{}",)], "document string"), str(tmp_path / "later")).result(60)
