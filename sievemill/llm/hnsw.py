@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.llm.common import checkpoint, shuffle_width
-from sievemill.llm.components import connected_components
+from sievemill.llm.components import connected_components, roots_of
 
 
 class Graph:
@@ -79,6 +79,8 @@ class Graph:
 
     def _link_back(self, k: int, node: int, other: int) -> None:
         row = self.near[k][node]
+        if (row == other).any():
+            return
         free = np.flatnonzero(row < 0)
         if len(free):
             row[free[0]] = other
@@ -127,14 +129,23 @@ class Graph:
         return self._search(q, entry, 0, min(beam, len(self.x)))
 
 
-def links_between(graph: Graph, q: np.ndarray, least: float, beam: int = 48, audit: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) index pairs of similarity ``least`` or more, by widening beams until an audit misses nothing."""
+def links_between(graph: Graph, q: np.ndarray, least: float, beam: int = 48, audit: int = 32, widest: int = 192) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) index pairs of similarity ``least`` or more, by widening beams until an audit misses nothing.
+
+    Queries that would need a beam over ``widest`` are compared with the whole shard instead, which is exact.
+    """
     n, m = len(q), len(graph.x)
     checked = np.unique(np.linspace(0, n - 1, min(n, audit)).astype(int))
     truth = q[checked] @ graph.x.T >= least
     left, right = [], []
     todo = np.arange(n)
     while len(todo):
+        if beam > widest:
+            for a in range(0, len(todo), 1024):
+                r, c = np.nonzero(q[todo[a : a + 1024]] @ graph.x.T >= least)
+                left.append(todo[a + r])
+                right.append(c)
+            break
         # a bounded number of queries at a time: each keeps track of the nodes it has seen
         parts = [graph.search(q[todo[a : a + 1024]], beam) for a in range(0, len(todo), 1024)]
         ids, sims = (np.concatenate(p) for p in zip(*parts))
@@ -151,7 +162,8 @@ def links_between(graph: Graph, q: np.ndarray, least: float, beam: int = 48, aud
         right.append(ids[done[r], c])
         todo = todo[again]
         beam = min(2 * beam, m)
-    return np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)])
+    pairs = np.unique(np.concatenate(left or [np.zeros(0, int)]) * m + np.concatenate(right or [np.zeros(0, int)])) if m else np.zeros(0, int)
+    return pairs // max(m, 1), pairs % max(m, 1)
 
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.93, shard: int = 8192) -> DataFrame:
@@ -176,7 +188,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.93
     sizes = sizes.select(F.concat("label", F.lit("")).alias("label"), F.expr("d ^ 0").alias("d"), "shards")
     dealt = classes.withColumn("d", F.size("e")).join(sizes, ["label", "d"])
     dealt = dealt.withColumn("s", F.pmod(F.xxhash64("cid"), F.col("shards")).cast("int"))
-    dealt = dealt.select("cid", "label", "d", "s", "shards", "e")
+    dealt = dealt.select("cid", "label", "d", "s", "shards", "e", "copies")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A task's vectors of each shard as one row of bytes."""
@@ -184,42 +196,51 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.93
         for batch in batches:
             values = batch.column(5).flatten().to_numpy().astype("<f8")
             at = 0
-            for cid, label, d, s, shards in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                held.setdefault((label, d, s, shards), []).append((cid, values[at : at + d].tobytes()))
+            for cid, label, d, s, shards, n in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 6))):
+                held.setdefault((label, d, s, shards), []).append((cid, values[at : at + d].tobytes(), n))
                 at += d
         if held:
             keys = list(held)
             columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32()))]
-            columns.append(pa.array([np.array([c for c, _ in held[k]], "<i8").tobytes() for k in keys], pa.binary()))
-            columns.append(pa.array([b"".join(v for _, v in held[k]) for k in keys], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["label", "d", "s", "shards", "cids", "data"])
+            columns.append(pa.array([np.array([c for c, _, _ in held[k]], "<i8").tobytes() for k in keys], pa.binary()))
+            columns.append(pa.array([b"".join(v for _, v, _ in held[k]) for k in keys], pa.binary()))
+            columns.append(pa.array([np.array([n for _, _, n in held[k]], "<i8").tobytes() for k in keys], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["label", "d", "s", "shards", "cids", "data", "weights"])
 
     by_shard = dealt.repartition(shuffle_width(spark), "label", "d", "s").mapInArrow(
-        gather, "label string, d int, s int, shards int, cids binary, data binary"
+        gather, "label string, d int, s int, shards int, cids binary, data binary, weights binary"
     )
     blocks = checkpoint(spark, by_shard)
     asked = blocks.select("label", "d", F.col("cids").alias("q_cids"), F.col("data").alias("q_data"), F.explode(F.expr("sequence(0, shards - 1)")).alias("s"))
-    cells = asked.join(blocks.select("label", "d", "s", "cids", "data"), ["label", "d", "s"])
-    cells = cells.select("d", "q_cids", "q_data", "cids", "data").repartition(shuffle_width(spark))
+    cells = asked.join(blocks.select("label", "d", "s", "cids", "data", "weights"), ["label", "d", "s"])
+    cells = cells.select("d", "q_cids", "q_data", "cids", "data", "weights").repartition(shuffle_width(spark))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, graph = None, None
         for batch in batches:
-            for d, q_cids, q_data, cids, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for d, q_cids, q_data, cids, data, weights in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if cids != last:
                     graph, last = Graph(_unit_block(data, d)), cids
                 q = _unit_block(q_data, d)
                 left, right = links_between(graph, q, least - 1e-9)
-                a, b = np.frombuffer(q_cids, "<i8")[left], np.frombuffer(cids, "<i8")[right]
-                ok = (a != b) & (np.einsum("ij,ij->i", q[left], graph.x[right]) >= least)
-                a, b = a[ok], b[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                mine, other = np.frombuffer(q_cids, "<i8"), np.frombuffer(cids, "<i8")
+                ok = (mine[left] != other[right]) & (np.einsum("ij,ij->i", q[left], graph.x[right]) >= least)
+                left, right = left[ok], right[ok]
+                # a class's links are the copies of all classes that it found; what joins classes is returned as stars
+                count = np.bincount(left, np.frombuffer(weights, "<i8")[right], len(mine)).astype(np.int64)
+                nodes, where = np.unique(np.concatenate([mine[left], other[right]]), return_inverse=True)
+                root = roots_of(len(nodes), where[: len(left)], where[len(left) :])
+                rest = np.flatnonzero(root != np.arange(len(nodes)))
+                some = np.flatnonzero(count)
+                a = np.concatenate([nodes[rest], mine[some]])
+                b = np.concatenate([nodes[root[rest]], np.full(len(some), -1)])
+                n = np.concatenate([np.zeros(len(rest), np.int64), count[some]])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, n)], ["a", "b", "n"])
 
-    links = checkpoint(spark, cells.mapInArrow(search, "a long, b long").distinct())
+    found_links = checkpoint(spark, cells.mapInArrow(search, "a long, b long, n long"))
+    links = found_links.filter("b >= 0").select("a", "b").distinct()
+    counts = found_links.filter("b < 0").groupBy("a").agg(F.sum("n").alias("others"))
     named = classes.select(F.col("cid").alias("node"), "rep", "copies")
-    # a class's links: its other copies, and all copies of every class linked with it
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = ends.join(named.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
     parts = connected_components(spark, links)
     member = named.join(parts, "node", "left").join(counts.select(F.expr("a ^ 0L").alias("node"), "others"), "node", "left")
     member = member.select("node", "rep", "copies", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("component", "node").alias("part"))
