@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievemill.llm import overlap
 from sievemill.llm.common import checkpoint, shuffle_width
 from sievemill.llm.components import connected_components, roots_of
 from sievemill.llm.sketch import shingle_hashes
@@ -204,41 +205,72 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 3, budget
     return prints.join(named, "fp").select("doc_id", "fp", "component")
 
 
+def _alike(s: Column, other: Column, similarity: float) -> Column:
+    """Whether two sets have a Jaccard similarity of ``similarity`` or more; empty ones are alike."""
+    common = F.size(F.array_intersect(s, other))
+    total = F.size(s) + F.size(other) - common
+    return F.when(total == 0, F.lit(True)).otherwise(common >= F.lit(similarity) * total)
+
 
 def redundant(
     spark: SparkSession, docs: DataFrame, width: int = 3, budget: int = 8, similarity: float = 0.8, words: int = 5, rounds: int = 3, broadcast_rows: int = 500_000
 ) -> DataFrame:
     """doc_id of the ``doc_id, text`` rows that repeat another one: all but the smallest doc_id of each group.
 
-    Equal texts repeat each other. Else fingerprints within ``budget`` bits propose groups, and a document goes if its
-    distinct ``words``-word shingles have a Jaccard similarity of ``similarity`` or more with those of its group's
-    smallest doc_id; what is unlike it forms a group of its own in the next of ``rounds`` rounds, and stays after the
-    last. Null texts count as empty; rows without a doc_id repeat nothing; an empty table gives no rows.
+    Equal texts repeat each other. Else texts whose distinct ``words``-word shingles have a Jaccard similarity of
+    ``similarity`` or more are linked: fingerprints within ``budget`` bits and the prefixes of shingle sets propose, the
+    shingles decide, and every pair that the prefixes allow is compared unless its texts are linked already. In each
+    group of links a text goes if it is that similar to the group's smallest doc_id; what is unlike it forms a group of
+    its own in the next of ``rounds`` rounds, and stays after the last. A text is known by 64 bits of its SHA-256. Null
+    texts count as empty; rows without a doc_id repeat nothing; an empty table gives no rows.
     """
     docs = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    hashed = checkpoint(spark, docs.select("doc_id", F.sha2("text", 256).alias("h")))
-    firsts = checkpoint(spark, hashed.groupBy("h").agg(F.min("doc_id").alias("first")))
+    docs = docs.withColumn("h", F.sha2("text", 256))
+    hashed = checkpoint(spark, docs.select("doc_id", "h", _text_id(F.col("h")).alias("u")))
+    firsts = checkpoint(spark, hashed.groupBy("h").agg(F.min("doc_id").alias("first"), F.min("u").alias("u")))
     gone = hashed.join(firsts, "h").filter("doc_id <> first").select("doc_id")
-    prints = near_duplicates(spark, docs, width, budget).select("doc_id", "component").distinct()
-    groups = checkpoint(spark, prints.join(firsts.select(F.col("first").alias("doc_id")), "doc_id"))
-    crowds = groups.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select(F.expr("component ^ 0L").alias("component"))
-    chosen = checkpoint(spark, groups.join(crowds, "component"))
-    side = F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen
-    shingles = F.array_distinct(shingle_hashes(F.col("text"), words)).alias("s")
-    left = checkpoint(spark, docs.join(side, "doc_id").select("doc_id", "component", shingles).dropDuplicates(["doc_id"]))
-    found = [gone]
+    texts = docs.select(_text_id(F.col("h")).alias("u"), "text")
+    sets = texts.select("u", F.array_distinct(shingle_hashes(F.col("text"), words)).alias("s"))
+
+    def sets_of(units: DataFrame) -> DataFrame:
+        """u, s of these texts only."""
+        units = units.select(F.col(units.columns[0]).alias("wanted")).distinct()
+        side = F.broadcast(units) if units.count() <= broadcast_rows else units
+        wanted = texts.join(side, texts["u"] == side["wanted"], "left_semi")
+        return wanted.select("u", F.array_distinct(shingle_hashes(F.col("text"), words)).alias("s")).dropDuplicates(["u"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The a, b pairs that are alike."""
+        pairs = checkpoint(spark, pairs.filter("a <> b").distinct())
+        of = checkpoint(spark, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("u"))))
+        one, two = of.select(F.col("u").alias("a"), F.col("s").alias("s_a")), of.select(F.col("u").alias("b"), F.col("s").alias("s_b"))
+        return checkpoint(spark, pairs.join(one, "a").join(two, "b").filter(_alike(F.col("s_a"), F.col("s_b"), similarity)).select("a", "b"))
+
+    near = near_duplicates(spark, texts.select(F.col("u").alias("doc_id"), "text"), width, budget)
+    near = near.select(F.col("component").alias("a"), F.col("doc_id").alias("b"))
+    places = checkpoint(spark, overlap.shared(overlap.prefixes(sets, similarity, overlap.common_tokens(sets))))
+    links = verified(near.unionByName(overlap.head_pairs(places, similarity)))
+    others = verified(overlap.other_pairs(places, connected_components(spark, links), similarity))
+    parts = connected_components(spark, links.unionByName(others))
+    parts = parts.unionByName(parts.select(F.col("component").alias("node"), "component")).distinct()
+    chosen = parts.join(firsts.select("u", "first"), parts["node"] == F.col("u")).select("u", "component", F.struct("first", "u").alias("key"))
+    chosen = checkpoint(spark, chosen)
+    left = checkpoint(spark, sets_of(chosen).join(chosen, "u").select("key", "component", "s"))
+    fallen = []
     for _ in range(rounds):
-        heads = left.groupBy("component").agg(F.min("doc_id").alias("head")).select(F.expr("component ^ 0L").alias("component"), "head")
-        heads = heads.join(left.select(F.col("doc_id").alias("head"), F.col("s").alias("head_s")), "head")
-        common = F.size(F.array_intersect("s", "head_s"))
-        total = F.size("s") + F.size("head_s") - common
-        alike = F.when(total == 0, F.lit(True)).otherwise(common >= F.lit(similarity) * total)
-        judged = checkpoint(spark, left.join(heads.select(F.expr("component ^ 0L").alias("component"), "head", "head_s"), "component").select("doc_id", "component", "s", "head", alike.alias("alike")).withColumn("s", F.when(~F.col("alike"), F.col("s"))))
-        found.append(judged.filter("alike AND doc_id <> head").select("doc_id"))
-        left = judged.filter("NOT alike").select("doc_id", "component", "s")
+        heads = left.groupBy("component").agg(F.min("key").alias("head")).select(F.expr("component ^ 0L").alias("component"), "head")
+        heads = heads.join(left.select(F.col("key").alias("head"), F.col("s").alias("head_s")), "head")
+        alike = _alike(F.col("s"), F.col("head_s"), similarity)
+        judged = checkpoint(spark, left.join(heads.select(F.expr("component ^ 0L").alias("component"), "head", "head_s"), "component").select("key", "component", "s", "head", alike.alias("alike")).withColumn("s", F.when(~F.col("alike"), F.col("s"))))
+        fallen.append(judged.filter("alike AND key <> head").select("key.u"))
+        left = judged.filter("NOT alike").select("key", "component", "s")
         if not left.take(1):
             break
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return checkpoint(spark, out.distinct())
+    for part in fallen:
+        gone = gone.unionByName(hashed.join(part, "u").select("doc_id"))
+    return checkpoint(spark, gone.distinct())
+
+
+def _text_id(h: Column) -> Column:
+    """The first 64 bits of a hexadecimal digest as a long."""
+    return F.conv(F.substring(h, 1, 16), 16, -10).cast("long")

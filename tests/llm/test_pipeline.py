@@ -66,3 +66,29 @@ def test_all_stages(spark, sf):
     assert whole.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
     assert whole.select("doc_id").distinct().count() == docs.count()
     assert len(pipeline.STAGES) == 5 and re.fullmatch("[a-z_]+", pipeline.STAGES[0][0])
+
+
+def _similarity(a, b):
+    one, two = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(one & two) / len(one | two)
+
+
+def test_near_copies_at_the_threshold_go(spark, sf):
+    rng = np.random.default_rng(7)
+    rows, near = [], []
+    for k in range(60):
+        words = _words(rng, 300).split()
+        rows.append((k, " ".join(words)))
+        edited = list(words)
+        for i in range(6):  # each change costs five shingles: similarity about 0.81
+            edited[10 + 45 * i] = f"changed{k}x{i}"
+        rows.append((1000 + k, " ".join(edited)))
+        near.append(0.8 <= _similarity(*(r[1] for r in rows[-2:])) < 0.85)
+        for i in (6, 7):
+            edited[12 + 20 * i] = f"other{i}"
+        rows.append((2000 + k, " ".join(edited)))  # under 0.8 to the first, over to the second
+    assert all(near)
+    kept = {r["doc_id"] for r in pipeline.drop_near_copies(spark, _docs(spark, rows), sf).collect()}
+    assert not kept & set(range(1000, 1060)) and set(range(60)) <= kept
+    text = dict(rows)
+    assert {i for i in range(2000, 2060) if _similarity(text[i], text[i - 2000]) < 0.8} == {i for i in kept if i >= 2000}
