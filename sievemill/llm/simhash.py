@@ -213,7 +213,7 @@ def _alike(s: Column, other: Column, similarity: float) -> Column:
 
 
 def redundant(
-    spark: SparkSession, docs: DataFrame, width: int = 3, budget: int = 8, similarity: float = 0.8, words: int = 5, rounds: int = 3, broadcast_rows: int = 500_000
+    spark: SparkSession, docs: DataFrame, width: int = 3, budget: int = 8, similarity: float = 0.8, words: int = 5, broadcast_rows: int = 500_000
 ) -> DataFrame:
     """doc_id of the ``doc_id, text`` rows that repeat another one: all but the smallest doc_id of each group.
 
@@ -221,8 +221,8 @@ def redundant(
     ``similarity`` or more are linked: fingerprints within ``budget`` bits and the prefixes of shingle sets propose, the
     shingles decide, and every pair that the prefixes allow is compared unless its texts are linked already. In each
     group of links a text goes if it is that similar to the group's smallest doc_id; what is unlike it forms a group of
-    its own in the next of ``rounds`` rounds, and stays after the last. A text is known by 64 bits of its SHA-256. Null
-    texts count as empty; rows without a doc_id repeat nothing; an empty table gives no rows.
+    its own in the next round, until nothing is left to compare. A text is known by 64 bits of its SHA-256. Null texts
+    count as empty; rows without a doc_id repeat nothing; an empty table gives no rows.
     """
     docs = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("h", F.sha2("text", 256))
@@ -257,15 +257,13 @@ def redundant(
     chosen = checkpoint(spark, chosen)
     left = checkpoint(spark, sets_of(chosen).join(chosen, "u").select("key", "component", "s"))
     fallen = []
-    for _ in range(rounds):
+    while left.take(1):
         heads = left.groupBy("component").agg(F.min("key").alias("head")).select(F.expr("component ^ 0L").alias("component"), "head")
         heads = heads.join(left.select(F.col("key").alias("head"), F.col("s").alias("head_s")), "head")
         alike = _alike(F.col("s"), F.col("head_s"), similarity)
         judged = checkpoint(spark, left.join(heads.select(F.expr("component ^ 0L").alias("component"), "head", "head_s"), "component").select("key", "component", "s", "head", alike.alias("alike")).withColumn("s", F.when(~F.col("alike"), F.col("s"))))
         fallen.append(judged.filter("alike AND key <> head").select("key.u"))
         left = judged.filter("NOT alike").select("key", "component", "s")
-        if not left.take(1):
-            break
     for part in fallen:
         gone = gone.unionByName(hashed.join(part, "u").select("doc_id"))
     return checkpoint(spark, gone.distinct())

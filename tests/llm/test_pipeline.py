@@ -92,3 +92,18 @@ def test_near_copies_at_the_threshold_go(spark, sf):
     assert not kept & set(range(1000, 1060)) and set(range(60)) <= kept
     text = dict(rows)
     assert {i for i in range(2000, 2060) if _similarity(text[i], text[i - 2000]) < 0.8} == {i for i in kept if i >= 2000}
+
+
+def test_near_copies_of_late_heads_go(spark, sf):
+    rng = np.random.default_rng(8)
+    words, rows = _words(rng, 300).split(), []
+    for k in range(12):  # each text is near its neighbours in the chain only: every other one is a head
+        rows.append((k, " ".join(words)))
+        for i in range(5):
+            words[(5 + 60 * i + 5 * k) % 300] = f"step{k}x{i}"
+    kept = []
+    for i, text in rows:
+        if all(_similarity(text, rows[j][1]) < 0.8 for j in kept):
+            kept.append(i)
+    assert len(kept) > 4
+    assert {r["doc_id"] for r in pipeline.drop_near_copies(spark, _docs(spark, rows), sf).collect()} == set(kept)
