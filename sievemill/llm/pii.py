@@ -163,8 +163,8 @@ def find(spark: SparkSession, docs: DataFrame, rule: Disclosure | None = None, b
     spotted = docs.withColumn("base", base_spans(F.col("text")))
     mentions = checkpoint(spark, mentions_of(spotted.filter(F.size("base") > 0), rule))
     told = checkpoint(spark, disclosures(docs, mentions, rule))
-    beside = mentions.select("doc_id", "entity", F.explode("terms").alias("term")).join(told, ["entity", "term"])
-    strongest = beside.groupBy("doc_id", "term").agg(F.max("given").alias("given"))
+    mentioning = mentions.select("doc_id", "entity").distinct().join(told, "entity")
+    strongest = mentioning.groupBy("doc_id", "term").agg(F.max("given").alias("given"))
     action = F.when(F.col("given") >= rule.remove, F.lit("remove")).otherwise(F.lit("generalise"))
     by_doc = strongest.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", action))).alias("actions"))
     by_doc = checkpoint(spark, by_doc.select(F.col("doc_id").alias("told_id"), "actions"))

@@ -343,6 +343,15 @@ def test_revealing_terms_go_and_common_ones_stay(spark):
     assert all(by[i]["clean"] == filler[i] for i in range(300))
 
 
+def test_revealing_terms_go_far_from_the_value_too(spark):
+    filler = ["the weather was fine on that day number %d" % i for i in range(300)]
+    named = [f"on day {i} mister zanzibar wrote from zan@corp.example about item{i} the weather" for i in range(6)]
+    far = "zan@corp.example " + "the weather was fine on that day " * 8 + "said zanzibar"
+    df = spark.createDataFrame(list(enumerate(filler + named * 3 + [far, "said zanzibar"])), "doc_id long, text string")
+    by = {r["doc_id"]: r["clean"] for r in pii.find(spark, df).withColumn("clean", pii.sanitised(F.col("text"), F.col("spans"))).collect()}
+    assert "zanzibar" not in by[318] and by[318].startswith("<EMAIL> the weather was fine") and by[319] == "said zanzibar"
+
+
 def test_pii_awkward(spark, awkward, none):
     rows = pii.digest(pii.find(spark, awkward.select("doc_id", "text"))).collect()
     assert len(rows) == len(AWKWARD)
