@@ -2,8 +2,9 @@
 
 Exact copies are collapsed first. The vectors of a label are dealt by hash to shards of bounded size; each shard gets a
 graph, and every block of vectors searches every shard of its label. A search keeps a beam of its nearest vectors; it is
-widened as long as the whole beam lies within the similarity asked for, and as long as an audit (some of the block's
-vectors compared with the whole shard) finds a link that the beam missed. Links are verified in double precision.
+widened as long as the whole beam lies within the similarity asked for. An audit compares vectors of the block with the
+whole shard until enough of them had a link, or all were compared; if their own search misses a link, the whole block is
+compared. Links are verified in double precision.
 """
 
 from __future__ import annotations
@@ -129,40 +130,58 @@ class Graph:
         return self._search(q, entry, 0, min(beam, len(self.x)))
 
 
-def links_between(graph: Graph, q: np.ndarray, least: float, beam: int = 48, audit: int = 32, widest: int = 192) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) index pairs of similarity ``least`` or more, by widening beams until an audit misses nothing.
+def links_between(
+    graph: Graph, q: np.ndarray, least: float, beam: int = 48, audit: int = 64, widest: int = 192, own: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) index pairs of similarity ``least`` or more.
 
-    Queries that would need a beam over ``widest`` are compared with the whole shard instead, which is exact.
+    Queries spread over the block are compared with the whole shard, which is exact, until ``audit`` of them had a link
+    (``own``: other than with itself) or no query is left. The rest is searched by beams that double
+    while they are full of links. Queries that would need one over ``widest``, and all of the rest if the audited ones'
+    own search misses a link, are compared with the whole shard too.
     """
     n, m = len(q), len(graph.x)
-    checked = np.unique(np.linspace(0, n - 1, min(n, audit)).astype(int))
-    truth = q[checked] @ graph.x.T >= least
-    left, right = [], []
-    todo = np.arange(n)
+    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
+    want = np.zeros(n, int)
+
+    def compare(some: np.ndarray) -> int:
+        """All links of these queries; how many queries have one, other than with itself."""
+        r, c = np.nonzero(q[some] @ graph.x.T >= least)
+        left.append(some[r])
+        right.append(c)
+        want[some] = np.bincount(r, minlength=len(some))
+        return len(np.unique(r[some[r] != c] if own else r))
+
+    order = np.argsort(np.arange(n) * 0.6180339887498949 % 1)
+    seen = at = 0
+    while at < n and seen < audit:
+        seen += compare(order[at : at + 256])
+        at += 256
+    todo, probes = order[at:], order[:at][want[order[:at]] > 0]
     while len(todo):
-        if beam > widest:
-            for a in range(0, len(todo), 1024):
-                r, c = np.nonzero(q[todo[a : a + 1024]] @ graph.x.T >= least)
-                left.append(todo[a + r])
-                right.append(c)
+        missed = False
+        if beam <= widest and len(probes):
+            _, sims = graph.search(q[probes], beam)
+            hits = (sims >= least).sum(axis=1)
+            full = hits == sims.shape[1]
+            missed = bool((~full & (hits < want[probes])).any())
+            probes = probes[full]
+        if beam > widest or missed:
+            for a in range(0, len(todo), 256):
+                compare(todo[a : a + 256])
             break
         # a bounded number of queries at a time: each keeps track of the nodes it has seen
         parts = [graph.search(q[todo[a : a + 1024]], beam) for a in range(0, len(todo), 1024)]
         ids, sims = (np.concatenate(p) for p in zip(*parts))
         hit = sims >= least
-        full = hit.all(axis=1) & (beam < m)
-        missed = False
-        for i, want in zip(checked, truth):
-            if beam < m and len(at := np.flatnonzero(todo == i)) and not full[at[0]]:
-                missed |= want.sum() > hit[at[0]].sum()
-        again = np.ones(len(todo), bool) if missed else full
+        again = hit.all(axis=1) & (beam < m)
         done = np.flatnonzero(~again)
         r, c = np.nonzero(hit[done])
         left.append(todo[done[r]])
         right.append(ids[done[r], c])
         todo = todo[again]
         beam = min(2 * beam, m)
-    pairs = np.unique(np.concatenate(left or [np.zeros(0, int)]) * m + np.concatenate(right or [np.zeros(0, int)])) if m else np.zeros(0, int)
+    pairs = np.unique(np.concatenate(left) * m + np.concatenate(right)) if m else np.zeros(0, int)
     return pairs // max(m, 1), pairs % max(m, 1)
 
 
@@ -222,7 +241,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.93
                 if cids != last:
                     graph, last = Graph(_unit_block(data, d)), cids
                 q = _unit_block(q_data, d)
-                left, right = links_between(graph, q, least - 1e-9)
+                left, right = links_between(graph, q, least - 1e-9, own=q_cids == cids)
                 mine, other = np.frombuffer(q_cids, "<i8"), np.frombuffer(cids, "<i8")
                 ok = (mine[left] != other[right]) & (np.einsum("ij,ij->i", q[left], graph.x[right]) >= least)
                 left, right = left[ok], right[ok]

@@ -544,3 +544,16 @@ def test_embeddings_equal_brute_force(spark, sf):
 
 def test_embeddings_empty(spark):
     assert hnsw.near_duplicates(spark, spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_audit_finds_rare_links_that_a_graph_misses():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 48))
+    x[6] = x[5] + 0.01 * rng.normal(size=48)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Graph(x)
+    for near in graph.near:  # no path leads to node 6
+        near[near == 6] = -1
+    graph.start = graph.start if graph.start != 6 else 0
+    found = set(zip(*(side.tolist() for side in hnsw.links_between(graph, x, 0.93))))
+    assert {(5, 6), (6, 5)} <= found
