@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 _PLACES = "token long, u long, n int, at int"
 
 
-def common_tokens(sets: DataFrame, sample: int = 20_000, often: int = 8, most: int = 200_000) -> np.ndarray:
+def common_tokens(sets: DataFrame, sample: int = 4_000, often: int = 4, most: int = 200_000) -> np.ndarray:
     """Sorted tokens that ``often`` or more of about ``sample`` sets hold; the ``most`` most frequent at most."""
     every = max(1, sets.count() // sample)
-    some = sets.filter(F.pmod("u", F.lit(every)) == 0).dropDuplicates(["u"]).select(F.explode("s").alias("token"))
+    some = sets.filter(F.pmod("u", F.lit(every)) == 0).select(F.explode("s").alias("token"))
     counts = some.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= often).orderBy(F.desc("n")).limit(most)
-    return np.sort(np.array([r["token"] for r in counts.collect()], np.int64))
+    return np.sort(counts.select("token").toArrow().column(0).to_numpy())
 
 
 def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
@@ -63,7 +63,7 @@ def shared(places: DataFrame) -> DataFrame:
     """The places whose token more than one set has, with head: the place of the smallest u with that token."""
     by_token = Window.partitionBy("token")
     marked = places.withColumn("head", F.min(F.struct("u", "n", "at")).over(by_token)).withColumn("last", F.max("u").over(by_token))
-    return marked.filter(F.col("last") > F.col("head.u")).drop("last").distinct()
+    return marked.filter(F.col("last") > F.col("head.u")).drop("last")
 
 
 def _possible(n: Column, at: Column, n_b: Column, at_b: Column, similarity: float) -> Column:
@@ -72,10 +72,26 @@ def _possible(n: Column, at: Column, n_b: Column, at_b: Column, similarity: floa
     return (F.least(n, n_b) >= similarity * F.greatest(n, n_b) - 1e-9) & (rest >= similarity / (1 + similarity) * (n + n_b) - 1e-9)
 
 
+def _likely(pairs: DataFrame, similarity: float) -> DataFrame:
+    """a, b of the ``a, b, n, n_b`` rows (one for each shared token) that have enough of them to be so similar.
+
+    What follows the earlier end of two prefixes adds at most the rest of its set, so the tokens that the prefixes share
+    must make up for what the larger rest leaves wanting. Repeated rows only let more pairs pass.
+    """
+
+    def rest(n: str) -> Column:
+        return F.greatest(F.ceil(F.lit(similarity) * F.col(n) - 1e-9) - 1, F.lit(0))
+
+    wanted = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("n_b")) - F.greatest(rest("n"), rest("n_b"))
+    counted = pairs.groupBy("a", "b", "n", "n_b").agg(F.count("*").alias("common"))
+    return counted.filter(F.col("common") >= wanted - 1e-6).select("a", "b")
+
+
 def head_pairs(places: DataFrame, similarity: float) -> DataFrame:
-    """a, b: each set with the smallest u that it shares a token with; no more pairs than places."""
+    """a, b: sets with the smallest u of the tokens they share; no more pairs than places, and not all that are similar."""
     fits = _possible(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at"), similarity)
-    return places.filter((F.col("u") != F.col("head.u")) & fits).select(F.col("head.u").alias("a"), F.col("u").alias("b")).distinct()
+    pairs = places.filter((F.col("u") != F.col("head.u")) & fits)
+    return _likely(pairs.select(F.col("head.u").alias("a"), F.col("u").alias("b"), "n", F.col("head.n").alias("n_b")), similarity)
 
 
 def other_pairs(places: DataFrame, components: DataFrame, similarity: float) -> DataFrame:
@@ -83,8 +99,8 @@ def other_pairs(places: DataFrame, components: DataFrame, similarity: float) ->
     named = places.drop("head").join(components, places["u"] == components["node"], "left")
     named = named.select("token", "u", "n", "at", F.coalesce("component", "u").alias("c"))
     by_token = Window.partitionBy("token")
-    named = named.withColumn("lo", F.min("c").over(by_token)).withColumn("hi", F.max("c").over(by_token)).filter("lo < hi").drop("lo", "hi")
+    named = named.withColumn("lo", F.min("c").over(by_token)).withColumn("hi", F.max("c").over(by_token)).filter("lo < hi").drop("lo", "hi").distinct()
     one, two = (named.select(F.col("token"), *[F.col(c).alias(f"{c}_{x}") for c in ("u", "n", "at", "c")]) for x in "ab")
     fits = _possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), similarity)
     pairs = one.join(two, "token").filter((F.col("u_a") < F.col("u_b")) & (F.col("c_a") != F.col("c_b")) & fits)
-    return pairs.select(F.col("u_a").alias("a"), F.col("u_b").alias("b")).distinct()
+    return _likely(pairs.select(F.col("u_a").alias("a"), F.col("u_b").alias("b"), F.col("n_a").alias("n"), "n_b"), similarity)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.llm import overlap
-from sievemill.llm.common import checkpoint, shuffle_width
+from sievemill.llm.common import checkpoint, release, shuffle_width
 from sievemill.llm.components import connected_components, roots_of
 from sievemill.llm.sketch import shingle_hashes
 
@@ -212,6 +212,35 @@ def _alike(s: Column, other: Column, similarity: float) -> Column:
     return F.when(total == 0, F.lit(True)).otherwise(common >= F.lit(similarity) * total)
 
 
+def _followers(spark: SparkSession, rows: DataFrame, similarity: float) -> DataFrame:
+    """u of the ``component, first, u, s`` rows alike to one that stays before them in their component, by first and u.
+
+    A task holds the sets that stay of one component at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stay = None, []
+        for batch in batches:
+            out = []
+            for component, u, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if component != now:
+                    now, stay = component, []
+                mine = np.sort(s.values.to_numpy(zero_copy_only=False))
+                for other in stay:
+                    if min(len(mine), len(other)) < similarity * max(len(mine), len(other)) - 1e-9:
+                        continue
+                    common = len(np.intersect1d(mine, other, assume_unique=True))
+                    if common >= similarity * (len(mine) + len(other) - common):
+                        out.append(u)
+                        break
+                else:
+                    stay.append(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["u"])
+
+    ordered = rows.repartition(shuffle_width(spark), "component").sortWithinPartitions("component", "first", "u")
+    return ordered.select("component", "u", "s").mapInArrow(run, "u long")
+
+
 def redundant(
     spark: SparkSession, docs: DataFrame, width: int = 3, budget: int = 8, similarity: float = 0.8, words: int = 5, broadcast_rows: int = 500_000
 ) -> DataFrame:
@@ -220,8 +249,7 @@ def redundant(
     Equal texts repeat each other. Else texts whose distinct ``words``-word shingles have a Jaccard similarity of
     ``similarity`` or more are linked: fingerprints within ``budget`` bits and the prefixes of shingle sets propose, the
     shingles decide, and every pair that the prefixes allow is compared unless its texts are linked already. In each
-    group of links a text goes if it is that similar to the group's smallest doc_id; what is unlike it forms a group of
-    its own in the next round, until nothing is left to compare. A text is known by 64 bits of its SHA-256. Null texts
+    group of links, by doc_id, a text goes if it is that similar to one before it that stays. A text is known by 64 bits of its SHA-256. Null texts
     count as empty; rows without a doc_id repeat nothing; an empty table gives no rows.
     """
     docs = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -256,14 +284,16 @@ def redundant(
     chosen = parts.join(firsts.select("u", "first"), parts["node"] == F.col("u")).select("u", "component", F.struct("first", "u").alias("key"))
     chosen = checkpoint(spark, chosen)
     left = checkpoint(spark, sets_of(chosen).join(chosen, "u").select("key", "component", "s"))
-    fallen = []
-    while left.take(1):
-        heads = left.groupBy("component").agg(F.min("key").alias("head")).select(F.expr("component ^ 0L").alias("component"), "head")
-        heads = heads.join(left.select(F.col("key").alias("head"), F.col("s").alias("head_s")), "head")
-        alike = _alike(F.col("s"), F.col("head_s"), similarity)
-        judged = checkpoint(spark, left.join(heads.select(F.expr("component ^ 0L").alias("component"), "head", "head_s"), "component").select("key", "component", "s", "head", alike.alias("alike")).withColumn("s", F.when(~F.col("alike"), F.col("s"))))
-        fallen.append(judged.filter("alike AND key <> head").select("key.u"))
-        left = judged.filter("NOT alike").select("key", "component", "s")
+    release(spark)
+    # most of a dense group goes by its smallest doc_id, spread over tasks; the rest of a group meets in one task
+    heads = left.groupBy("component").agg(F.min("key").alias("head")).select(F.expr("component ^ 0L").alias("component"), "head")
+    heads = heads.join(left.select(F.col("key").alias("head"), F.col("s").alias("head_s")), "head")
+    alike = _alike(F.col("s"), F.col("head_s"), similarity)
+    judged = left.join(heads.select(F.expr("component ^ 0L").alias("component"), "head", "head_s"), "component")
+    judged = judged.select("key", "component", "head", alike.alias("alike"), F.when(~alike, F.col("s")).alias("s"))
+    judged = checkpoint(spark, judged.withColumn("u", F.col("key.u")).withColumn("first", F.col("key.first")))
+    rest = judged.filter("NOT alike").select("component", "first", "u", "s")
+    fallen = [judged.filter("alike AND key <> head").select("u"), _followers(spark, rest, similarity)]
     for part in fallen:
         gone = gone.unionByName(hashed.join(part, "u").select("doc_id"))
     return checkpoint(spark, gone.distinct())
