@@ -1,7 +1,7 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one for each shard.
 
 Exact copies are collapsed first. The vectors of a label are dealt by hash to shards of bounded size; each shard gets a
-graph, and every block of vectors searches every shard of its label. A search keeps a beam of its nearest vectors; it is
+graph, and every two shards of a label search each other: a link found from either end counts at both. A search keeps a beam of its nearest vectors; it is
 widened as long as the whole beam lies within the similarity asked for. An audit compares vectors of the block with the
 whole shard until enough of them had a link, or all were compared; if their own search misses a link, the whole block is
 compared. Links are verified in double precision.
@@ -10,7 +10,7 @@ compared. Links are verified in double precision.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -185,6 +185,24 @@ def links_between(
     return pairs // max(m, 1), pairs % max(m, 1)
 
 
+def linked_pairs(one: Graph, two: Graph | None, least: float, find: Callable[..., tuple[np.ndarray, np.ndarray]] = links_between) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of linked vectors of two shards, or (two is None) i < j of one, found from either end."""
+    other = two or one
+    right, left = find(one, other.x, least - 1e-9, own=two is None)  # the queries are the second shard's
+    if two is None:
+        left, right = np.minimum(left, right), np.maximum(left, right)
+        left, right = left[left < right], right[left < right]
+    else:
+        more, found = find(two, one.x, least - 1e-9)
+        left, right = np.concatenate([left, more]), np.concatenate([right, found])
+    m = max(len(other.x), 1)
+    pairs = np.unique(left * m + right)
+    left, right = pairs // m, pairs % m
+    ok = [np.einsum("ij,ij->i", one.x[left[a : a + (1 << 17)]], other.x[right[a : a + (1 << 17)]]) >= least for a in range(0, len(pairs), 1 << 17)]
+    kept = np.concatenate([np.zeros(0, bool), *ok])
+    return left[kept], right[kept]
+
+
 def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.93, shard: int = 8192) -> DataFrame:
     """vec_id, n_links, component_id, kept of ``vec_id, embedding, label`` rows.
 
@@ -230,30 +248,30 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.93
         gather, "label string, d int, s int, shards int, cids binary, data binary, weights binary"
     )
     blocks = checkpoint(spark, by_shard)
-    asked = blocks.select("label", "d", F.col("cids").alias("q_cids"), F.col("data").alias("q_data"), F.explode(F.expr("sequence(0, shards - 1)")).alias("s"))
+    asked = blocks.select("label", "d", F.col("cids").alias("q_cids"), F.col("data").alias("q_data"), F.col("weights").alias("q_weights"), F.explode(F.expr("sequence(s, shards - 1)")).alias("s"))
     cells = asked.join(blocks.select("label", "d", "s", "cids", "data", "weights"), ["label", "d", "s"])
-    cells = cells.select("d", "q_cids", "q_data", "cids", "data", "weights").repartition(shuffle_width(spark))
+    cells = cells.select("d", "q_cids", "q_data", "q_weights", "cids", "data", "weights").repartition(shuffle_width(spark))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, graph = None, None
+        graphs: dict[bytes, Graph] = {}
         for batch in batches:
-            for d, q_cids, q_data, cids, data, weights in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if cids != last:
-                    graph, last = Graph(_unit_block(data, d)), cids
-                q = _unit_block(q_data, d)
-                left, right = links_between(graph, q, least - 1e-9, own=q_cids == cids)
+            for d, q_cids, q_data, q_weights, cids, data, weights in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                graphs = {k: g for k, g in graphs.items() if k in (q_cids, cids)}
+                for k, v in ((q_cids, q_data), (cids, data)):
+                    if k not in graphs:
+                        graphs[k] = Graph(_unit_block(v, d))
+                left, right = linked_pairs(graphs[q_cids], graphs[cids] if cids != q_cids else None, least)
                 mine, other = np.frombuffer(q_cids, "<i8"), np.frombuffer(cids, "<i8")
-                ok = (mine[left] != other[right]) & (np.einsum("ij,ij->i", q[left], graph.x[right]) >= least)
-                left, right = left[ok], right[ok]
-                # a class's links are the copies of all classes that it found; what joins classes is returned as stars
+                # a class's links are the copies of all classes linked with it; what joins classes is returned as stars
                 count = np.bincount(left, np.frombuffer(weights, "<i8")[right], len(mine)).astype(np.int64)
+                back = np.bincount(right, np.frombuffer(q_weights, "<i8")[left], len(other)).astype(np.int64)
                 nodes, where = np.unique(np.concatenate([mine[left], other[right]]), return_inverse=True)
                 root = roots_of(len(nodes), where[: len(left)], where[len(left) :])
                 rest = np.flatnonzero(root != np.arange(len(nodes)))
-                some = np.flatnonzero(count)
-                a = np.concatenate([nodes[rest], mine[some]])
-                b = np.concatenate([nodes[root[rest]], np.full(len(some), -1)])
-                n = np.concatenate([np.zeros(len(rest), np.int64), count[some]])
+                some, those = np.flatnonzero(count), np.flatnonzero(back)
+                a = np.concatenate([nodes[rest], mine[some], other[those]])
+                b = np.concatenate([nodes[root[rest]], np.full(len(some) + len(those), -1)])
+                n = np.concatenate([np.zeros(len(rest), np.int64), count[some], back[those]])
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, n)], ["a", "b", "n"])
 
     found_links = checkpoint(spark, cells.mapInArrow(search, "a long, b long, n long"))

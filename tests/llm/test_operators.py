@@ -557,3 +557,22 @@ def test_audit_finds_rare_links_that_a_graph_misses():
     graph.start = graph.start if graph.start != 6 else 0
     found = set(zip(*(side.tolist() for side in hnsw.links_between(graph, x, 0.93))))
     assert {(5, 6), (6, 5)} <= found
+
+
+def test_links_found_from_one_end_count_at_both():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 32))
+    y = x + 0.01 * rng.normal(size=x.shape)
+    one, two = (hnsw.Graph(v / np.linalg.norm(v, axis=1, keepdims=True)) for v in (x, y))
+
+    def find(graph, q, least, own=False):
+        """A search that finds nothing in the first graph."""
+        left, right = hnsw.links_between(graph, q, least, own=own)
+        return (left, right) if graph is two else (left[:0], right[:0])
+
+    left, right = hnsw.linked_pairs(one, two, 0.93, find)
+    assert {(i, i) for i in range(200)} <= set(zip(left.tolist(), right.tolist()))
+    left, right = hnsw.linked_pairs(two, one, 0.93, find)
+    assert {(i, i) for i in range(200)} <= set(zip(left.tolist(), right.tolist()))
+    left, right = hnsw.linked_pairs(two, None, 0.93, find)
+    assert (left < right).all()
