@@ -31,12 +31,18 @@ def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFram
     Empty sets share one token.
     """
 
+    def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
+        token, u, n, at = np.concatenate(parts, axis=1)
+        columns = [pa.array(token), pa.array(u), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, ["token", "u", "n", "at"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             lists = batch.column(1)
             values, edges = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             parts: list[np.ndarray] = []
+            size = 0
             for i, u in enumerate(batch.column(0).to_pylist()):
                 if u in seen:
                     continue
@@ -51,10 +57,12 @@ def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFram
                 known[known] = common[rank[known]] == s[known]
                 first = s[np.argsort(known, kind="stable")][: n - int(np.ceil(similarity * n - 1e-9)) + 1]
                 parts.append(np.stack([first, np.full(len(first), u), np.full(len(first), n), np.arange(len(first))]))
+                size += len(first)
+                if size >= 1 << 16:  # a bound on memory
+                    yield packed(parts)
+                    parts, size = [], 0
             if parts:
-                token, u, n, at = np.concatenate(parts, axis=1)
-                columns = [pa.array(token), pa.array(u), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["token", "u", "n", "at"])
+                yield packed(parts)
 
     return sets.select("u", "s").mapInArrow(run, _PLACES)
 
