@@ -1,17 +1,18 @@
 """Exact removal of repeated byte strings by merging shards' Burrows-Wheeler transforms.
 
 A byte goes if a string of ``WINDOW`` bytes that covers it also starts in a document with a smaller doc_id. Four steps
-keep every group bounded and every shuffle small; documents are dealt to groups by id, and each group's documents travel
-compressed.
+keep every group bounded and every shuffle small. A group is what one task reads in a row, up to a number of bytes; it is
+compressed and written once, and what buckets say about it comes back to it by its number.
 
 1. Anchors. A window's anchor is the smallest hash of the 32-byte strings in it, so equal windows have equal anchors.
-   Each group sends its distinct anchors (four bytes each, by bucket of the hash); a bucket answers each group with
-   those that another document has too. Windows of unshared anchors are unique, which settles most of a
-   corpus.
+   Each group sends its distinct anchors (four bytes each, by bucket of the hash); a bucket, which holds about those of
+   two groups, answers each group with those that another document has too. Windows of unshared anchors are unique,
+   which settles most of a corpus. A message holds all that a group has for a bucket, so there are never more messages
+   than anchors, and far fewer until the corpus has as many groups as a group has anchors.
 2. Snippets. The other windows are cut into runs with a common 12-byte minimum and sent, each distinct run of a group
    once with the smallest doc_id that has it, to the bucket of that minimum; equal windows meet there.
-3. Merge. In a bucket every group's snippets are a shard with its own Burrows-Wheeler transform. The transforms are
-   merged by refining their interleave: a stable pass over the merged transform's characters turns the order by k
+3. Merge. A bucket's snippets are taken a slice of the minima at a time, which bounds memory; a slice's snippets are
+   dealt to shards, each with its own Burrows-Wheeler transform. The transforms are merged by refining their interleave: a stable pass over the merged transform's characters turns the order by k
    characters into that by k + 1, a boundary appears where characters or old blocks differ (that is the common prefix
    length), and no suffix is sorted again. The blocks left after ``WINDOW`` passes are the repeated windows; each has its
    smallest doc_id. A group is answered with one bit for each window of each snippet.
@@ -27,6 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ WINDOW = 50
 _ANCHOR, _SEED = 32, 12
 #: Starts of a run at most, so that its first and last window cover it.
 _RUN = 32
-_CHUNK = 1 << 19
+_CHUNK = 1 << 17
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.random.default_rng(20_011).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -213,8 +215,8 @@ class Snippets:
     ``run_of``, ``start``, ``count``, ``doc``: all runs and the distinct run each is; ``first``: a run for each distinct.
     """
 
-    def __init__(self, whole_group: Group, shared: np.ndarray, buckets: int):
-        """``shared``: places of the anchors that another document has too, sorted."""
+    def __init__(self, whole_group: Group, shared: np.ndarray, places: int, buckets: int):
+        """``shared``: places of the anchors, of which there are so many buckets, that another document has too, sorted."""
         starts, counts, docs, keys, seeds = [], [], [], [], []
         hit_docs = np.zeros(len(whole_group.ids), bool)
 
@@ -223,7 +225,7 @@ class Snippets:
             if not len(anchor) or not len(shared):
                 return np.zeros(len(anchor), bool)
             begin = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
-            place = _place(anchor[begin], buckets)
+            place = _place(anchor[begin], places)
             at = np.searchsorted(shared, place).clip(max=len(shared) - 1)
             return np.repeat(shared[at] == place, np.diff(np.append(begin, len(anchor))))
 
@@ -249,7 +251,8 @@ class Snippets:
             keys.append(_mixed(w[begin]) * np.uint64(3) + _mixed(w[end] + (end - begin).astype(np.uint64)))
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.start, self.count, self.doc = join(starts, np.int64), join(counts, np.int64), join(docs, np.int64)
-        key, bucket = join(keys, np.uint64), _bucket(join(seeds, np.uint64), buckets)
+        key, seed = join(keys, np.uint64), join(seeds, np.uint64)
+        bucket = _bucket(seed, buckets)
         order = np.lexsort((key, bucket))
         new = np.ones(len(order), bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
@@ -257,18 +260,19 @@ class Snippets:
         self.run_of[order] = np.cumsum(new) - 1
         self.first = order[new]
         self.bucket = bucket[self.first]
+        self.slice = (seed[self.first] >> np.uint64(8)).astype(np.uint8)
         self.owner = np.full(len(self.first), np.iinfo(np.int64).max)
         np.minimum.at(self.owner, self.run_of, whole_group.ids[self.doc])
 
     def rows(self, group: Group, buckets: int) -> Iterator[tuple[int, bytes]]:
-        """Each bucket's snippets: their number, starts, smallest doc_ids and bytes."""
+        """Each bucket's snippets: their number, starts, slices, smallest doc_ids and bytes."""
         cut = _slices(self.bucket, buckets)
         for b in np.flatnonzero(np.diff(cut)):
             first = self.first[cut[b] : cut[b + 1]]
             start, count = self.start[first], self.count[first]
             size = count + WINDOW - 1
             index = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            raw = count.astype(np.uint8).tobytes() + self.owner[cut[b] : cut[b + 1]].astype("<i8").tobytes() + group.x[index].tobytes()
+            raw = count.astype(np.uint8).tobytes() + self.slice[cut[b] : cut[b + 1]].tobytes() + self.owner[cut[b] : cut[b + 1]].astype("<i8").tobytes() + group.x[index].tobytes()
             yield int(b), len(first).to_bytes(8, "little") + zstandard.compress(raw, 3)
 
 
@@ -372,61 +376,90 @@ def _sharing(data: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int =
     return np.unique(o[several])
 
 
-def repeated_windows(shards: list[bytes], shard_bytes: int = 1 << 20) -> list[np.ndarray]:
+def _cut_out(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The strings that begin there, one after another."""
+    return data[np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+
+
+def _repeated(data: np.ndarray, begin: np.ndarray, count: np.ndarray, least: np.ndarray, shard_bytes: int) -> np.ndarray:
+    """For each window of distinct strings, whether it also starts in one with a smaller owner.
+
+    Equal windows have equal hashes, so a string without a hash that another has can't share a window; all others are
+    dealt to shards of about ``shard_bytes``, whose transforms are merged and decide.
+    """
+    offset = np.cumsum(count) - count
+    hit = np.zeros(int(count.sum()), bool)
+    size = count + WINDOW - 1
+    chosen = _sharing(data, begin, size)
+    if not len(chosen):
+        return hit
+    n = size[chosen]
+    shard_of = (np.cumsum(n) - n) // shard_bytes
+    edges = np.append(np.flatnonzero(np.concatenate([[True], shard_of[1:] != shard_of[:-1]])), len(chosen))
+    transforms, string, place = [], [], []
+    for a, b in zip(edges, edges[1:]):
+        shard = Shard(n[a:b], _cut_out(data, begin[chosen[a:b]], n[a:b]))
+        transforms.append(shard.bwt)
+        of = shard.string[shard.order]
+        string.append((of + a).astype(np.int32))
+        place.append((shard.order - shard.begin[of]).astype(np.uint8))
+    merged, block = merge_transforms(transforms, WINDOW)
+    # by place in the merged transform: the string, the window in it, and whether a whole window starts there
+    string, place = chosen[np.concatenate(string)[merged]], np.concatenate(place)[merged]
+    valid = place < count[string]
+    string, place, block = string[valid], place[valid], block[valid]
+    lowest = np.full(int(block[-1]) + 1 if len(block) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(lowest, block, least[string])
+    hit[offset[string] + place] = lowest[block] < least[string]
+    return hit
+
+
+def repeated_windows(shards: list[bytes], slice_bytes: int = 1 << 20, shard_bytes: int = 1 << 18) -> list[np.ndarray]:
     """For each group's snippets, whether each window also starts in a document with a smaller doc_id than its owner.
 
-    Snippets that several groups sent are one string here, owned by the smallest doc_id. Equal windows have equal hashes,
-    so a distinct snippet without a hash that another has can't share a window; all others are dealt to shards of about
-    ``shard_bytes``, whose transforms are merged and decide.
+    Snippets that several groups sent are one string here, owned by the smallest doc_id. Windows that are equal have
+    the same slice, so slices of about ``slice_bytes`` are merged one after the other.
     """
-    counts, owners, texts = [], [], []
+    counts, slices, owners, texts = [], [], [], []
     for blob in shards:
         n = int.from_bytes(blob[:8], "little")
         raw = zstandard.decompress(blob[8:])
         counts.append(np.frombuffer(raw, np.uint8, n).astype(np.int64))
-        owners.append(np.frombuffer(raw, "<i8", n, n))
-        texts.append(np.frombuffer(raw, np.uint8, -1, 9 * n))
-    count, owner, data = (np.concatenate(x) for x in (counts, owners, texts))
+        slices.append(np.frombuffer(raw, np.uint8, n, n).astype(np.int64))
+        owners.append(np.frombuffer(raw, "<i8", n, 2 * n))
+        texts.append(np.frombuffer(raw, np.uint8, -1, 10 * n))
+    sent = np.cumsum([0, *map(len, counts)])
+    count, part, owner, data = (np.concatenate(x) for x in (counts, slices, owners, texts))
+    del texts
     size = count + WINDOW - 1
     begin = np.cumsum(size) - size
-    whole = data.tobytes()
     number: dict[bytes, int] = {}
-    of = np.fromiter((number.setdefault(whole[a:b], len(number)) for a, b in zip(begin.tolist(), (begin + size).tolist())), np.int64, len(size))
-    del whole
+    view = memoryview(data)
+    of = np.fromiter((number.setdefault(bytes(view[a:b]), len(number)) for a, b in zip(begin.tolist(), (begin + size).tolist())), np.int64, len(size))
     first = np.full(len(number), -1)
     first[of[::-1]] = np.arange(len(of))[::-1]
-    number.clear()
+    del number
     least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, of, owner)
     count_1 = count[first]
     offset = np.cumsum(count_1) - count_1
     hit = np.zeros(int(count_1.sum()), bool)
-    chosen = _sharing(data, begin[first], size[first])
-    if len(chosen):
-        size_2 = size[first[chosen]]
-        shard_of = (np.cumsum(size_2) - size_2) // shard_bytes
-        edges = np.append(np.flatnonzero(np.concatenate([[True], shard_of[1:] != shard_of[:-1]])), len(chosen))
-        built = []
-        for a, b in zip(edges, edges[1:]):
-            n = size_2[a:b]
-            index = np.repeat(begin[first[chosen[a:b]]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            built.append(Shard(n, data[index]))
-        merged, block = merge_transforms([s.bwt for s in built], WINDOW)
-        # by place in the concatenated transforms: the snippet, the window in it, and whether a whole window starts there
-        string, place = [], []
-        for shard, a in zip(built, edges):
-            string.append(shard.string[shard.order] + a)
-            place.append(shard.order - shard.begin[shard.string[shard.order]])
-        string, place = chosen[np.concatenate(string)[merged]], np.concatenate(place)[merged]
-        valid = place < count_1[string]
-        string, place, block = string[valid], place[valid], block[valid]
-        lowest = np.full(int(block[-1]) + 1 if len(block) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(lowest, block, least[string])
-        hit[offset[string] + place] = lowest[block] < least[string]
-    # each group's windows: all of them if another group's owner of the same snippet is smaller
-    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    bits = hit[np.repeat(offset[of], count) + within] | np.repeat(owner > least[of], count)
-    return np.split(bits, np.cumsum([c.sum() for c in counts])[:-1])
+    n_slices = min(256, max(1, -(-int(size[first].sum()) // slice_bytes)))
+    slice_of = part[first] * n_slices >> 8
+    order = np.argsort(slice_of, kind="stable")
+    for one in np.split(order, np.searchsorted(slice_of[order], np.arange(1, n_slices))):
+        if len(one) > 1:
+            found = np.flatnonzero(_repeated(data, begin[first[one]], count_1[one], least[one], shard_bytes))
+            edge = np.cumsum(count_1[one])
+            at = np.searchsorted(edge, found, side="right")
+            hit[offset[one[at]] + found - (edge - count_1[one])[at]] = True
+    out = []
+    for a, b in zip(sent, sent[1:]):
+        # each window of a group's snippets: all of them if another group's owner of the same snippet is smaller
+        mine, n = of[a:b], count[a:b]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out.append(hit[np.repeat(offset[mine], n) + within] | np.repeat(owner[a:b] > least[mine], n))
+    return out
 
 
 # -- step 4: cut -------------------------------------------------------------------------------------------------------
@@ -449,7 +482,7 @@ def covered(group: Group, snippets: Snippets, hits: np.ndarray) -> np.ndarray:
         start = (np.repeat(snippets.start[rest], count) + within)[bit]
         np.add.at(change, start, 1)
         np.add.at(change, start + WINDOW, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32, out=change[:-1]) > 0
 
 
 def _bits(column: list, cuts: np.ndarray) -> np.ndarray:
@@ -484,44 +517,43 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, group_bytes: int = 16 <
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(1, -(-total // group_bytes))
-    buckets = 4 * groups
+    places, buckets = max(8, -(-groups // 2)), 2 * groups
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list, list]] = {}
-        size = 0
+        """A task's documents, in groups that the task's number and a count name."""
+        ids, texts, extras = [], [], []
+        p, size = TaskContext.get().partitionId() << 32, 0
 
         def flushed() -> pa.RecordBatch:
-            rows = [(p, pack_group(*x)) for p, x in sorted(held.items())]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["p", "blob"])
+            nonlocal p, size
+            blob = pack_group(ids, texts, extras)
+            for column in (ids, texts, extras):
+                column.clear()
+            p, size = p + 1, 0
+            return pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([blob], pa.binary())], ["p", "blob"])
 
         for batch in batches:
-            for p, doc_id, text, extra in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+            for doc_id, text, extra in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 raw = (text.as_py() or "").encode()
-                ids, texts, extras = held.setdefault(p, ([], [], []))
+                if texts and size + len(raw) > group_bytes:
+                    yield flushed()
                 ids.append(doc_id)
-                extras.append(extra)
                 texts.append(raw)
+                extras.append(extra)
                 size += len(raw)
-                if size >= 32 << 20:
-                    yield flushed()
-                    size = 0
-        if held:
+        if texts:
             yield flushed()
 
-    by_id = docs.select(F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(groups)).alias("p"), "doc_id", "text", F.col("extra") if keep_text else F.lit(None).cast("string").alias("extra"))
-    packed = by_id.mapInArrow(deal, "p long, blob binary")
-    grouped = lambda: packed.groupBy("p")
+    rows = docs.select("doc_id", "text", F.col("extra") if keep_text else F.lit(None).cast("string").alias("extra"))
+    packed = checkpoint(spark, rows.mapInArrow(deal, "p long, blob binary"))
 
-    def send_anchors(got: pa.Table) -> pa.Table:
-        value, twice = anchors_of(Group(got.column("blob").to_pylist()))
-        p = got.column("p")[0].as_py()
-        cut = _slices(_bucket(value, buckets), buckets)
-        rows = [
-            (int(b), p, _short(value[cut[b] : cut[b + 1]]), np.packbits(twice[cut[b] : cut[b + 1]]).tobytes())
-            for b in np.flatnonzero(np.diff(cut))
-        ]
-        return _table(rows, _TO_BUCKET)
+    def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                value, twice = anchors_of(Group([blob.as_py()]))
+                cut = _slices(_bucket(value, places), places)
+                some = [(int(b), slice(cut[b], cut[b + 1])) for b in np.flatnonzero(np.diff(cut))]
+                yield from _table([(b, p, _short(value[i]), np.packbits(twice[i]).tobytes()) for b, i in some], _TO_BUCKET).to_batches()
 
     def answer(step: int, solve: Callable[[pa.Table], list[bytes]]) -> Callable[[pa.Table], pa.Table]:
         def run(got: pa.Table) -> pa.Table:
@@ -534,7 +566,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, group_bytes: int = 16 <
         if not docs.num_rows:
             return _table([], _TO_BUCKET)
         group = Group(docs.column("blob").to_pylist())
-        snippets = Snippets(group, _shared_of(answers), buckets)
+        snippets = Snippets(group, _shared_of(answers), places, buckets)
         p = docs.column("p")[0].as_py()
         return _table([(b, p, blob, b"") for b, blob in snippets.rows(group, buckets)], _TO_BUCKET)
 
@@ -546,7 +578,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, group_bytes: int = 16 <
         if not docs.num_rows:
             return _table([], schema)
         group = Group(docs.column("blob").to_pylist())
-        snippets = Snippets(group, _shared_of(answers), buckets)
+        snippets = Snippets(group, _shared_of(answers), places, buckets)
         counts = snippets.count[snippets.first]
         edge = np.concatenate([[0], np.cumsum(counts)])[_slices(snippets.bucket, buckets)]
         hits = _bits([(b, raw) for step, b, raw in zip(*(answers.column(n).to_pylist() for n in ("step", "b", "bits"))) if step == 2], edge)
@@ -557,18 +589,19 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, group_bytes: int = 16 <
             out, text = gone[at : at + size], group.x[at : at + size]
             kept = text[~out].tobytes()
             spans = int(out[:1].sum() + (out[1:] & ~out[:-1]).sum())
-            rows.append((doc_id if known else None, size, int(out.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore"), extra)[: len(names)])
+            row = (doc_id if known else None, size, int(out.sum()), spans, hashlib.sha256(kept).hexdigest())
+            rows.append((*row, kept.decode(errors="ignore"), extra) if keep_text else row)
         return _table(rows, schema)
 
     to_bucket, to_group = "b long, p long, data binary, more binary", "p long, step int, b long, bits binary"
-    sent = grouped().applyInArrow(send_anchors, to_bucket)
+    sent = packed.mapInArrow(send_anchors, to_bucket)
     solve_one = lambda got: shared_anchors(list(zip(got.column("data").to_pylist(), got.column("more").to_pylist())))
     first = checkpoint(spark, sent.groupBy("b").applyInArrow(answer(1, solve_one), to_group))
     release(spark)
-    snippets = grouped().cogroup(first.groupBy("p")).applyInArrow(send_snippets, to_bucket)
+    snippets = packed.groupBy("p").cogroup(first.groupBy("p")).applyInArrow(send_snippets, to_bucket)
     solve_two = lambda got: [np.packbits(x).tobytes() for x in repeated_windows(got.column("data").to_pylist())]
     second = checkpoint(spark, snippets.groupBy("b").applyInArrow(answer(2, solve_two), to_group))
     release(spark)
     both = first.unionByName(second)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, extra string" * keep_text
-    return grouped().cogroup(both.groupBy("p")).applyInArrow(cut_out, schema)
+    return packed.groupBy("p").cogroup(both.groupBy("p")).applyInArrow(cut_out, schema)
