@@ -1,12 +1,12 @@
 """Personal data: pattern spans, and terms that reveal what the patterns protect, in built-in SQL functions alone.
 
 Base spans are emails, IP addresses, card and phone numbers. Each distinct value is a protected entity. How strongly a
-term reveals an entity is estimated over the whole corpus: with p(e) the share of documents that an entity occurs in and
-p(e|t) the share of a term's occurrences that stand beside the entity, the entity's information is -log2 p(e), and the
-pointwise mutual information of term and entity, log2 p(e|t)/p(e), is how much of it the term gives away. Terms beside
-at least ``support`` different surroundings of an entity (copies of one surrounding count once) that give away the part
-``generalise`` of its information or more are generalised wherever they stand in a document that mentions the entity;
-from the part ``remove`` on they are removed.
+term reveals an entity is estimated from the corpus's co-occurrence by document: p(e) is the share of documents that
+mention an entity, and p(e|t) the share of a term's documents in which it stands beside the entity. The entity's
+information is -log2 p(e); the pointwise mutual information of term and entity, log2 p(e|t)/p(e), is how much of it the
+term gives away. Terms that do so in at least ``support`` different texts (exact copies of a text count once, since one
+text says nothing about co-occurrence) and give away the part ``generalise`` of its information or more are generalised
+wherever they stand in a document that mentions the entity; from the part ``remove`` on they are removed.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ class Disclosure:
     """Thresholds. ``reach``: code points on either side of an entity that count as beside it."""
 
     reach: int = 80
-    support: int = 3
+    support: int = 2
     generalise: float = 0.9
     remove: float = 0.98
 
@@ -117,52 +117,62 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
 
 
-def disclosures(docs: DataFrame, mentions: DataFrame, rule: Disclosure) -> DataFrame:
+def disclosures(docs: DataFrame, mentions: DataFrame, rule: Disclosure, broadcast_terms: int = 200_000) -> DataFrame:
     """entity, term, given (part of the entity's information): all pairs at or over the generalising threshold.
 
-    ``mentions``: doc_id, entity, around (hash of the surroundings), terms.
+    ``docs``: doc_id, text; ``mentions``: row (a number for each document), entity, content (hash of its text), terms.
+    The terms of the corpus are counted only if they stand beside an entity in ``support`` texts; these are broadcast up
+    to ``broadcast_terms``, else joined by shuffle.
     """
     n_docs = docs.count()
-    entities = mentions.groupBy("entity", "doc_id").agg(F.lit(1)).groupBy("entity").agg(F.count("*").alias("in_docs"))
-    beside = mentions.select("entity", "around", "n", F.explode("terms").alias("term"))
-    places = beside.groupBy("entity", "term", "around").agg(F.sum("n").alias("n"))
-    pairs = places.groupBy("entity", "term").agg(F.count("*").alias("places"), F.sum("n").alias("together"))
-    pairs = pairs.filter(F.col("places") >= rule.support)
-    total = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("seen"))
-    wanted = pairs.select("term").distinct()
-    seen = total.join(wanted, "term", "left_semi")
-    known = pairs.join(seen, "term").join(entities, "entity")
+    beside = mentions.select("entity", "row", "content", F.explode("terms").alias("term"))
+    # a document's mentions of an entity count once; copies are told by their content
+    once = beside.groupBy("entity", "term", "content", "row").agg(F.lit(1)).groupBy("entity", "term", "content").agg(F.count("*").alias("n"))
+    pairs = once.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("together"))
+    entities = mentions.groupBy("entity", "row").agg(F.lit(1)).groupBy("entity").agg(F.count("*").alias("in_docs"))
     information = -F.log2(F.col("in_docs") / F.lit(float(max(n_docs, 1)) + 1))
-    share = F.least(F.lit(1.0), F.col("together") / F.col("seen"))
-    given = known.withColumn("given", (F.log2(share) + information) / information)
-    return given.filter(F.col("given") >= rule.generalise).select("entity", "term", "given")
+
+    def given(seen: str) -> Column:
+        return (F.log2(F.least(F.lit(1.0), F.col("together") / F.col(seen))) + information) / information
+
+    # a term has at least the documents in which it stands beside any entity: this leaves out the common ones
+    least = beside.groupBy("term", "row").agg(F.lit(1)).groupBy("term").agg(F.count("*").alias("least"))
+    pairs = pairs.filter(F.col("texts") >= rule.support).join(least, "term").join(entities, "entity")
+    pairs = checkpoint(docs.sparkSession, pairs.filter(given("least") >= rule.generalise))
+    wanted = pairs.select(F.col("term").alias("wanted")).distinct()
+    side = F.broadcast(wanted) if wanted.count() <= broadcast_terms else wanted
+    every = docs.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
+    seen = every.join(side, every["term"] == side["wanted"], "left_semi").groupBy("term").agg(F.count("*").alias("seen"))
+    known = pairs.join(seen, "term").withColumn("given", given("seen"))
+    return known.filter(F.col("given") >= rule.generalise).select("entity", "term", "given")
 
 
 def mentions_of(spotted: DataFrame, rule: Disclosure) -> DataFrame:
-    """doc_id, entity, around, terms, n: what stands beside each base span."""
-    one = spotted.select("doc_id", "text", F.explode("base").alias("s"))
+    """doc_id, row, content, entity, terms: what stands beside each base span."""
+    one = spotted.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("content"), F.explode("base").alias("s"))
     left = F.substring(F.col("text"), F.greatest(F.col("s.start") - rule.reach, F.lit(0)) + 1, F.least(F.lit(rule.reach), F.col("s.start")))
     right = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(rule.reach))
     # words that the window's edge cuts do not count
     left = F.when(F.col("s.start") > rule.reach, F.regexp_replace(left, r"^[\p{L}\p{M}\p{N}_]+", "")).otherwise(left)
     right = F.when(F.length(right) == rule.reach, F.regexp_replace(right, r"[\p{L}\p{M}\p{N}_]++$", "")).otherwise(right)
-    near = one.select("doc_id", _entity(F.col("s")).alias("entity"), F.concat(left, F.lit(" \n "), right).alias("near"))
-    return near.select("doc_id", "entity", F.xxhash64("near").alias("around"), F.array_distinct(terms_of(F.col("near"))).alias("terms"), F.lit(1).alias("n"))
+    near = one.select("doc_id", "row", "content", _entity(F.col("s")).alias("entity"), F.concat(left, F.lit(" \n "), right).alias("near"))
+    return near.select("doc_id", "row", "content", "entity", F.array_distinct(terms_of(F.col("near"))).alias("terms"))
 
 
 def find(spark: SparkSession, docs: DataFrame, rule: Disclosure | None = None, broadcast_terms: int = 200_000) -> DataFrame:
     """The rows of ``docs`` with base and spans: the base spans, and those and the disclosing terms' spans.
 
     Null texts count as empty; repeated rows are searched each, and rows of one doc_id (or of none) share their
-    disclosing terms; an empty table gives no rows. The terms of documents are broadcast if they are at most
-    ``broadcast_terms``, else joined by shuffle.
+    disclosing terms; an empty table gives no rows. All columns of ``docs`` are kept, but for columns named base or
+    spans, which are replaced. The terms of documents are broadcast if they are at most ``broadcast_terms``, else joined
+    by shuffle.
     """
     rule = rule or Disclosure()
-    carried = [c for c in docs.columns if c != "text"]
-    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    carried = [docs[c] for c in docs.columns if c not in ("text", "base", "spans")]
+    docs = docs.select(F.struct(*carried).alias("carried"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     spotted = docs.withColumn("base", base_spans(F.col("text")))
     mentions = checkpoint(spark, mentions_of(spotted.filter(F.size("base") > 0), rule))
-    told = checkpoint(spark, disclosures(docs, mentions, rule))
+    told = checkpoint(spark, disclosures(docs, mentions, rule, broadcast_terms))
     mentioning = mentions.select("doc_id", "entity").distinct().join(told, "entity")
     strongest = mentioning.groupBy("doc_id", "term").agg(F.max("given").alias("given"))
     action = F.when(F.col("given") >= rule.remove, F.lit("remove")).otherwise(F.lit("generalise"))
@@ -170,19 +180,20 @@ def find(spark: SparkSession, docs: DataFrame, rule: Disclosure | None = None, b
     by_doc = checkpoint(spark, by_doc.select(F.col("doc_id").alias("told_id"), "actions"))
     size = by_doc.agg(F.coalesce(F.sum(F.size("actions")), F.lit(0))).first()[0]
     side = F.broadcast(by_doc) if size <= broadcast_terms else by_doc
-    joined = spotted.join(side, spotted["doc_id"].eqNullSafe(side["told_id"]), "left").drop("told_id")
+    told_actions = side["actions"]
+    joined = spotted.join(side, spotted["doc_id"].eqNullSafe(side["told_id"]), "left")
     pattern = rf"(?<![\p{{L}}\p{{M}}\p{{N}}_]){_TERM}(?![\p{{L}}\p{{M}}\p{{N}}_])"
 
     def acted(span: Column) -> Column:
-        what = F.element_at(F.col("actions"), F.lower(span["value"]))
+        what = F.element_at(told_actions, F.lower(span["value"]))
         return F.struct(span["start"].alias("start"), span["rank"].alias("rank"), span["end"].alias("end"), span["kind"].alias("kind"), span["value"].alias("value"), what.alias("action"))
 
     def clear(span: Column) -> Column:
         return ~F.exists(F.col("base"), lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
 
     terms = F.filter(F.transform(_placed(F.col("text"), pattern, "term"), acted), lambda s: s["action"].isNotNull() & clear(s))
-    spans = F.when(F.col("actions").isNotNull(), F.sort_array(F.concat(F.col("base"), terms))).otherwise(F.col("base"))
-    return joined.select(*carried, "text", "base", spans.alias("spans"))
+    spans = F.when(told_actions.isNotNull(), F.sort_array(F.concat(F.col("base"), terms))).otherwise(F.col("base"))
+    return joined.select("carried.*", "text", "base", spans.alias("spans"))
 
 
 def _of_kind(kind: str) -> Callable[[Column], Column]:
