@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievemill.llm.common import hand_back, map_arrow
+
 #: A lexicon of insults.
 LEXICON = (
     "idiot idiots moron morons stupid dumb fool loser losers pathetic worthless disgusting trash garbage scum clown "
@@ -128,12 +130,12 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.n
 
 
 def _unlike(doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-    """A mask of rows without those that look like copies of earlier ones: two least hashes of the features agree.
+    """A mask of rows without those that look like copies of earlier ones: four least hashes of the features agree.
 
     Copies of one text would otherwise make all of its words evidence for its label.
     """
-    least = np.zeros((n, 2), np.uint64)
-    for k, factor in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+    least = np.zeros((n, 4), np.uint64)
+    for k, factor in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)):
         mixed = (feature.astype(np.uint64) + np.uint64(1)) * np.uint64(factor)
         mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         column = np.full(n, np.iinfo(np.uint64).max)
@@ -233,23 +235,32 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
             found = [np.fromiter(sorted(features(t.as_py() or "")), "<i4").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "toxic", "f"])
 
-    got = rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, f binary").toArrow()
+    got = map_arrow(rows.select("doc_id", "text", "toxic"), run, "doc_id long, toxic int, f binary").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     label = got.column("toxic").to_numpy()[order]
     raw = got.column("f").to_pylist()
     parts = [np.frombuffer(raw[i], "<i4") for i in order]
     feature = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts]) if parts else np.zeros(0, int)
-    return fit(doc, feature, label)
+    del got, raw, parts
+    model = fit(doc, feature, label)
+    del doc, feature
+    hand_back()
+    return model
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of ``doc_id, text`` rows; null texts count as empty, repeated rows are scored each."""
+    """doc_id, score of ``doc_id, text`` rows; null texts count as empty, repeated rows are scored each, an empty table
+    gives no rows."""
     return flag(spark, docs.select("doc_id", "text"), model).select("doc_id", "score")
 
 
 def flag(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all columns kept, with a column ``score``."""
+    """The rows of ``docs``, all columns kept (but one named score, which is replaced), with a column ``score``.
+
+    Null texts count as empty; repeated rows are scored each; an empty table gives no rows.
+    """
+    docs = docs.drop("score")
     weights = {int(i): float(model.weight[i]) for i in np.flatnonzero(model.weight)}
     shared = spark.sparkContext.broadcast((Model(np.zeros(0), model.bias, []), weights))
 
@@ -259,4 +270,4 @@ def flag(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
             found = [model.score(t.as_py() or "", lookup) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
