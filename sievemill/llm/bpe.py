@@ -1,4 +1,4 @@
-"""BPE encoding and decoding by tree concatenation, and a memoising byte-level encoder for packing.
+"""BPE encoding and decoding by tree concatenation, and a byte-level encoder for packing.
 
 Text is cut at single blanks (no pre-token crosses one), and each cut piece is encoded once per worker: real text repeats
 its pieces, so most of the work is dictionary look-ups. What is not yet known is split into pre-tokens; a pre-token of
@@ -24,8 +24,10 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-#: Entries of a worker's caches before they start anew; some 150 bytes each.
-CACHE_ENTRIES = 800_000
+from sievemill.llm.common import map_arrow
+
+#: Entries of a generation of a worker's caches; some 150 bytes each.
+CACHE_ENTRIES = 150_000
 _NEVER = 1 << 60
 
 
@@ -37,6 +39,36 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+class Cache:
+    """What was asked for lately. An entry is kept from the second time on that it is put, so that what occurs once takes
+    no room; when a generation is full it becomes the older one, from which what is still in use is taken over."""
+
+    def __init__(self, entries: int):
+        self.entries = entries
+        self.now: dict = {}
+        self.older: dict = {}
+        self.seen = bytearray(1 << 20)
+
+    def put(self, key: object, value: object) -> None:
+        slot = hash(key) & 0xFFFFF
+        if self.seen[slot]:
+            self._keep(key, value)
+        self.seen[slot] = 1
+
+    def _keep(self, key: object, value: object) -> None:
+        if len(self.now) >= self.entries:
+            self.older, self.now, self.seen = self.now, {}, bytearray(1 << 20)
+        self.now[key] = value
+
+    def get(self, key: object) -> object:
+        found = self.now.get(key)
+        if found is None:
+            found = self.older.get(key)
+            if found is not None:
+                self._keep(key, found)
+        return found
+
+
 class WordBpe:
     """A tokenizers file whose BPE marks word ends: text is NFC-normalised and lower-cased, white space vanishes."""
 
@@ -61,7 +93,7 @@ class WordBpe:
             self.shown[i] = token
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pretoken = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.leaf, self.limit = leaf, cache_entries
+        self.leaf = leaf
         #: A symbol's bytes; 0xFF, which no UTF-8 text holds, marks the end of a word.
         back = {s: bytes([b]) for b, s in enumerate(symbols)}
         self.spelling: dict[int, bytes] = {}
@@ -72,9 +104,7 @@ class WordBpe:
             ranks[self.spelling[i]] = i
         self.propose = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         #: Proven: tokens, and pairs of tokens, that are the encoding of their own text.
-        self.sound: dict = {}
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.sound, self.words, self.pieces = Cache(cache_entries), Cache(cache_entries), Cache(cache_entries)
 
     # -- one pre-token ------------------------------------------------------------------------------------------
 
@@ -143,15 +173,15 @@ class WordBpe:
     def _holds(self, token: int) -> bool:
         known = self.sound.get(token)
         if known is None:
-            known = self.sound[token] = self.merge(self.symbols_of([token])) == [token]
+            known = self.merge(self.symbols_of([token])) == [token]
+            self.sound.put(token, known)
         return known
 
     def _pair_holds(self, a: int, b: int) -> bool:
         known = self.sound.get((a, b))
         if known is None:
-            if len(self.sound) >= self.limit:
-                self.sound.clear()
-            known = self.sound[a, b] = self.merge(self.symbols_of([a, b])) == [a, b]
+            known = self.merge(self.symbols_of([a, b])) == [a, b]
+            self.sound.put((a, b), known)
         return known
 
     def word(self, word: str) -> bytes:
@@ -159,10 +189,8 @@ class WordBpe:
         if found is None:
             raw = word.encode()
             found = array.array("I", self.tree([self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]])).tobytes()
-            if len(self.words) >= self.limit:
-                self.words.clear()
             if len(word) <= 64:
-                self.words[word] = found
+                self.words.put(word, found)
         return found
 
     # -- texts --------------------------------------------------------------------------------------------------
@@ -174,13 +202,14 @@ class WordBpe:
 
     def _plain(self, text: str) -> bytes:
         pieces = text.split(" ")
-        out = list(map(self.pieces.get, pieces))
+        out = list(map(self.pieces.now.get, pieces))
         for i in _missing(out):
-            out[i] = found = self.piece(pieces[i])
-            if len(self.pieces) >= self.limit:
-                self.pieces.clear()
-            if len(pieces[i]) <= 64:
-                self.pieces[pieces[i]] = found
+            found = self.pieces.get(pieces[i])
+            if found is None:
+                found = self.piece(pieces[i])
+                if len(pieces[i]) <= 64:
+                    self.pieces.put(pieces[i], found)
+            out[i] = found
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
@@ -199,7 +228,7 @@ class WordBpe:
 class ByteBpe:
     """A byte-level tokenizers file, encoded with the vocabulary's ids as merge ranks."""
 
-    def __init__(self, path: str, pattern: str, cache_entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, pattern: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = {s: b for b, s in enumerate(byte_symbols())}
@@ -208,31 +237,10 @@ class ByteBpe:
             ranks.pop(t["content"].encode(), None)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.ordinary, self.single = encoding.encode_ordinary, encoding._core_bpe.encode_single_piece
-        self.limit = cache_entries
-        self.pieces: dict[str, bytes] = {}
+        self.ordinary = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def _plain(self, text: str) -> bytes:
-        """A pre-token starts at every single blank between two visible characters, so such cuts change nothing."""
-        first, *rest = text.split(" ")
-        if not rest or not first or not _visible(first):
-            return array.array("I", self.ordinary(text)).tobytes()
-        out = list(map(self.pieces.get, rest))
-        for i in _missing(out):
-            piece = rest[i]
-            if not piece or not _visible(piece):
-                return array.array("I", self.ordinary(text)).tobytes()
-            if piece.isascii() and piece.isalpha():
-                ids = self.single((" " + piece).encode())
-            else:
-                ids = self.ordinary(" " + piece)
-            out[i] = found = array.array("I", ids).tobytes()
-            if len(self.pieces) >= self.limit:
-                self.pieces.clear()
-            if len(piece) <= 64:
-                self.pieces[piece] = found
-        return array.array("I", self.ordinary(first)).tobytes() + b"".join(out)
+        return array.array("I", self.ordinary(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
         if "<|" not in text:
@@ -244,16 +252,6 @@ class ByteBpe:
         )
 
 
-#: Characters on which libraries differ about being white space; a text with one at a cut is encoded as a whole.
-_DOUBTFUL = frozenset("\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff")
-
-
-def _visible(piece: str) -> bool:
-    """Whether a piece begins and ends with characters that no library takes for white space."""
-    a, b = piece[0], piece[-1]
-    return not (a.isspace() or b.isspace() or a in _DOUBTFUL or b in _DOUBTFUL)
-
-
 def _missing(found: list) -> Iterator[int]:
     i = -1
     with contextlib.suppress(ValueError):
@@ -296,4 +294,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
     names = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(run, names)
+    return map_arrow(docs.select("doc_id", "text"), run, names)

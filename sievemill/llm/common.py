@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import functools
 import gc
 import itertools
-import os
+import shutil
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +36,25 @@ def crc_mod(column: Column, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir, else (tests) one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.path.join(tempfile.gettempdir(), "sievemill-checkpoints")
-    return root
+    """The folder that driver and executors share: spark.checkpoint.dir, or what setCheckpointDir was given.
+
+    In local mode, where driver and executors are one process, a temporary folder will do, which goes with the process;
+    on a cluster an unset folder is an error.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if root:
+        return root
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
+
+
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="sievemill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def checkpoint(spark: SparkSession, df: DataFrame, eager: bool = True) -> DataFrame:
@@ -51,6 +70,37 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def hand_back() -> None:
+    """Give memory that Arrow and the C library hold for later use back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        return
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """``mapInArrow`` with small batches, by a function that hands memory back when it is done."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        hand_back()
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(tidied, schema)
+
+
+#: What Spark sets unless told otherwise, and what a batch of texts is held to then: each task has several at once.
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_DEFAULT_BATCH, _SMALL_BATCH = "67108864b", "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers in this session, unless it has a bound of its own."""
+    if spark.conf.get(_BATCH_BYTES, _DEFAULT_BATCH) == _DEFAULT_BATCH:
+        spark.conf.set(_BATCH_BYTES, _SMALL_BATCH)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now: it does so once their plans are garbage."""
     gc.collect()

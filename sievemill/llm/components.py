@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import checkpoint
+from sievemill.llm.common import checkpoint, map_arrow
 
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -45,7 +45,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b:
     they are shuffled, and the joins read plain exchanges, whose hot keys adaptive execution splits.
     """
     edges = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
-    edges = checkpoint(spark, edges.mapInArrow(_local_stars, "u long, v long").distinct())
+    edges = checkpoint(spark, map_arrow(edges, _local_stars, "u long, v long").distinct())
     before = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import checkpoint, shuffle_width
+from sievemill.llm.common import checkpoint, map_arrow, shuffle_width
 from sievemill.llm.components import connected_components, roots_of
 
 
@@ -244,8 +244,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.93
             columns.append(pa.array([np.array([n for _, _, n in held[k]], "<i8").tobytes() for k in keys], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["label", "d", "s", "shards", "cids", "data", "weights"])
 
-    by_shard = dealt.repartition(shuffle_width(spark), "label", "d", "s").mapInArrow(
-        gather, "label string, d int, s int, shards int, cids binary, data binary, weights binary"
+    by_shard = map_arrow(
+        dealt.repartition(shuffle_width(spark), "label", "d", "s"), gather, "label string, d int, s int, shards int, cids binary, data binary, weights binary"
     )
     blocks = checkpoint(spark, by_shard)
     asked = blocks.select("label", "d", F.col("cids").alias("q_cids"), F.col("data").alias("q_data"), F.col("weights").alias("q_weights"), F.explode(F.expr("sequence(s, shards - 1)")).alias("s"))
@@ -274,7 +274,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.93
                 n = np.concatenate([np.zeros(len(rest), np.int64), count[some], back[those]])
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, n)], ["a", "b", "n"])
 
-    found_links = checkpoint(spark, cells.mapInArrow(search, "a long, b long, n long"))
+    found_links = checkpoint(spark, map_arrow(cells, search, "a long, b long, n long"))
     links = found_links.filter("b >= 0").select("a", "b").distinct()
     counts = found_links.filter("b < 0").groupBy("a").agg(F.sum("n").alias("others"))
     named = classes.select(F.col("cid").alias("node"), "rep", "copies")

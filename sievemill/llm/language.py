@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievemill.llm.common import map_arrow
+
 #: Code lengths are whole numbers of 1/UNIT bit, so sums do not depend on how texts are cut into blocks.
 UNIT = 256
 _BLOCK = 1 << 17
@@ -145,7 +147,7 @@ def gram_counts(docs: DataFrame, order: int) -> DataFrame:
                 values, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(values), pa.array(n)], schema=schema)
 
-    found = docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
+    found = map_arrow(docs.select("lang", "text"), run, "lang string, gram long, n long")
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -193,4 +195,4 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
             columns = [batch.column(0).to_pylist(), *zip(*rows)] if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, bits_per_byte double")

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from sievemill.llm.bpe import byte_encoder
+from sievemill.llm.common import map_arrow
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -151,7 +152,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, end_id: int =
         packer.close()
         yield taken()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return map_arrow(docs.select("doc_id", "text"), run, PIECES)
 
 
 def pack_turns(turns: DataFrame, vocabulary: str, pattern: str, end_id: int = 1, limits: Limits | None = None) -> DataFrame:
@@ -176,4 +177,4 @@ def pack_turns(turns: DataFrame, vocabulary: str, pattern: str, end_id: int = 1,
         columns = list(zip(*packer.rows)) or [()] * len(_SCHEMA)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_SCHEMA)
 
-    return turns.select("doc_id", "turns").mapInArrow(run, PIECES)
+    return map_arrow(turns.select("doc_id", "turns"), run, PIECES)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sievemill.llm.bpe import byte_symbols
+from sievemill.llm.common import map_arrow
 
 #: Words of a worker's cache before it starts anew.
 CACHE_ENTRIES = 800_000
@@ -137,4 +138,4 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
             columns = [batch.column(0).to_pylist(), *zip(*counts)] if counts else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_words long, n_tokens long, n_unknown long")
