@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import checkpoint, release
+from sievemill.llm.common import checkpoint, hand_back, map_arrow, release
 
 WINDOW = 50
 _ANCHOR, _SEED = 32, 12
@@ -95,14 +95,14 @@ class Group:
         ids, sizes, known, texts, extras = [], [], [], [], []
         for blob in blobs:
             n, extra_bytes = (int.from_bytes(blob[i : i + 8], "little") for i in (0, 8))
-            raw = zstandard.decompress(blob[16:])
+            raw = zstandard.ZstdDecompressor().decompressobj().decompress(blob[16:])
             ids.append(np.frombuffer(raw, "<i8", n))
             sizes.append(np.frombuffer(raw, "<i8", n, 8 * n))
             known.append(np.frombuffer(raw, np.uint8, n, 16 * n).astype(bool))
             texts.append(np.frombuffer(raw, np.uint8, len(raw) - 17 * n - extra_bytes, 17 * n))
             if extra_bytes:
                 extras += json.loads(raw[len(raw) - extra_bytes :])
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        join = lambda parts, kind: parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, kind)
         self.ids, self.sizes = join(ids, np.int64), join(sizes, np.int64)
         self.known, self.x, self.extras = join(known, bool), join(texts, np.uint8), extras
         self.at = np.cumsum(self.sizes) - self.sizes
@@ -145,8 +145,9 @@ def pack_group(ids: list[int | None], texts: list[bytes], extras: list[str | Non
     head = np.array([i or 0 for i in ids], "<i8").tobytes() + np.array([len(t) for t in texts], "<i8").tobytes()
     known = bytes(i is not None for i in ids)
     extra = json.dumps(extras).encode() if any(x is not None for x in extras) else b""
-    raw = head + known + b"".join(texts) + extra
-    return len(ids).to_bytes(8, "little") + len(extra).to_bytes(8, "little") + zstandard.compress(raw, 3)
+    packer = zstandard.ZstdCompressor(3).compressobj()
+    parts = [packer.compress(part) for part in (head, known, *texts, extra)]
+    return b"".join([len(ids).to_bytes(8, "little"), len(extra).to_bytes(8, "little"), *parts, packer.flush()])
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -467,7 +468,8 @@ def repeated_windows(shards: list[bytes], slice_bytes: int = 1 << 20, shard_byte
 
 def covered(group: Group, snippets: Snippets, hits: np.ndarray) -> np.ndarray:
     """Which bytes of a group go. ``hits``: a bit for each window of each distinct snippet, in order."""
-    change = np.zeros(len(group.x) + 1, np.int32)
+    # so few intervals cover a byte (each begins at one of the 81 bytes before) that a byte counts them
+    change = np.zeros(len(group.x) + 1, np.int8)
     if len(snippets.start):
         n = snippets.count[snippets.first]
         offset = np.cumsum(n) - n
@@ -482,7 +484,7 @@ def covered(group: Group, snippets: Snippets, hits: np.ndarray) -> np.ndarray:
         start = (np.repeat(snippets.start[rest], count) + within)[bit]
         np.add.at(change, start, 1)
         np.add.at(change, start + WINDOW, -1)
-    return np.cumsum(change[:-1], dtype=np.int32, out=change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int8, out=change[:-1]) > 0
 
 
 def _bits(column: list, cuts: np.ndarray) -> np.ndarray:
@@ -545,7 +547,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, group_bytes: int = 16 <
             yield flushed()
 
     rows = docs.select("doc_id", "text", F.col("extra") if keep_text else F.lit(None).cast("string").alias("extra"))
-    packed = checkpoint(spark, rows.mapInArrow(deal, "p long, blob binary"))
+    packed = checkpoint(spark, map_arrow(rows, deal, "p long, blob binary"))
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -558,6 +560,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, group_bytes: int = 16 <
     def answer(step: int, solve: Callable[[pa.Table], list[bytes]]) -> Callable[[pa.Table], pa.Table]:
         def run(got: pa.Table) -> pa.Table:
             bits = solve(got)
+            hand_back()
             return _table([(p, step, b, x) for p, b, x in zip(got.column("p").to_pylist(), got.column("b").to_pylist(), bits)], _TO_GROUP)
 
         return run
@@ -593,15 +596,19 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, group_bytes: int = 16 <
             rows.append((*row, kept.decode(errors="ignore"), extra) if keep_text else row)
         return _table(rows, schema)
 
+    def then_tidy(result: pa.Table) -> pa.Table:
+        hand_back()
+        return result
+
     to_bucket, to_group = "b long, p long, data binary, more binary", "p long, step int, b long, bits binary"
-    sent = packed.mapInArrow(send_anchors, to_bucket)
+    sent = map_arrow(packed, send_anchors, to_bucket)
     solve_one = lambda got: shared_anchors(list(zip(got.column("data").to_pylist(), got.column("more").to_pylist())))
     first = checkpoint(spark, sent.groupBy("b").applyInArrow(answer(1, solve_one), to_group))
     release(spark)
-    snippets = packed.groupBy("p").cogroup(first.groupBy("p")).applyInArrow(send_snippets, to_bucket)
+    snippets = packed.groupBy("p").cogroup(first.groupBy("p")).applyInArrow(lambda docs, answers: then_tidy(send_snippets(docs, answers)), to_bucket)
     solve_two = lambda got: [np.packbits(x).tobytes() for x in repeated_windows(got.column("data").to_pylist())]
     second = checkpoint(spark, snippets.groupBy("b").applyInArrow(answer(2, solve_two), to_group))
     release(spark)
     both = first.unionByName(second)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, extra string" * keep_text
-    return packed.groupBy("p").cogroup(both.groupBy("p")).applyInArrow(cut_out, schema)
+    return packed.groupBy("p").cogroup(both.groupBy("p")).applyInArrow(lambda docs, answers: then_tidy(cut_out(docs, answers)), schema)
