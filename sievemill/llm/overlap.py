@@ -11,22 +11,65 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievemill.llm.common import map_arrow
+
 _PLACES = "token long, u long, n int, at int"
 
 
-def common_tokens(sets: DataFrame, sample: int = 4_000, often: int = 4, most: int = 200_000) -> np.ndarray:
-    """Sorted tokens that ``often`` or more of about ``sample`` sets hold; the ``most`` most frequent at most."""
-    every = max(1, sets.count() // sample)
-    some = sets.filter(F.pmod("u", F.lit(every)) == 0).select(F.explode("s").alias("token"))
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; fewer words make one shingle, none an empty set."""
+    digests = np.fromiter(map(xxhash.xxh64_intdigest, text.encode().split()), np.uint64)
+    if not len(digests):
+        return np.zeros(0, np.int64)
+    n = max(1, len(digests) - words + 1)
+    mixed = np.zeros(n, np.uint64)
+    for k in range(min(words, len(digests))):
+        mixed = (mixed ^ digests[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed.view(np.int64))
+
+
+def sets_of(texts: DataFrame, words: int) -> DataFrame:
+    """u, s (the shingle set) of ``u, text`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), words) for t in batch.column(1)]
+            edges = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            s = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), s], ["u", "s"])
+
+    return map_arrow(texts.select("u", "text"), run, "u long, s array<long>")
+
+
+def least_hashes(texts: DataFrame, words: int, seed: int, most: int = 4) -> DataFrame:
+    """u, value: the ``most`` least shingle hashes (after an xor by ``seed``) of ``u, text`` rows; 0 for an empty set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flip = np.random.default_rng(seed).integers(-(1 << 63), (1 << 63) - 1)
+        for batch in batches:
+            found = [np.sort(shingle_set(t.as_py(), words) ^ flip)[:most] for t in batch.column(1)]
+            found = [x if len(x) else np.zeros(1, np.int64) for x in found]
+            u = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["u", "value"])
+
+    return map_arrow(texts.select("u", "text"), run, "u long, value long")
+
+
+def common_tokens(texts: DataFrame, words: int, sample: int = 16_000, often: int = 4, most: int = 200_000) -> np.ndarray:
+    """Sorted tokens that ``often`` or more of about ``sample`` texts hold; the ``most`` most frequent at most."""
+    every = max(1, texts.count() // sample)
+    some = sets_of(texts.filter(F.pmod("u", F.lit(every)) == 0), words).select(F.explode("s").alias("token"))
     counts = some.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= often).orderBy(F.desc("n")).limit(most)
     return np.sort(counts.select("token").toArrow().column(0).to_numpy())
 
 
-def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
-    """token, u, n (the set's size), at (the token's place in the order) of ``u, s`` rows; repeats of u may be left out.
+def prefixes(texts: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """token, u, n (the set's size), at (the token's place in the order) of ``u, text`` rows; repeats of u may be left out.
 
     Empty sets share one token.
     """
@@ -39,15 +82,13 @@ def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            lists = batch.column(1)
-            values, edges = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             parts: list[np.ndarray] = []
             size = 0
-            for i, u in enumerate(batch.column(0).to_pylist()):
+            for u, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if u in seen:
                     continue
                 seen.add(u)
-                s = np.unique(values[edges[i] : edges[i + 1]])
+                s = shingle_set(text.as_py(), words)
                 n = len(s)
                 if not n:
                     parts.append(np.array([[0], [u], [0], [0]], np.int64))
@@ -64,14 +105,14 @@ def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFram
             if parts:
                 yield packed(parts)
 
-    return sets.select("u", "s").mapInArrow(run, _PLACES)
+    return map_arrow(texts.select("u", "text"), run, _PLACES)
 
 
 def shared(places: DataFrame) -> DataFrame:
-    """The places whose token more than one set has, with head: the place of the smallest u with that token."""
+    """The places whose token more than one set has."""
     by_token = Window.partitionBy("token")
-    marked = places.withColumn("head", F.min(F.struct("u", "n", "at")).over(by_token)).withColumn("last", F.max("u").over(by_token))
-    return marked.filter(F.col("last") > F.col("head.u")).drop("last")
+    marked = places.withColumn("least", F.min("u").over(by_token)).withColumn("most", F.max("u").over(by_token))
+    return marked.filter(F.col("least") < F.col("most")).drop("least", "most")
 
 
 def _possible(n: Column, at: Column, n_b: Column, at_b: Column, similarity: float) -> Column:
@@ -80,35 +121,20 @@ def _possible(n: Column, at: Column, n_b: Column, at_b: Column, similarity: floa
     return (F.least(n, n_b) >= similarity * F.greatest(n, n_b) - 1e-9) & (rest >= similarity / (1 + similarity) * (n + n_b) - 1e-9)
 
 
-def _likely(pairs: DataFrame, similarity: float) -> DataFrame:
-    """a, b of the ``a, b, n, n_b`` rows (one for each shared token) that have enough of them to be so similar.
+def candidates(places: DataFrame, others: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all pairs of a set of ``places`` with one of ``others`` that can be so similar.
 
     What follows the earlier end of two prefixes adds at most the rest of its set, so the tokens that the prefixes share
-    must make up for what the larger rest leaves wanting. Repeated rows only let more pairs pass.
+    must make up for what the larger rest leaves wanting. Repeated rows only let more pairs pass. If both are the same
+    table, each pair comes once, the smaller first.
     """
+    one, two = (x.select(F.col("token"), *[F.col(c).alias(f"{c}_{y}") for c in ("u", "n", "at")]) for x, y in ((places, "a"), (others, "b")))
+    fits = _possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), similarity)
+    apart = F.col("u_a") < F.col("u_b") if places is others else F.col("u_a") != F.col("u_b")
+    counted = one.join(two, "token").filter(apart & fits).groupBy("u_a", "u_b", "n_a", "n_b").agg(F.count("*").alias("common"))
 
     def rest(n: str) -> Column:
         return F.greatest(F.ceil(F.lit(similarity) * F.col(n) - 1e-9) - 1, F.lit(0))
 
-    wanted = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("n_b")) - F.greatest(rest("n"), rest("n_b"))
-    counted = pairs.groupBy("a", "b", "n", "n_b").agg(F.count("*").alias("common"))
-    return counted.filter(F.col("common") >= wanted - 1e-6).select("a", "b")
-
-
-def head_pairs(places: DataFrame, similarity: float) -> DataFrame:
-    """a, b: sets with the smallest u of the tokens they share; no more pairs than places, and not all that are similar."""
-    fits = _possible(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at"), similarity)
-    pairs = places.filter((F.col("u") != F.col("head.u")) & fits)
-    return _likely(pairs.select(F.col("head.u").alias("a"), F.col("u").alias("b"), "n", F.col("head.n").alias("n_b")), similarity)
-
-
-def other_pairs(places: DataFrame, components: DataFrame, similarity: float) -> DataFrame:
-    """a, b: all possible pairs of sets that share a token and are not in one component yet (``node, component``)."""
-    named = places.drop("head").join(components, places["u"] == components["node"], "left")
-    named = named.select("token", "u", "n", "at", F.coalesce("component", "u").alias("c"))
-    by_token = Window.partitionBy("token")
-    named = named.withColumn("lo", F.min("c").over(by_token)).withColumn("hi", F.max("c").over(by_token)).filter("lo < hi").drop("lo", "hi").distinct()
-    one, two = (named.select(F.col("token"), *[F.col(c).alias(f"{c}_{x}") for c in ("u", "n", "at", "c")]) for x in "ab")
-    fits = _possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), similarity)
-    pairs = one.join(two, "token").filter((F.col("u_a") < F.col("u_b")) & (F.col("c_a") != F.col("c_b")) & fits)
-    return _likely(pairs.select(F.col("u_a").alias("a"), F.col("u_b").alias("b"), F.col("n_a").alias("n"), "n_b"), similarity)
+    wanted = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - F.greatest(rest("n_a"), rest("n_b"))
+    return counted.filter(F.col("common") >= wanted - 1e-6).select(F.col("u_a").alias("a"), F.col("u_b").alias("b"))

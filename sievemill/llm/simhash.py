@@ -20,9 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.llm import overlap
-from sievemill.llm.common import checkpoint, release, shuffle_width
+from sievemill.llm.common import checkpoint, map_arrow, release, shuffle_width
 from sievemill.llm.components import connected_components, roots_of
-from sievemill.llm.sketch import shingle_hashes
 
 BITS = 64
 #: Node pairs with at most so many fingerprint pairs are compared outright.
@@ -57,7 +56,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             found = np.array([fingerprint(t.as_py() or "", width, seed) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp long")
 
 
 def _ranges(sizes: np.ndarray) -> np.ndarray:
@@ -186,7 +185,7 @@ def linked_stars(spark: SparkSession, prints: DataFrame, budget: int = 2, crowd:
         rest = np.flatnonzero(root != np.arange(len(x)))
         yield pa.RecordBatch.from_arrays([pa.array(ids[rest]), pa.array(ids[root[rest]])], ["a", "b"])
 
-    return cells.repartition(shuffle_width(spark), "cell").select("fp", "id", "r", "cell").mapInArrow(run, "a long, b long")
+    return map_arrow(cells.repartition(shuffle_width(spark), "cell").select("fp", "id", "r", "cell"), run, "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
@@ -212,91 +211,131 @@ def _alike(s: Column, other: Column, similarity: float) -> Column:
     return F.when(total == 0, F.lit(True)).otherwise(common >= F.lit(similarity) * total)
 
 
-def _followers(spark: SparkSession, rows: DataFrame, similarity: float) -> DataFrame:
-    """u of the ``component, first, u, s`` rows alike to one that stays before them in their component, by first and u.
-
-    A task holds the sets that stay of one component at a time.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, stay = None, []
-        for batch in batches:
-            out = []
-            for component, u, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if component != now:
-                    now, stay = component, []
-                mine = np.sort(s.values.to_numpy(zero_copy_only=False))
-                for other in stay:
-                    if min(len(mine), len(other)) < similarity * max(len(mine), len(other)) - 1e-9:
-                        continue
-                    common = len(np.intersect1d(mine, other, assume_unique=True))
-                    if common >= similarity * (len(mine) + len(other) - common):
-                        out.append(u)
-                        break
-                else:
-                    stay.append(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["u"])
-
-    ordered = rows.repartition(shuffle_width(spark), "component").sortWithinPartitions("component", "first", "u")
-    return ordered.select("component", "u", "s").mapInArrow(run, "u long")
+class _Texts:
+    """The distinct texts of a table, known by 64 bits of their SHA-256, and the sets of their shingles."""
+
+    def __init__(self, spark: SparkSession, texts: DataFrame, firsts: DataFrame, similarity: float, words: int, broadcast_rows: int):
+        """``texts``: u, text (repeats of u may be); ``firsts``: u, first (the smallest doc_id)."""
+        self.spark, self.texts, self.firsts = spark, texts, firsts
+        self.similarity, self.words, self.broadcast_rows = similarity, words, broadcast_rows
+
+    def _side(self, units: DataFrame) -> DataFrame:
+        units = units.select(F.col(units.columns[0]).alias("unit")).distinct()
+        return F.broadcast(units) if units.count() <= self.broadcast_rows else units
+
+    def rows(self, only: DataFrame | None = None, without: DataFrame | None = None) -> DataFrame:
+        """u, text of all texts, or of those only, or without those."""
+        rows = self.texts
+        for units, how in ((only, "left_semi"), (without, "left_anti")):
+            if units is not None:
+                side = self._side(units)
+                rows = rows.join(side, rows["u"] == side["unit"], how)
+        return rows.select("u", "text")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """lo, hi of the a, b pairs that are alike, in the order of their texts' smallest doc_id."""
+        pairs = checkpoint(self.spark, pairs.filter("a <> b").distinct())
+        ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
+        of = overlap.sets_of(self.rows(only=ends), self.words)
+        of = checkpoint(self.spark, of.dropDuplicates(["u"]).join(self.firsts, "u"))
+        one, two = (of.select(F.col("u").alias(x), F.struct("first", "u").alias(f"key_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
+        alike = pairs.join(one, "a").join(two, "b").filter(_alike(F.col("s_a"), F.col("s_b"), self.similarity))
+        lo, hi = F.least("key_a", "key_b"), F.greatest("key_a", "key_b")
+        return checkpoint(self.spark, alike.select(lo["u"].alias("lo"), hi["u"].alias("hi")).distinct())
+
+    def to_heads(self, buckets: DataFrame) -> DataFrame:
+        """lo, hi: texts of the ``kind, value, u`` rows that are alike to the first text of a bucket (kind, value)."""
+        rows = checkpoint(self.spark, buckets.distinct().join(self.firsts, "u"))
+        heads = rows.groupBy("kind", "value").agg(F.min(F.struct("first", "u")).alias("head"))
+        # the xor hides the aggregate's partitioning, so that a large bucket can be split
+        heads = heads.select(F.expr("kind ^ 0").alias("kind"), F.expr("value ^ 0L").alias("value"), F.col("head.u").alias("a"))
+        return self.verified(rows.join(heads, ["kind", "value"]).select("a", F.col("u").alias("b")))
+
+    def least(self, rows: DataFrame, seed: int) -> DataFrame:
+        """kind, value, u: buckets of texts by some of their least shingle hashes."""
+        return overlap.least_hashes(rows, self.words, seed).select(F.lit(seed).alias("kind"), "value", "u")
+
+
+def _fallen(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """hi of the lo, hi links that goes if, by order, a text goes that has a link to one before it that stays."""
+    left, gone = checkpoint(spark, links), None
+    while left.limit(1).count():
+        later = left.select(F.col("hi").alias("later")).distinct()
+        stays = left.select("lo").distinct().join(later, F.col("lo") == F.col("later"), "left_anti").select(F.col("lo").alias("stays"))
+        falls = checkpoint(spark, left.join(stays, left["lo"] == stays["stays"], "left_semi").select("hi").distinct())
+        gone = falls if gone is None else gone.unionByName(falls)
+        one, two = falls.select(F.col("hi").alias("one")), falls.select(F.col("hi").alias("two"))
+        left = left.join(one, left["lo"] == one["one"], "left_anti")
+        left = checkpoint(spark, left.join(two, left["hi"] == two["two"], "left_anti").select("lo", "hi"))
+    return left.select("hi") if gone is None else checkpoint(spark, gone.distinct())
 
 
 def redundant(
-    spark: SparkSession, docs: DataFrame, width: int = 3, budget: int = 8, similarity: float = 0.8, words: int = 5, broadcast_rows: int = 500_000
+    spark: SparkSession, docs: DataFrame, width: int = 3, budget: int = 2, similarity: float = 0.8, words: int = 5, broadcast_rows: int = 500_000
 ) -> DataFrame:
-    """doc_id of the ``doc_id, text`` rows that repeat another one: all but the smallest doc_id of each group.
+    """doc_id, h (SHA-256 of the text) of the ``doc_id, text`` rows that repeat another one.
+
+    Of equal texts that of the smallest doc_id stays. Other texts are alike if the Jaccard similarity of their distinct
+    ``words``-word shingles is ``similarity`` or more. In the order of doc_id a text goes if it is alike to one before it
+    that stays: no two texts that stay are alike, and every one that goes is alike to one that stays.
 
-    Equal texts repeat each other. Else texts whose distinct ``words``-word shingles have a Jaccard similarity of
-    ``similarity`` or more are linked: fingerprints within ``budget`` bits and the prefixes of shingle sets propose, the
-    shingles decide, and every pair that the prefixes allow is compared unless its texts are linked already. In each
-    group of links, by doc_id, a text goes if it is that similar to one before it that stays. A text is known by 64 bits of its SHA-256. Null texts
-    count as empty; rows without a doc_id repeat nothing; an empty table gives no rows.
+    1. The SimHash join groups texts, as do least hashes of their shingles; a text that is alike to the first of such a
+       group is set aside with it. That is repeated among the others while it sets aside a hundredth of them.
+    2. All pairs of what is left that can be alike, by the prefixes of their shingle sets, are compared and decided.
+    3. What was set aside goes if its first stays. If not, it is compared with all that was not set aside and step 2 is
+       decided anew, until every first stays; so the outcome is that of going through all texts in order.
+
+    Null texts count as empty, texts without words are alike; rows without a doc_id repeat nothing; an empty table gives
+    no rows.
     """
     docs = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("h", F.sha2("text", 256))
     hashed = checkpoint(spark, docs.select("doc_id", "h", _text_id(F.col("h")).alias("u")))
     firsts = checkpoint(spark, hashed.groupBy("h").agg(F.min("doc_id").alias("first"), F.min("u").alias("u")))
-    gone = hashed.join(firsts, "h").filter("doc_id <> first").select("doc_id")
+    copies = hashed.join(firsts.select("h", "first"), "h").filter("doc_id <> first").select("doc_id", "h")
     texts = docs.select(_text_id(F.col("h")).alias("u"), "text")
-    sets = texts.select("u", F.array_distinct(shingle_hashes(F.col("text"), words)).alias("s"))
-
-    def sets_of(units: DataFrame) -> DataFrame:
-        """u, s of these texts only."""
-        units = units.select(F.col(units.columns[0]).alias("wanted")).distinct()
-        side = F.broadcast(units) if units.count() <= broadcast_rows else units
-        wanted = texts.join(side, texts["u"] == side["wanted"], "left_semi")
-        return wanted.select("u", F.array_distinct(shingle_hashes(F.col("text"), words)).alias("s")).dropDuplicates(["u"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The a, b pairs that are alike."""
-        pairs = checkpoint(spark, pairs.filter("a <> b").distinct())
-        of = checkpoint(spark, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("u"))))
-        one, two = of.select(F.col("u").alias("a"), F.col("s").alias("s_a")), of.select(F.col("u").alias("b"), F.col("s").alias("s_b"))
-        return checkpoint(spark, pairs.join(one, "a").join(two, "b").filter(_alike(F.col("s_a"), F.col("s_b"), similarity)).select("a", "b"))
+    known = _Texts(spark, texts, firsts.select("u", "first"), similarity, words, broadcast_rows)
 
     near = near_duplicates(spark, texts.select(F.col("u").alias("doc_id"), "text"), width, budget)
-    near = near.select(F.col("component").alias("a"), F.col("doc_id").alias("b"))
-    places = checkpoint(spark, overlap.shared(overlap.prefixes(sets, similarity, overlap.common_tokens(sets))))
-    links = verified(near.unionByName(overlap.head_pairs(places, similarity)))
-    others = verified(overlap.other_pairs(places, connected_components(spark, links), similarity))
-    parts = connected_components(spark, links.unionByName(others))
-    parts = parts.unionByName(parts.select(F.col("component").alias("node"), "component")).distinct()
-    chosen = parts.join(firsts.select("u", "first"), parts["node"] == F.col("u")).select("u", "component", F.struct("first", "u").alias("key"))
-    chosen = checkpoint(spark, chosen)
-    left = checkpoint(spark, sets_of(chosen).join(chosen, "u").select("key", "component", "s"))
+    buckets = near.select(F.lit(-1).alias("kind"), F.col("component").alias("value"), F.col("doc_id").alias("u"))
+    buckets = buckets.unionByName(known.least(known.rows(), 0))
+    aside, n, seed = None, firsts.count(), 0
+    while True:
+        found = known.to_heads(buckets)
+        later = found.select(F.col("hi").alias("later")).distinct()
+        new = found.join(later, found["lo"] == later["later"], "left_anti").groupBy("hi").agg(F.min("lo").alias("lo"))
+        new = checkpoint(spark, new.select("hi", "lo"))
+        aside = new if aside is None else checkpoint(spark, aside.unionByName(new))
+        moved = new.count()
+        n, seed = n - moved, seed + 1
+        if moved * 100 <= n:
+            break
+        buckets = known.least(known.rows(without=aside.select("hi")), seed)
     release(spark)
-    # most of a dense group goes by its smallest doc_id, spread over tasks; the rest of a group meets in one task
-    heads = left.groupBy("component").agg(F.min("key").alias("head")).select(F.expr("component ^ 0L").alias("component"), "head")
-    heads = heads.join(left.select(F.col("key").alias("head"), F.col("s").alias("head_s")), "head")
-    alike = _alike(F.col("s"), F.col("head_s"), similarity)
-    judged = left.join(heads.select(F.expr("component ^ 0L").alias("component"), "head", "head_s"), "component")
-    judged = judged.select("key", "component", "head", alike.alias("alike"), F.when(~alike, F.col("s")).alias("s"))
-    judged = checkpoint(spark, judged.withColumn("u", F.col("key.u")).withColumn("first", F.col("key.first")))
-    rest = judged.filter("NOT alike").select("component", "first", "u", "s")
-    fallen = [judged.filter("alike AND key <> head").select("u"), _followers(spark, rest, similarity)]
-    for part in fallen:
-        gone = gone.unionByName(hashed.join(part, "u").select("doc_id"))
-    return checkpoint(spark, gone.distinct())
+
+    rest = known.rows(without=aside.select("hi"))
+    common = overlap.common_tokens(rest, words)
+    places = checkpoint(spark, overlap.shared(overlap.prefixes(rest, words, similarity, common)))
+    links = known.verified(overlap.candidates(places, places, similarity))
+    while True:
+        gone = _fallen(spark, links)
+        release(spark)
+        fell = gone.select(F.col("hi").alias("fell")).unionByName(aside.select(F.col("hi").alias("fell"))).distinct()
+        opened = checkpoint(spark, aside.join(fell, aside["lo"] == fell["fell"], "left_semi").select(F.col("hi").alias("u")))
+        if not opened.limit(1).count():
+            break
+        again = checkpoint(spark, overlap.prefixes(known.rows(only=opened), words, similarity, common))
+        tokens = again.select(F.col("token").alias("wanted")).distinct()
+        others = overlap.prefixes(known.rows(without=aside.select("hi")), words, similarity, common)
+        others = others.join(tokens, others["token"] == tokens["wanted"], "left_semi").drop("wanted")
+        pairs = overlap.candidates(again, others, similarity).unionByName(overlap.candidates(again, again, similarity))
+        links = checkpoint(spark, links.unionByName(known.verified(pairs)).distinct())
+        ends = opened.select(F.col("u").alias("open"))
+        aside = checkpoint(spark, aside.join(ends, aside["hi"] == ends["open"], "left_anti").select("hi", "lo"))
+    settled = aside.select("hi")
+    all_gone = gone.unionByName(settled).select(F.col("hi").alias("gone_u")).distinct()
+    near_copies = hashed.join(all_gone, hashed["u"] == all_gone["gone_u"]).select("doc_id", "h")
+    return checkpoint(spark, copies.unionByName(near_copies).distinct())
 
 
 def _text_id(h: Column) -> Column:

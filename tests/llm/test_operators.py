@@ -1,11 +1,14 @@
 """The training-data operators against brute force, libraries and held-out labels, and on awkward rows."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -352,9 +355,68 @@ def test_revealing_terms_go_far_from_the_value_too(spark):
     assert "zanzibar" not in by[318] and by[318].startswith("<EMAIL> the weather was fine") and by[319] == "said zanzibar"
 
 
+def _disclosing(rows, rule):
+    """doc_id -> term -> part given away, by the definition."""
+    of = lambda text: [m[0] for m in regex.finditer(r"\p{L}[\p{L}\p{M}\p{N}_]{2,39}", text.lower())]
+    seen, together, texts, mentions = Counter(), Counter(), {}, {}
+    for i, (_, text) in enumerate(rows):
+        seen.update(set(of(text)))
+        beside = {}
+        for span in _base(text):
+            kind, a, b = span.split(":")
+            a, b = int(a), int(b)
+            left, right = text[max(0, a - rule.reach) : a], text[b : b + rule.reach]
+            left = regex.sub(r"^[\p{L}\p{M}\p{N}_]+", "", left) if a > rule.reach else left
+            right = regex.sub(r"[\p{L}\p{M}\p{N}_]++$", "", right) if len(right) == rule.reach else right
+            entity = kind, regex.sub(r"[^\p{L}\p{N}@.]", "", text[a:b].lower())
+            beside.setdefault(entity, set()).update(of(left + " \n " + right))
+        for entity, terms in beside.items():
+            mentions.setdefault(entity, []).append(i)
+            for t in terms:
+                together[entity, t] += 1
+                texts.setdefault((entity, t), set()).add(text)
+    out = {}
+    for (entity, t), n in together.items():
+        information = -math.log2(len(mentions[entity]) / (len(rows) + 1))
+        given = (math.log2(min(1, n / seen[t])) + information) / information
+        if len(texts[entity, t]) >= rule.support and given >= rule.generalise:
+            for i in mentions[entity]:
+                best = out.setdefault(rows[i][0], {})
+                best[t] = max(best.get(t, 0), given)
+    return out
+
+
+def test_disclosing_terms_equal_brute_force(spark, texts):
+    rng = np.random.default_rng(6)
+    common = ["river", "mountain", "letter", "harbour", "wrote", "again", "paper", "said"]
+    made = []
+    for i in range(240):
+        person = i % 12
+        value = [f"p{person}@mail.example", f"+49 (170) 55512{person:02d}", f"10.0.{person}.7"][person % 3]
+        words = list(rng.choice(common, 20)) + [f"name{person}"] * 2 + [f"town{person % 4}"]
+        rng.shuffle(words)
+        made.append((50_000 + i, " ".join([*words[:12], *[value] * (i % 3 != 0), *words[12:], *rng.choice(common, 30), f"name{person}"])))
+    rows = [*texts.items(), *made, *[(60_000 + i, made[1][1]) for i in range(3)]]
+    rule = pii.Disclosure(generalise=0.6, remove=0.9)
+    want = _disclosing(rows, rule)
+    got = {}
+    for r in pii.find(spark, spark.createDataFrame(rows, "doc_id long, text string"), rule).filter("size(spans) > size(base)").collect():
+        got[r["doc_id"]] = {s["value"].lower(): s["action"] for s in r["spans"] if s["kind"] == "term"}
+    inside = {}
+    for i, text in rows:
+        base = [tuple(map(int, s.split(":")[1:])) for s in _base(text)]
+        for m in regex.finditer(r"(?<![\p{L}\p{M}\p{N}_])\p{L}[\p{L}\p{M}\p{N}_]{2,39}(?![\p{L}\p{M}\p{N}_])", text):
+            given = want.get(i, {}).get(m[0].lower())
+            if given is not None and not any(a < m.end() and m.start() < b for a, b in base):
+                inside.setdefault(i, {})[m[0].lower()] = "remove" if given >= rule.remove else "generalise"
+    assert got == inside and {a for x in got.values() for a in x.values()} == {"remove", "generalise"}
+
+
 def test_pii_awkward(spark, awkward, none):
-    rows = pii.digest(pii.find(spark, awkward.select("doc_id", "text"))).collect()
-    assert len(rows) == len(AWKWARD)
+    found = pii.find(spark, awkward.withColumn("spans", F.lit(0)).withColumn("actions", F.lit(1)))
+    assert sorted(found.columns) == sorted(["doc_id", "text", "score", "base", "bucket", "fp", "lang", "spans", "actions"])
+    rows = pii.digest(found).collect()
+    assert len(rows) == len(AWKWARD) and found.filter("actions = 1 AND score = 1").count() == len(AWKWARD)
     nine = next(r for r in rows if r["doc_id"] == 9)
     assert (nine["n_email"], nine["n_ip"], nine["n_card"], nine["n_phone"]) == (1, 1, 1, 1)
     assert pii.find(spark, none).count() == 0
@@ -502,7 +564,8 @@ def test_label_model_finds_good_voters():
 def test_toxicity_awkward(spark, awkward, none):
     labels = spark.createDataFrame([(1, 1), (1, None), (5, 0), (None, 1)], "doc_id long, toxic int")
     model = toxicity.learn(spark, awkward, labels)
-    rows = toxicity.score(spark, awkward.select("doc_id", "text"), model).collect()
+    assert toxicity.flag(spark, awkward, model).columns == [*(c for c in awkward.columns if c != "score"), "score"]
+    rows = toxicity.flag(spark, awkward, model).select("doc_id", "score").collect()
     assert len(rows) == len(AWKWARD) and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.score(spark, none, toxicity.learn(spark, none, labels.limit(0))).count() == 0
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from sievemill.llm import simhash
 from sievemill.llm.common import table
 
 
@@ -107,3 +108,44 @@ def test_near_copies_of_late_heads_go(spark, sf):
             kept.append(i)
     assert len(kept) > 4
     assert {r["doc_id"] for r in pipeline.drop_near_copies(spark, _docs(spark, rows), sf).collect()} == set(kept)
+
+
+def test_what_stays_equals_brute_force(spark):
+    """Families of edited texts around the threshold, in which heads go too, against going through all texts in order."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for family in range(12):
+        members = [_words(rng, 120).split()]
+        for _ in range(25):
+            words = list(members[int(rng.integers(len(members)))])
+            for i in rng.integers(0, 120, int(rng.integers(1, 5))):
+                words[i] = _words(rng, 1)
+            members.append(words)
+        rows += [" ".join(m) for m in members]
+    rows += ["", " ", "one two", "one  two", "one two three", rows[0], rows[30]]
+    order = rng.permutation(len(rows))
+    rows = [(int(i), rows[j]) for i, j in enumerate(order)]
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} if t.split() else set() for i, t in rows}
+    kept, links = [], 0
+    for i, _ in rows:
+        alike = [j for j in kept if not (shingles[i] | shingles[j]) or len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+        links += len(alike)
+        if not alike:
+            kept.append(i)
+    assert links > 100 and len(kept) > 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    gone = {r["doc_id"] for r in simhash.redundant(spark, docs).collect()}
+    assert gone == {i for i, _ in rows} - set(kept)
+
+
+def test_one_doc_id_with_two_texts(spark, sf):
+    rows = [(1, "a b c d e f g"), (7, "a b c d e f g"), (7, "h i j k l m n"), (7, "h i j k l m n")]
+    got = sorted((r["doc_id"], r["text"]) for r in pipeline.drop_near_copies(spark, _docs(spark, rows), sf).collect())
+    assert got == [rows[0], rows[2], rows[3]]
+
+
+def test_stages_on_awkward_tables(spark, sf):
+    docs = _docs(spark, [(None, None), (1, None), (1, ""), (2, "x"), (2, "x")]).withColumn("spans", F.lit(1)).withColumn("extra", F.lit(2))
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs, sf).count() >= 3
+        assert stage(spark, docs.limit(0), sf).count() == 0
