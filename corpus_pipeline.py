@@ -37,9 +37,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of copies and near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
-    gone = simhash.redundant(spark, keyed_text(docs)).select(F.col("doc_id").alias("gone_id"))
+    gone = simhash.redundant(spark, keyed_text(docs)).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"))
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(side, docs["doc_id"] == side["gone_id"], "left_anti").select(*COLUMNS)
+    known = docs.withColumn("text_h", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return known.join(side, (known["doc_id"] == side["gone_id"]) & (known["text_h"] == side["gone_h"]), "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
