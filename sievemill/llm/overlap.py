@@ -60,9 +60,13 @@ def least_hashes(texts: DataFrame, words: int, seed: int, most: int = 4) -> Data
     return map_arrow(texts.select("u", "text"), run, "u long, value long")
 
 
-def common_tokens(texts: DataFrame, words: int, sample: int = 16_000, often: int = 4, most: int = 200_000) -> np.ndarray:
-    """Sorted tokens that ``often`` or more of about ``sample`` texts hold; the ``most`` most frequent at most."""
-    every = max(1, texts.count() // sample)
+def common_tokens(texts: DataFrame, words: int, every: int = 16, least: int = 4_000, often: int = 4, most: int = 1_000_000) -> np.ndarray:
+    """Sorted tokens that ``often`` or more texts of a sample hold; the ``most`` most frequent at most.
+
+    The sample is one text of ``every``, or about ``least`` where that is more. Its share does not fall as the table grows, so neither
+    does what counts as common rise, and with it the pairs that a token of many texts proposes.
+    """
+    every = max(1, min(every, texts.count() // least))
     some = sets_of(texts.filter(F.pmod("u", F.lit(every)) == 0), words).select(F.explode("s").alias("token"))
     counts = some.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= often).orderBy(F.desc("n")).limit(most)
     return np.sort(counts.select("token").toArrow().column(0).to_numpy())
@@ -109,10 +113,15 @@ def prefixes(texts: DataFrame, words: int, similarity: float, common: np.ndarray
 
 
 def shared(places: DataFrame) -> DataFrame:
-    """The places whose token more than one set has."""
+    """key, u, n, at, weight, open: the places whose token more than one set has (``places`` with a column open).
+
+    Tokens that exactly the same sets have, like those of a passage, are one key of that weight; at is its first place.
+    """
     by_token = Window.partitionBy("token")
-    marked = places.withColumn("least", F.min("u").over(by_token)).withColumn("most", F.max("u").over(by_token))
-    return marked.filter(F.col("least") < F.col("most")).drop("least", "most")
+    once = places.withColumn("before", F.lag("u").over(by_token.orderBy("u"))).filter("before IS NULL OR before <> u")
+    sets = F.xxhash64(F.bit_xor(F.xxhash64("u")).over(by_token), F.count("*").over(by_token))
+    marked = once.withColumn("several", F.count("*").over(by_token) > 1).withColumn("key", sets).filter("several")
+    return marked.groupBy("key", "u", "n").agg(F.min("at").alias("at"), F.count("*").alias("weight"), F.max("open").alias("open"))
 
 
 def _possible(n: Column, at: Column, n_b: Column, at_b: Column, similarity: float) -> Column:
@@ -121,17 +130,16 @@ def _possible(n: Column, at: Column, n_b: Column, at_b: Column, similarity: floa
     return (F.least(n, n_b) >= similarity * F.greatest(n, n_b) - 1e-9) & (rest >= similarity / (1 + similarity) * (n + n_b) - 1e-9)
 
 
-def candidates(places: DataFrame, others: DataFrame, similarity: float) -> DataFrame:
-    """a, b: all pairs of a set of ``places`` with one of ``others`` that can be so similar.
+def candidates(keys: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all pairs of sets of which one is open, that share a key and can be so similar.
 
     What follows the earlier end of two prefixes adds at most the rest of its set, so the tokens that the prefixes share
-    must make up for what the larger rest leaves wanting. Repeated rows only let more pairs pass. If both are the same
-    table, each pair comes once, the smaller first.
+    must make up for what the larger rest leaves wanting.
     """
-    one, two = (x.select(F.col("token"), *[F.col(c).alias(f"{c}_{y}") for c in ("u", "n", "at")]) for x, y in ((places, "a"), (others, "b")))
+    one, two = (keys.select(F.col("key"), *[F.col(c).alias(f"{c}_{y}") for c in ("u", "n", "at", "open")], *more) for y, more in (("a", ["weight"]), ("b", [])))
     fits = _possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), similarity)
-    apart = F.col("u_a") < F.col("u_b") if places is others else F.col("u_a") != F.col("u_b")
-    counted = one.join(two, "token").filter(apart & fits).groupBy("u_a", "u_b", "n_a", "n_b").agg(F.count("*").alias("common"))
+    found = one.join(two, "key").filter((F.col("u_a") < F.col("u_b")) & (F.col("open_a") | F.col("open_b")) & fits)
+    counted = found.groupBy("u_a", "u_b", "n_a", "n_b").agg(F.sum("weight").alias("common"))
 
     def rest(n: str) -> Column:
         return F.greatest(F.ceil(F.lit(similarity) * F.col(n) - 1e-9) - 1, F.lit(0))

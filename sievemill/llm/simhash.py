@@ -292,8 +292,11 @@ def redundant(
     docs = docs.withColumn("h", F.sha2("text", 256))
     hashed = checkpoint(spark, docs.select("doc_id", "h", _text_id(F.col("h")).alias("u")))
     firsts = checkpoint(spark, hashed.groupBy("h").agg(F.min("doc_id").alias("first"), F.min("u").alias("u")))
-    copies = hashed.join(firsts.select("h", "first"), "h").filter("doc_id <> first").select("doc_id", "h")
-    texts = docs.select(_text_id(F.col("h")).alias("u"), "text")
+    copies = checkpoint(spark, hashed.join(firsts.select("h", "first"), "h").filter("doc_id <> first").select("doc_id", "h").distinct())
+    gone_rows = copies.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"))
+    side = F.broadcast(gone_rows) if gone_rows.count() <= broadcast_rows else gone_rows
+    texts = docs.join(side, (docs["doc_id"] == side["gone_id"]) & (docs["h"] == side["gone_h"]), "left_anti")
+    texts = texts.select(_text_id(F.col("h")).alias("u"), "text")
     known = _Texts(spark, texts, firsts.select("u", "first"), similarity, words, broadcast_rows)
 
     near = near_duplicates(spark, texts.select(F.col("u").alias("doc_id"), "text"), width, budget)
@@ -315,8 +318,8 @@ def redundant(
 
     rest = known.rows(without=aside.select("hi"))
     common = overlap.common_tokens(rest, words)
-    places = checkpoint(spark, overlap.shared(overlap.prefixes(rest, words, similarity, common)))
-    links = known.verified(overlap.candidates(places, places, similarity))
+    keys = checkpoint(spark, overlap.shared(overlap.prefixes(rest, words, similarity, common).withColumn("open", F.lit(True))))
+    links = known.verified(overlap.candidates(keys, similarity))
     while True:
         gone = _fallen(spark, links)
         release(spark)
@@ -328,8 +331,9 @@ def redundant(
         tokens = again.select(F.col("token").alias("wanted")).distinct()
         others = overlap.prefixes(known.rows(without=aside.select("hi")), words, similarity, common)
         others = others.join(tokens, others["token"] == tokens["wanted"], "left_semi").drop("wanted")
-        pairs = overlap.candidates(again, others, similarity).unionByName(overlap.candidates(again, again, similarity))
-        links = checkpoint(spark, links.unionByName(known.verified(pairs)).distinct())
+        places = again.withColumn("open", F.lit(True)).unionByName(others.withColumn("open", F.lit(False)))
+        keys = checkpoint(spark, overlap.shared(places))
+        links = checkpoint(spark, links.unionByName(known.verified(overlap.candidates(keys, similarity))).distinct())
         ends = opened.select(F.col("u").alias("open"))
         aside = checkpoint(spark, aside.join(ends, aside["hi"] == ends["open"], "left_anti").select("hi", "lo"))
     settled = aside.select("hi")
