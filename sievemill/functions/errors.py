@@ -15,21 +15,27 @@ _INTERNAL = r"^node:|^internal/|^\[.*\]$|^<anonymous>$"
 
 def stack_frames(stack: Column, root: str, drop_node_modules: bool = False, absolute: bool = False) -> Column:
     """array<struct<file_relative, file_absolute, line, col, function, in_project, in_node_modules>>, without internals."""
-    lines = F.split(F.coalesce(stack, F.lit("")), "\n")
+    lines = F.filter(F.split(F.coalesce(stack, F.lit("")), "\n"), lambda x: F.contains(x, F.lit("at ")))
 
-    def parsed(line: Column) -> Column:
-        call = line.rlike(_CALL)
-        file = F.when(call, F.regexp_extract(line, _CALL, 2)).otherwise(F.regexp_extract(line, _PLACE, 1))
+    def parts(line: Column) -> Column:
+        """function, file, line, col of a call; file, line, col of a place; else the line: one pass of each pattern."""
+        call = F.split(F.regexp_replace(line, _CALL, "$1\u0001$2\u0001$3\u0001$4"), "\u0001")
+        place = F.split(F.regexp_replace(line, _PLACE, "$1\u0001$2\u0001$3"), "\u0001")
+        return T.bound(call, lambda c: F.when(F.size(c) == 4, c).otherwise(place))
+
+    def parsed(p: Column) -> Column:
+        named = F.size(p) == 4
+        file = F.when(named, F.get(p, F.lit(1))).otherwise(F.get(p, F.lit(0)))
         file = F.trim(F.regexp_replace(F.regexp_replace(file, "^file://", ""), r"[?#].*$", ""))
-        row = F.when(call, F.regexp_extract(line, _CALL, 3)).otherwise(F.regexp_extract(line, _PLACE, 2))
-        col = F.when(call, F.regexp_extract(line, _CALL, 4)).otherwise(F.regexp_extract(line, _PLACE, 3))
-        return F.struct(file.alias("file"), row.cast("int").alias("line"), col.cast("int").alias("col"), F.when(call, F.trim(F.regexp_extract(line, _CALL, 1))).alias("function"))
+        row, col = F.element_at(p, -2), F.element_at(p, -1)
+        return F.struct(file.alias("file"), row.cast("int").alias("line"), col.cast("int").alias("col"), F.when(named, F.trim(F.get(p, F.lit(0)))).alias("function"))
 
     def placed(f: Column) -> Column:
         p = process_path(f["file"], root, absolute)
         return F.struct(p["file_relative"].alias("file_relative"), p["file_absolute"].alias("file_absolute"), f["line"].alias("line"), f["col"].alias("col"), f["function"].alias("function"), p["in_project"].alias("in_project"), p["in_node_modules"].alias("in_node_modules"))
 
-    frames = F.filter(F.transform(F.filter(lines, lambda x: x.rlike(_CALL) | x.rlike(_PLACE)), parsed), lambda f: ~f["file"].rlike(_INTERNAL))
+    found = F.filter(F.transform(lines, parts), lambda p: F.size(p) >= 3)
+    frames = F.filter(F.transform(found, parsed), lambda f: ~f["file"].rlike(_INTERNAL))
     found = F.transform(frames, placed)
     return F.filter(found, lambda f: ~f["in_node_modules"]) if drop_node_modules else found
 

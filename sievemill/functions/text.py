@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What timestamps look like in log messages, and labels before epoch numbers.
+#: What counts as white space, what timestamps look like in log messages, and labels before epoch numbers.
+BLANK = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 ANSI = r"\x1B\[[0-9;]*m"
 ISO_TIME = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3})?Z?"
-DATE_TIME = r"\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}"
-EPOCH_LABEL = r"(?i)(\b(?:timestamp|time(?:stamp)?|epoch|unix(?:_timestamp)?)[:=]?\s*)\d{10}(?:\d{3})?\b"
-EPOCH_IN = (r"\[\s*\d{10}(?:\d{3})?\s*\]", "[]"), (r"\(\s*\d{10}(?:\d{3})?\s*\)", "()")
+DATE_TIME = rf"\d{{4}}-\d{{2}}-\d{{2}}{BLANK}+\d{{2}}:\d{{2}}:\d{{2}}"
+EPOCH_LABEL = rf"(?i)(\b(?:timestamp|time(?:stamp)?|epoch|unix(?:_timestamp)?)[:=]?{BLANK}*)\d{{10}}(?:\d{{3}})?\b"
+EPOCH_IN = (rf"\[{BLANK}*\d{{10}}(?:\d{{3}})?{BLANK}*\]", "[]"), (rf"\({BLANK}*\d{{10}}(?:\d{{3}})?{BLANK}*\)", "()")
 
 
 @dataclass(frozen=True)
@@ -28,20 +30,35 @@ def strip_ansi(text: Column) -> Column:
     return F.regexp_replace(text, ANSI, "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body (or a lambda in it) refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize_message(text: Column, rule: Normalising | None = None) -> Column:
-    """The form in which messages are compared; runs of white space collapse only where there is a run of two or more."""
+    """The form in which messages are compared; runs of white space collapse only where there is a run of two or more.
+
+    Every step is taken only where its text can hold what the step looks for: most messages hold nothing of the kind.
+    """
     rule = rule or Normalising()
-    out = text
-    if rule.strip_ansi:
-        out = strip_ansi(out)
-    if rule.strip_timestamps:
-        for pattern in (ISO_TIME, DATE_TIME):
-            out = F.regexp_replace(out, pattern, "")
+
+    def without_times(out: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(out, ISO_TIME, ""), DATE_TIME, "")
+
+    def without_epochs(out: Column) -> Column:
         out = F.regexp_replace(out, EPOCH_LABEL, "$1")
         for pattern, left in EPOCH_IN:
             out = F.regexp_replace(out, pattern, left)
+        return out
+
+    out = text
+    if rule.strip_ansi:
+        out = F.when(F.contains(out, F.lit("\x1b")), strip_ansi(out)).otherwise(out)
+    if rule.strip_timestamps:
+        out = bound(out, lambda x: F.when(F.contains(x, F.lit("-")) & F.contains(x, F.lit(":")), without_times(x)).otherwise(x))
+        out = bound(out, lambda x: F.when(x.rlike(r"\d{10}"), without_epochs(x)).otherwise(x))
     if rule.whitespace:
-        out = F.when(out.rlike(r"\s{2}"), F.trim(F.regexp_replace(out, r"\s+", " "))).otherwise(out)
+        out = bound(out, lambda x: F.when(x.rlike(BLANK + "{2}"), F.trim(F.regexp_replace(x, BLANK + "+", " "))).otherwise(x))
     return F.lower(out)
 
 
@@ -52,9 +69,13 @@ def utf16_length(text: Column) -> Column:
 
 def djb2(text: Column) -> Column:
     """DJB2 over UTF-16 code units, modulo 2**32, in base 36."""
-    units = F.transform(F.sequence(F.lit(0), utf16_length(text) - 1), lambda i: _unit(F.encode(text, "UTF-16BE"), i))
     start = F.lit(5381).cast("long")
-    folded = F.aggregate(units, start, lambda h, c: (h * 33 + c).bitwiseAND(F.lit(4294967295)))
+
+    def fold(raw: Column) -> Column:
+        units = F.sequence(F.lit(0), (F.octet_length(raw) / 2).cast("int") - 1)
+        return F.aggregate(units, start, lambda h, i: (h * 33 + _unit(raw, i)).bitwiseAND(F.lit(4294967295)))
+
+    folded = F.when(F.length(text) > 0, bound(F.encode(text, "UTF-16BE"), fold))
     return F.lower(F.conv(F.when(F.length(text) == 0, start).otherwise(folded).cast("string"), 10, 36))
 
 
@@ -152,9 +173,10 @@ def fair_caps(items: Column, budget: int, least: int = 100) -> Column:
 ERROR_LINES = (r"^(Error|TypeError|ReferenceError|SyntaxError|RangeError|AssertionError):", r"^[A-Z]\w*Error:", r"^\s*(Expected|Received|Actual|Assert)", r"^(FAIL|FAILED|✖|✗|×)")
 FRAME_LINES = (r"^\s*at\s+", r"^\s*↳\s+", r"^\s*[├└│]\s*", r"^\s*\d+\)\s+", r"^\s*#\d+\s+", r"^[\s\S]*:\d+:\d+")
 KEYWORDS = (
-    "error fail failure exception throw crash fatal assert expect should must require test describe it( spec scenario "
-    "warning critical important bug issue problem"
-).split()
+    "error", "fail", "failure", "exception", "throw", "crash", "fatal", "assert", "expect", "should", "must",
+    "require", "test", "describe", "it(", "spec", "scenario", "warning", "critical", "important", "bug", "issue",
+    "problem",
+)
 FOREIGN_PATHS = ("node_modules", "internal/", "<anonymous>", "[native code]")
 FOREIGN_STARTS = ("node:", "async ", "timers.")
 
@@ -200,9 +222,13 @@ def console_message(arguments: Column) -> Column:
     return F.array_join(F.transform(arguments, lambda a: F.coalesce(console_argument(a), F.lit("null"))), " ")
 
 
+#: Fixed value: the first home folder and its owner.
+HOME = r"(?s)^(.*?(?:^|/))(?:Users|home)/[^/]+"
+
+
 def mask_home(path: Column) -> Column:
-    """The first home folder's owner is masked."""
-    return F.regexp_replace(path, r"^(.*?)/?\b(?:Users|home)/[^/]+", "$1/Users/***")
+    """The owner of the first home folder (a whole segment of the path) is masked."""
+    return F.regexp_replace(path, HOME, "$1Users/***")
 
 
 def truncated_logs(logs: Column, limit: int = 1000) -> Column:

@@ -155,9 +155,14 @@ def over_token_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_NORM = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\x1B\[[0-9;]*m', '', 'g'), '\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}:\d{{2}}(\.\d{{3}})?Z?', '', 'g'), '\d{{4}}-\d{{2}}-\d{{2}}\s+\d{{2}}:\d{{2}}:\d{{2}}', '', 'g'), '(\b(?:timestamp|time(?:stamp)?|epoch|unix(?:_timestamp)?)[:=]?\s*)\d{{10}}(?:\d{{3}})?\b', '\1', 'gi'), '\[\s*\d{{10}}(?:\d{{3}})?\s*\]', '[]', 'g'), '\(\s*\d{{10}}(?:\d{{3}})?\s*\)', '()', 'g')"""
 
 
+#: White space as the engine sees it, in DuckDB's expressions.
+_SQL_BLANK = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
 def _sql_normal(column: str) -> str:
     inner = _SQL_NORM.format(column)
-    return rf"lower(CASE WHEN regexp_matches({inner}, '\s{{2}}') THEN trim(regexp_replace({inner}, '\s+', ' ', 'g')) ELSE {inner} END)"
+    whole = rf"lower(CASE WHEN regexp_matches({inner}, '\s{{2}}') THEN trim(regexp_replace({inner}, '\s+', ' ', 'g')) ELSE {inner} END)"
+    return whole.replace(r"\s", _SQL_BLANK)
 
 
 @query(f"SELECT doc_id, md5({_sql_normal('text')}) norm FROM documents")
@@ -213,7 +218,7 @@ def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_KEYED + "SELECT level, md5(norm) norm, min(seq) first_seq, max(seq) last_seq, count(*) copies, count(DISTINCT entity) n_sources FROM m GROUP BY level, norm")
 def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.groups(_documents(spark, sf_dir)).select("level", F.md5("norm").alias("norm"), "first_seq", "last_seq", "copies", F.size("sources").cast("long").alias("n_sources"))
+    return dedup.groups(_documents(spark, sf_dir)).select("level", "norm", "first_seq", "last_seq", "copies", F.size("sources").cast("long").alias("n_sources"))
 
 
 @query(_KEYED + "SELECT CAST(sum(c) AS BIGINT) total_logs, count(*) unique_logs, CAST(sum(c) AS BIGINT) - count(*) duplicates_removed FROM (SELECT count(*) c FROM m GROUP BY level, norm)")
@@ -224,7 +229,7 @@ def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_KEYED + "SELECT entity, level, md5(norm) norm, min(seq) first_seq, count(*) copies FROM m GROUP BY entity, level, norm")
 def dedup_per_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup.groups(_documents(spark, sf_dir), dedup.Dedup(scope="per-test"))
-    return found.select(F.col("scope_key").alias("entity"), "level", F.md5("norm").alias("norm"), "first_seq", "copies")
+    return found.select(F.col("scope_key").alias("entity"), "level", "norm", "first_seq", "copies")
 
 
 @query(_KEYED + "SELECT seq, count(*) OVER (PARTITION BY level, norm) copies, min(seq) OVER (PARTITION BY level, norm) first_seq, seq = min(seq) OVER (PARTITION BY level, norm) is_first FROM m")
@@ -247,11 +252,29 @@ def lru_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.first_of_each(_documents(spark, sf_dir), dedup.Dedup(max_entries=100)).select("seq", "copies", "last_seq")
 
 
-@query()
+_ADJACENT_SQL = r"""WITH RECURSIVE m AS (
+ SELECT o_custkey AS entity, o_orderkey AS seq, o_orderstatus AS level, o_orderkey % 3 = 0 AS second, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE (o_orderkey * 7) % 40 END AS ts,
+  CASE o_orderkey % 4 WHEN 0 THEN '[12ms] part ' WHEN 1 THEN 'part  ' WHEN 2 THEN '2024-01-02T03:04:05.678Z part ' ELSE ' 1700000000000 part ' END || left(o_orderpriority, 1) AS message FROM orders),
+k AS (SELECT entity, seq, level, ts, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(message, '^\[\d+(?:ms)?\]\s*', ''), '\b\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z\b', '', 'g'), '\b\d{13}\b', '', 'g'), '\s+', ' ', 'g')) AS txt,
+  count(DISTINCT second) OVER (PARTITION BY entity) AS sides,
+  row_number() OVER (PARTITION BY entity ORDER BY ts NULLS LAST, second, seq) AS n FROM m),
+walk AS (SELECT entity, n, level, ts, txt, 1 AS kept FROM k WHERE n = 1
+ UNION ALL SELECT k.entity, k.n, CASE WHEN same THEN w.level ELSE k.level END, CASE WHEN same THEN w.ts ELSE k.ts END, CASE WHEN same THEN w.txt ELSE k.txt END, w.kept + CASE WHEN same THEN 0 ELSE 1 END
+ FROM walk w JOIN k ON k.entity = w.entity AND k.n = w.n + 1, LATERAL (SELECT k.sides = 2 AND w.level = k.level AND w.txt = k.txt AND coalesce(abs(w.ts - k.ts) <= 5, true) AS same) j)
+SELECT entity, max(kept)::BIGINT AS n_events FROM walk GROUP BY entity"""
+
+
+@query(_ADJACENT_SQL)
 def merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _turns(spark, sf_dir).withColumn("ts", (F.col("seq") * 3).cast("long"))
-    merged = dedup.merged_sources(turns.filter("level = 'log'"), turns.filter("level <> 'log'"), "entity")
-    return merged.select("entity", F.size("events").alias("n"), F.col("events.seq").alias("seqs"))
+    """Two sources of a customer's orders as events, some without times, with prefixes that comparing leaves out."""
+    kind, key = F.col("o_orderkey") % 4, F.left("o_orderpriority", F.lit(1))
+    prefix = F.when(kind == 0, "[12ms] part ").when(kind == 1, "part  ").when(kind == 2, "2024-01-02T03:04:05.678Z part ").otherwise(" 1700000000000 part ")
+    ts = F.when(F.col("o_custkey") % 4 != 0, (F.col("o_orderkey") * 7) % 40)
+    events = S.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("entity"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("level"), F.concat(prefix, key).alias("message"), ts.cast("long").alias("ts")
+    )
+    merged = dedup.merged_sources(events.filter("seq % 3 <> 0"), events.filter("seq % 3 = 0"), "entity")
+    return merged.select("entity", F.size("events").cast("long").alias("n_events"))
 
 
 # -- buffers and filters -----------------------------------------------------------------------------------------------
@@ -344,10 +367,18 @@ def section_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.size_violations(S.table(spark, sf_dir, "orders").select(status.alias("status")))
 
 
-@query("SELECT page_id, regexp_replace('/home/u' || CAST(page_id AS VARCHAR) || '/app/home/x', '^/home/[^/]+', '/Users/***') AS path FROM pages")
+_HOMES = ("/home/u#/app/home/x", "home/u#/x", "/srv/my-home/u#/app", "/mnt/Users/u#", "/srv/app/u#", "/srv/home", "/Users/u#/a b/home/c", "myhome/u#/home/v/w", "/a//home//u#")
+_HOMES_SQL = ", ".join(f"('{p}')" for p in _HOMES)
+
+
+@query(f"""WITH p AS (SELECT page_id, replace(form, '#', CAST(page_id AS VARCHAR)) AS raw FROM pages, (VALUES {_HOMES_SQL}) forms(form)),
+s AS (SELECT *, string_split(raw, '/') AS parts FROM p),
+h AS (SELECT *, list_position(list_transform(list_zip(parts, list_slice(parts, 2, len(parts))), lambda z: z[1] IN ('Users', 'home') AND coalesce(z[2], '') <> ''), true) AS pos FROM s)
+SELECT page_id, raw, CASE WHEN coalesce(pos, 0) = 0 THEN raw ELSE array_to_string(list_slice(parts, 1, pos - 1) || ['Users', '***'] || list_slice(parts, pos + 2, len(parts)), '/') END AS path FROM h""")
 def mask_home(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat(F.lit("/home/u"), F.col("page_id").cast("string"), F.lit("/app/home/x"))
-    return S.table(spark, sf_dir, "pages").select("page_id", T.mask_home(path).alias("path"))
+    forms = F.explode(F.array(*map(F.lit, _HOMES)))
+    paths = S.table(spark, sf_dir, "pages").select("page_id", forms.alias("form")).select("page_id", F.replace("form", F.lit("#"), F.col("page_id").cast("string")).alias("raw"))
+    return paths.select("page_id", "raw", T.mask_home(F.col("raw")).alias("path"))
 
 
 @query()
