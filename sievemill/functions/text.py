@@ -43,7 +43,8 @@ def normalize_message(text: Column, rule: Normalising | None = None) -> Column:
     rule = rule or Normalising()
 
     def without_times(out: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(out, ISO_TIME, ""), DATE_TIME, "")
+        with_iso = F.when(F.contains(out, F.lit("T")), F.regexp_replace(out, ISO_TIME, "")).otherwise(out)
+        return F.regexp_replace(with_iso, DATE_TIME, "")
 
     def without_epochs(out: Column) -> Column:
         out = F.regexp_replace(out, EPOCH_LABEL, "$1")
@@ -51,6 +52,12 @@ def normalize_message(text: Column, rule: Normalising | None = None) -> Column:
             out = F.regexp_replace(out, pattern, left)
         return out
 
+    def collapsed(x: Column) -> Column:
+        # texts of ASCII alone have only ASCII blanks, for which expressions have a short form
+        ascii_only = F.octet_length(x) == F.length(x)
+        short = F.when(x.rlike(r"\s{2}"), F.trim(F.regexp_replace(x, r"\s+", " "))).otherwise(x)
+        return F.when(ascii_only, short).when(x.rlike(BLANK + "{2}"), F.trim(F.regexp_replace(x, BLANK + "+", " "))).otherwise(x)
+
     out = text
     if rule.strip_ansi:
         out = F.when(F.contains(out, F.lit("\x1b")), strip_ansi(out)).otherwise(out)
@@ -58,7 +65,7 @@ def normalize_message(text: Column, rule: Normalising | None = None) -> Column:
         out = bound(out, lambda x: F.when(F.contains(x, F.lit("-")) & F.contains(x, F.lit(":")), without_times(x)).otherwise(x))
         out = bound(out, lambda x: F.when(x.rlike(r"\d{10}"), without_epochs(x)).otherwise(x))
     if rule.whitespace:
-        out = bound(out, lambda x: F.when(x.rlike(BLANK + "{2}"), F.trim(F.regexp_replace(x, BLANK + "+", " "))).otherwise(x))
+        out = bound(out, collapsed)
     return F.lower(out)
 
 
