@@ -1,11 +1,11 @@
 """BPE encoding and decoding by tree concatenation, and a byte-level encoder for packing.
 
-Text is cut at single blanks (no pre-token crosses one), and each cut piece is encoded once per worker: real text repeats
-its pieces, so most of the work is dictionary look-ups. What is not yet known is split into pre-tokens; a pre-token of
-more than ``leaf`` symbols is halved, both halves are encoded on their own, and the tokens around the join are encoded
-again in a growing window until the first token of the window is the left side's and the last one the right side's.
-A sequence of BPE tokens is the encoding of its text as soon as every neighbouring pair is the encoding of that pair's
-text, so from that agreement on the joined sequence is exactly what encoding the whole would give.
+A long text is halved wherever its middle is, each half is encoded on its own, and a window around the join that grows
+by a blank-separated piece on either side is encoded again until its first piece has the left side's ids and its last one
+the right side's; no pre-token crosses a blank. A pre-token of more than ``leaf`` symbols is halved likewise, with a window
+of tokens. A sequence of BPE tokens is the encoding of its text as soon as every neighbouring pair is the encoding of that
+pair's text, so from that agreement on the joined sequence is exactly what encoding the whole would give. Halves do not
+depend on each other; documents, of which there are many more, are what runs in parallel. Pieces that come again are looked up.
 """
 
 from __future__ import annotations
@@ -72,7 +72,8 @@ class Cache:
 class WordBpe:
     """A tokenizers file whose BPE marks word ends: text is NFC-normalised and lower-cased, white space vanishes."""
 
-    def __init__(self, path: str, leaf: int = 96, cache_entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, leaf: int = 96, span: int = 4096, cache_entries: int = CACHE_ENTRIES):
+        """Texts over ``span`` characters and words over ``leaf`` symbols are encoded by halves."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -93,7 +94,7 @@ class WordBpe:
             self.shown[i] = token
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pretoken = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.leaf = leaf
+        self.leaf, self.span = leaf, span
         #: A symbol's bytes; 0xFF, which no UTF-8 text holds, marks the end of a word.
         back = {s: bytes([b]) for b, s in enumerate(symbols)}
         self.spelling: dict[int, bytes] = {}
@@ -200,25 +201,41 @@ class WordBpe:
         plain = piece if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ")
         return b"".join(map(self.word, self.pretoken.findall(plain.lower())))
 
-    def _plain(self, text: str) -> bytes:
+    def _pieces(self, text: str) -> list[bytes]:
+        """The ids of each blank-separated piece."""
         pieces = text.split(" ")
         out = list(map(self.pieces.now.get, pieces))
         for i in _missing(out):
             found = self.pieces.get(pieces[i])
             if found is None:
-                found = self.piece(pieces[i])
+                found = self._special(pieces[i]) if self.parts is not None and "<|" in pieces[i] else self.piece(pieces[i])
                 if len(pieces[i]) <= 64:
                     self.pieces.put(pieces[i], found)
             out[i] = found
-        return b"".join(out)
+        return out
+
+    def _special(self, piece: str) -> bytes:
+        return b"".join(array.array("I", [self.special[x]]).tobytes() if x in self.special else self.piece(x) for x in self.parts.split(piece))
+
+    def _halves(self, text: str) -> list[bytes]:
+        """The ids of each piece of a text: those of its halves, which may cut a piece, put together."""
+        if len(text) <= self.span:
+            return self._pieces(text)
+        half = len(text) // 2
+        left, right = self._halves(text[:half]), self._halves(text[half:])
+        first, last, w = half, half, 0
+        while True:  # a window of w pieces on either side of the join, of which the innermost two may be one
+            w += 1
+            first, last = text.rfind(" ", 0, first), text.find(" ", last)
+            window = self._pieces(text[first + 1 : last if last >= 0 else len(text)])
+            agrees_left = first < 0 or w > 1 and window[0] == left[-w]
+            agrees_right = last < 0 or w > 1 and window[-1] == right[w - 1]
+            if agrees_left and agrees_right:
+                return left[:-w] + window + right[w:]
+            first, last = max(first, 0), last + 1 if last >= 0 else len(text)
 
     def encode(self, text: str) -> bytes:
-        if self.parts is None or "<|" not in text:
-            return self._plain(text)
-        return b"".join(
-            array.array("I", [self.special[x]]).tobytes() if x in self.special else self._plain(x)
-            for x in self.parts.split(text)
-        )
+        return b"".join(self._halves(text))
 
     def decode(self, ids: bytes) -> str:
         """The file names no decoder, so the tokens are joined by blanks as they stand in the vocabulary."""

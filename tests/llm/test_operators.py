@@ -52,6 +52,13 @@ def texts(docs):
 def test_encoders_equal_the_library(texts):
     from tokenizers import Tokenizer
 
+    rng = np.random.default_rng(3)
+    parts = ["a", "B", " ", "  ", "\n", "é", "e\u0301", "\u0301", "Σ", "<|endoftext|>", "<|", "|>", "'s", "'", "1", "中", "🙂", "word", "!?"]
+    made = ["".join(rng.choice(parts, int(n))) for n in rng.integers(1, 60, 400)]
+    by_halves = WordBpe(tokenizer_path("word_bpe_49k.json"), leaf=3, span=5)
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    for text in [*made, *[t[:3000] for t in list(texts.values())[:10]]]:
+        assert np.frombuffer(by_halves.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
     odd = ["", " ", "  a  b", "'S 's don't", "Σς ΟΔΟΣ İ ß", "\x1c\x85 ﻿ x", "a" * 700, "!?" * 400, "中文日本" * 90, "<|endoftext|>a <|startoftext|>", "1२ⅷ é é", "\r\n\t x　y"]
     for name, encoder in (("word_bpe_49k.json", WordBpe(tokenizer_path("word_bpe_49k.json"))), ("byte_bpe_50k.json", ByteBpe(tokenizer_path("byte_bpe_50k.json"), BYTE_PATTERN))):
         library = Tokenizer.from_file(tokenizer_path(name))
