@@ -102,6 +102,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now: it does so once their plans are garbage."""
+    """Free what finished steps hold: Spark deletes their shuffle files once their plans are garbage, and a collection on
+    the executors lets their heaps shrink before Python workers need the room."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        n = spark.sparkContext.defaultParallelism
+        collected = spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done"))
+        collected.write.format("noop").mode("overwrite").save()

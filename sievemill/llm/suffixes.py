@@ -169,12 +169,15 @@ def anchors_of(group: Group) -> tuple[np.ndarray, np.ndarray]:
         if len(anchor):
             new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
             values.append(anchor[new])
-            owners.append(group.ids[doc[new]])
+            owners.append(doc[new].astype(np.int32))
     if not values:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
     value, owner = np.concatenate(values), np.concatenate(owners)
-    order = np.argsort(value, kind="stable")
-    value, owner = value[order], owner[order]
+    values.clear()
+    owners.clear()
+    order = np.argsort(value)
+    value, owner = value[order], group.ids[owner[order]]
+    del order
     start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
     return value[start], np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start)
 
@@ -518,6 +521,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, group_bytes: int = 16 <
     one doc_id do not remove each other's strings; an empty table gives no rows.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    release(spark)
     groups = max(1, -(-total // group_bytes))
     places, buckets = max(8, -(-groups // 2)), 2 * groups
 
