@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemill.functions import errors as E
-from sievemill.functions.text import estimate_tokens, safe_trim
+from sievemill.functions.text import safe_trim
 from sievemill.operators.buffers import CAPS, level_capped, pass_caps
 
 
@@ -24,9 +24,21 @@ class Budget:
     max_tokens: int = 100_000
 
 
+def pretty_length(rows: DataFrame, depth: int = 2, indent: int = 2) -> Column:
+    """Characters of a row as a JSON object laid out with an indent, at a depth of a document: what compact JSON has, and
+    for each field and each item of an array a line break, its indent, and for fields a blank after the colon."""
+    line = lambda d: 1 + indent * d
+    extra = F.lit(2 * line(depth))  # the row's own line and that of its closing brace
+    for f in rows.schema:
+        many = F.size(f.name) > 0 if f.dataType.typeName() == "array" else F.lit(False)
+        items = F.when(many, F.size(f.name) * line(depth + 2) + line(depth + 1)).otherwise(0) if f.dataType.typeName() == "array" else F.lit(0)
+        extra = extra + F.when(F.col(f.name).isNotNull(), line(depth + 1) + 1 + items).otherwise(0)
+    return F.length(F.to_json(F.struct("*"))) + extra + 1  # and the comma after it
+
+
 def row_tokens(rows: DataFrame) -> DataFrame:
-    """One row: estimated tokens of all rows as JSON."""
-    return rows.agg(F.coalesce(F.sum(estimate_tokens(F.to_json(F.struct("*")))), F.lit(0)).alias("tokens"))
+    """One row: estimated tokens of all rows as parts of an indented JSON document."""
+    return rows.agg(F.coalesce(F.ceil(F.sum(pretty_length(rows)) / 4), F.lit(0)).alias("tokens"))
 
 
 def _tokens(*parts: DataFrame) -> int:
@@ -34,10 +46,12 @@ def _tokens(*parts: DataFrame) -> int:
 
 
 def trimmed_errors(failures: DataFrame) -> DataFrame:
-    """Phase 2: ten frames, code around the failing line, assertion values of at most 200 characters."""
+    """Phase 2: ten frames, code around the failing line, assertion values of at most 200 characters, by their kinds."""
+    kind = {n: E.assertion_value(F.col(n))["type"] for n in ("expected", "actual")}
     return failures.withColumns({
         "stack": E.truncated_stack(F.col("stack"), 10), "code": E.truncated_code(F.col("code"), F.col("line")),
-        "expected": E.truncated_assertion(F.col("expected"), F.lit("string")), "actual": E.truncated_assertion(F.col("actual"), F.lit("string")),
+        "expected": E.truncated_assertion(F.col("expected"), kind["expected"]), "actual": E.truncated_assertion(F.col("actual"), kind["actual"]),
+        "expected_type": kind["expected"], "actual_type": kind["actual"],
     })
 
 

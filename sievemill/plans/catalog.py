@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sievemill.functions import errors as E
 from sievemill.functions import paths as P
 from sievemill.functions import text as T
-from sievemill.operators import attempts, buffers, dedup, filters, report, sanitize, truncate, validate
+from sievemill.functions import values as V
+from sievemill.operators import attempts, buffers, dedup, extract, filters, report, sanitize, truncate, validate
 from sievemill.sources import events as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,15 +124,19 @@ def monitoring_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suite_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = S.table(spark, sf_dir, "region").select((F.col("r_regionkey") + 1000).cast("long").alias("id"), F.lit(None).cast("long").alias("parent"), F.col("r_name").alias("name"))
     nation = S.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_regionkey") + 1000).cast("long").alias("parent"), F.col("n_name").alias("name"))
-    paths = report.suite_paths(region.unionByName(nation), depth=3).filter("id < 1000")
+    paths = report.suite_paths(region.unionByName(nation)).filter("id < 1000")
     return paths.select(F.col("id").cast("int").alias("n_nationkey"), F.array_join("path", " > ").alias("path"))
 
 
-@query()
+@query(_ATTEMPTS + """, e AS (SELECT status, list(struct_pack(test := 'test ' || CAST(entity AS VARCHAR), fileRelative := 'src/app.test.ts', status := status, duration := duration) ORDER BY seq) rows FROM a WHERE status <> 'skipped' GROUP BY status)
+SELECT to_json(struct_pack(summary := struct_pack(total := (SELECT count(*) FROM a), passed := (SELECT count(*) FROM a WHERE status = 'passed'), failed := (SELECT count(*) FROM a WHERE status = 'failed'), skipped := (SELECT count(*) FROM a WHERE status = 'skipped'),
+ duration := (SELECT round(sum(duration), 3) FROM a), flaky := (SELECT count(*) FROM k WHERE is_flaky), retried := (SELECT count(*) FROM k WHERE total_attempts > 1)),
+ failures := (SELECT rows FROM e WHERE status = 'failed'), passed := (SELECT rows FROM e WHERE status = 'passed')))::VARCHAR AS document""")
 def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _attempts(spark, sf_dir)
     named = rows.select("entity", "seq", "status", "duration", F.concat(F.lit("test "), F.col("entity").cast("string")).alias("name"), F.lit("src/app.test.ts").alias("file"))
-    return report.document(named, report.summary(rows), report.View(passed=True))
+    totals = report.summary(rows).withColumn("duration", F.round("duration", 3))
+    return report.document(named, totals, report.View(passed=True))
 
 
 # -- text --------------------------------------------------------------------------------------------------------------
@@ -200,10 +205,21 @@ def line_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count_if(T.is_error_line(F.col("line"))).alias("error_lines"), F.count_if(T.has_keyword(F.col("line"))).alias("key_lines"))
 
 
-@query()
+#: An item cut to a share less ten characters, at a boundary in its last fifth.
+_SQL_SHARE = r"""WITH RECURSIVE c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) n, text, greatest(100, 600 // count(*) OVER (PARTITION BY conv_id)) share FROM conversations WHERE text IS NOT NULL),
+w AS (SELECT conv_id, 0::BIGINT n, 600::BIGINT room, '' AS capped FROM c GROUP BY conv_id
+ UNION ALL SELECT w.conv_id, c.n, room - length(item), CASE WHEN c.n = 1 THEN item ELSE capped || '|' || item END
+ FROM w JOIN c ON c.conv_id = w.conv_id AND c.n = w.n + 1 AND room > 0,
+ LATERAL (SELECT CAST(least(share, room) AS BIGINT) r) a, LATERAL (SELECT CAST(floor((r - 10) * 0.9::DOUBLE) AS BIGINT) keep) b, LATERAL (SELECT substr(text, 1, greatest(keep, 0)) cut, reverse(cut) back) d,
+ LATERAL (SELECT list_max(list_transform([' ', chr(10), '.', ','], lambda m: CASE WHEN instr(back, m) = 0 THEN -1 ELSE length(cut) - instr(back, m) END)) edge) e,
+ LATERAL (SELECT CASE WHEN length(text) <= r THEN text ELSE CASE WHEN keep > 100 AND edge > keep * 0.8 THEN substr(text, 1, edge + 1) ELSE cut END || chr(10) || '...[cut]' END item) f)
+SELECT conv_id, max_by(capped, n) capped FROM w GROUP BY conv_id"""
+
+
+@query(_SQL_SHARE)
 def fair_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = S.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return turns.select("conv_id", T.fair_caps(F.col("t.text"), 600).alias("capped"))
+    return turns.select("conv_id", F.array_join(T.fair_caps(F.col("t.text"), 600), "|").alias("capped"))
 
 
 # -- deduplication -----------------------------------------------------------------------------------------------------
@@ -247,7 +263,10 @@ def dedup_many_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.statistics(logs, dedup.Dedup(sources=False)).withColumnRenamed("total_logs", "logs")
 
 
-@query()
+@query(_KEYED + """, n AS (SELECT level, norm, seq, row_number() OVER (ORDER BY seq) i FROM m), p AS (SELECT *, lag(i) OVER (PARTITION BY level, norm ORDER BY i) prev FROM n),
+d AS (SELECT x.i, count(y.i) others FROM p x LEFT JOIN p y ON y.i > x.prev AND y.i < x.i AND coalesce(y.prev, 0) <= x.prev WHERE x.prev IS NOT NULL GROUP BY x.i),
+g AS (SELECT p.*, sum(CASE WHEN prev IS NULL OR others >= 100 THEN 1 ELSE 0 END) OVER (PARTITION BY level, norm ORDER BY p.i) run FROM p LEFT JOIN d ON d.i = p.i)
+SELECT min(seq) seq, count(*) copies, max(seq) last_seq FROM g GROUP BY level, norm, run""")
 def lru_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.first_of_each(_documents(spark, sf_dir), dedup.Dedup(max_entries=100)).select("seq", "copies", "last_seq")
 
@@ -348,7 +367,7 @@ def validation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") > 1, F.col("l_linenumber") * 8).otherwise(F.lit(0)).alias("start_line"),
         F.when(F.col("l_quantity") >= F.col("l_linenumber") * 8, F.lit(1_000)).otherwise(F.lit(-1)).alias("end_line"), F.lit(None).cast("array<string>").alias("suite"),
     )
-    return validate.base_violations(rows, "key")
+    return validate.base_violations(rows, "key").select("row", "path")
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS row, 'summary.total (sum)' AS path FROM orders WHERE o_orderkey % 7 = 3")
@@ -358,13 +377,13 @@ def summary_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("key"), (k % 5 + k % 3 + k % 2 + (k % 7 == 3).cast("int")).alias("total"), (k % 5).alias("passed"), (k % 3).alias("failed"), (k % 2).alias("skipped"),
         F.col("o_totalprice").alias("duration"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
     )
-    return validate.summary_violations(rows, "key")
+    return validate.summary_violations(rows, "key").select("row", "path")
 
 
 @query("SELECT status AS row, 'section size' AS path FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'passed' ELSE 'skipped' END AS status, count(*) n FROM orders GROUP BY 1) WHERE n > CASE status WHEN 'failed' THEN 1000 ELSE 10000 END")
 def section_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "passed").otherwise("skipped")
-    return validate.size_violations(S.table(spark, sf_dir, "orders").select(status.alias("status")))
+    return validate.size_violations(S.table(spark, sf_dir, "orders").select(status.alias("status"))).select("row", "path")
 
 
 _HOMES = ("/home/u#/app/home/x", "home/u#/x", "/srv/my-home/u#/app", "/mnt/Users/u#", "/srv/app/u#", "/srv/home", "/Users/u#/a b/home/c", "myhome/u#/home/v/w", "/a//home//u#")
@@ -381,15 +400,19 @@ def mask_home(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("page_id", "raw", T.mask_home(F.col("raw")).alias("path"))
 
 
-@query()
+@query(r"""SELECT event_id, event_type AS kind, replace(props, '"', '\"') AS props, '/Users/***/' || CAST(user_id AS VARCHAR) || '\t' || replace(props, '"', '\"') AS line FROM events""")
 def sanitize_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = S.table(spark, sf_dir, "events").select("event_id", F.struct("event_type", "props").alias("payload"), F.array("props").alias("lines"))
-    return sanitize.sanitized(events)
+    line = F.concat(F.lit("/home/me/"), F.col("user_id").cast("string"), F.lit("\t"), F.col("props"))
+    events = S.table(spark, sf_dir, "events").select("event_id", F.struct("event_type", "props").alias("payload"), F.array("props").alias("lines"), line.alias("line"))
+    return sanitize.sanitized(events, paths=("line",)).select("event_id", F.col("payload.event_type").alias("kind"), F.col("lines")[0].alias("props"), "line")
 
 
-@query()
+@query(r"""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE '{"kept": ' || props || ', "said": ["' || event_type || '\\\"", ' || CAST(user_id AS VARCHAR) || ']}' END AS props FROM events""")
 def sanitize_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.table(spark, sf_dir, "events").select("event_id", sanitize.safe_json(F.col("props")).alias("props"))
+    """Events as objects with unsafe keys and quotes to escape; every fifth is no JSON."""
+    said = F.concat(F.lit('{"__proto__": {"x": 1}, "kept": '), F.col("props"), F.lit(', "said": ["'), F.col("event_type"), F.lit('\\"", '), F.col("user_id").cast("string"), F.lit("]"))
+    raw = F.concat(said, F.when(F.col("event_id") % 5 != 0, "}").otherwise(""))
+    return S.table(spark, sf_dir, "events").select("event_id", sanitize.safe_json(raw).alias("props"))
 
 
 # -- errors ------------------------------------------------------------------------------------------------------------
@@ -448,6 +471,93 @@ def normalized_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "part").select("p_partkey", e["message"].alias("message"), e["type"].alias("kind"), e["line"].alias("line"))
 
 
+_ERRORS_SQL = r"""WITH r AS (SELECT event_id, event_type, user_id, event_id % 6 AS k FROM events), e AS (SELECT *, CASE k WHEN 0 THEN NULL WHEN 1 THEN event_type WHEN 2 THEN 'Unknown error' ELSE event_type || ' failed' END AS message FROM r) """
+
+
+def _raw_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as errors of six forms: no JSON, a text, numbers for texts, a stack, a matcher's result, a context."""
+    k, kind, user = F.col("event_id") % 6, F.col("event_type"), F.col("user_id").cast("string")
+    message = F.concat(F.lit('{"message":"'), kind, F.lit(' failed"'))
+    stack = F.concat(message, F.lit(',"name":"TypeError","stack":"TypeError: x\\n    at node:internal/a:1:2\\n    at f (/srv/app/src/u'), user, F.lit(".ts:"), user, F.lit(':7)"}'))
+    matched = F.concat(message, F.lit(',"type":"AssertionError","expected":"other","matcherResult":{"expected":"'), user, F.lit('","actual":['), user, F.lit(']},"lineNumber":'), user, F.lit("}"))
+    context = F.concat(message, F.lit(',"constructor":{"name":"Special"},"actual":null,"file":"/srv/app/x.ts","line":'), user, F.lit(',"context":{"code":"x()","line":'), user, F.lit(',"column":"no"}}'))
+    raw = F.when(k == 0, F.concat(F.lit("{"), kind)).when(k == 1, F.concat(F.lit('"'), kind, F.lit('"'))).when(k == 2, F.concat(F.lit('{"message":'), user, F.lit(',"name":""}')))
+    return S.table(spark, sf_dir, "events").select("event_id", raw.when(k == 3, stack).when(k == 4, matched).otherwise(context).alias("error"))
+
+
+@query(_ERRORS_SQL + """SELECT event_id, CASE WHEN k < 3 THEN 'Unknown error' ELSE message END AS message, CASE k WHEN 3 THEN 'TypeError' WHEN 4 THEN 'AssertionError' WHEN 5 THEN 'Special' ELSE 'Error' END AS kind,
+ CASE WHEN k >= 3 THEN user_id END AS line, CASE WHEN k = 4 THEN CAST(user_id AS VARCHAR) END AS expected, CASE WHEN k = 4 THEN 'number' END AS expected_type, CASE k WHEN 4 THEN '[' || CAST(user_id AS VARCHAR) || ']' WHEN 5 THEN 'null' END AS actual,
+ CASE k WHEN 4 THEN 'array' WHEN 5 THEN 'null' END AS actual_type, CASE WHEN k = 3 THEN '/srv/app/src/u' || CAST(user_id AS VARCHAR) || '.ts' WHEN k = 5 AND user_id > 0 THEN '/srv/app/x.ts' END AS file, CASE WHEN k = 3 THEN 7 END AS col FROM e""")
+def extracted_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = extract.extracted_errors(_raw_errors(spark, sf_dir), "/srv/app")
+    return e.select("event_id", "extracted.message", F.col("extracted.type").alias("kind"), "extracted.line", "assertion.expected", "assertion.expected_type", "assertion.actual", "assertion.actual_type", "place.file", F.col("place.column").cast("int").alias("col"))
+
+
+@query(_ERRORS_SQL + "SELECT event_id, CASE WHEN k = 1 THEN event_type WHEN k IN (0, 2) THEN 'Unhandled error' ELSE message END AS message, CASE k WHEN 3 THEN 'TypeError' ELSE 'Error' END AS kind FROM e")
+def stray_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.stray_errors(_raw_errors(spark, sf_dir)).select("event_id", "message", F.col("type").alias("kind"))
+
+
+@query("SELECT event_id, CASE k WHEN 1 THEN 'string' WHEN 0 THEN NULL ELSE 'object' END AS kind, k >= 2 AS has_message, k = 5 AS assertion FROM (SELECT event_id, event_id % 6 AS k FROM events) WHERE k <> 4 UNION ALL SELECT event_id, 'object', true, true FROM events WHERE event_id % 6 = 4")
+def value_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("error")
+    return _raw_errors(spark, sf_dir).select("event_id", V.kind_of(e).alias("kind"), V.has_property(e, "message").alias("has_message"), V.is_assertion(e).alias("assertion"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type || ' ' || CAST(user_id AS VARCHAR) WHEN 1 THEN '{ k: ' || json_extract_string(props, '$.k') || ' }' WHEN 2 THEN event_type ELSE '[ 1, ''' || event_type || ''', { ''a b'': { b: { c: [Object] } } } ] null' END AS message, event_id % 4 <> 2 AS has_args FROM events""")
+def console_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Console calls of four forms: a text and a number, one object, one text, a nested array and null."""
+    kind, k = F.concat(F.lit('"'), F.col("event_type"), F.lit('"')), F.col("event_id") % 4
+    nested = F.concat(F.lit("[1, "), kind, F.lit(', {"a b": {"b": {"c": {"d": 1}}}}]'))
+    raw = F.when(k == 0, F.array(kind, F.col("user_id").cast("string"))).when(k == 1, F.array("props")).when(k == 2, F.array(kind)).otherwise(F.array(nested, F.lit("null")))
+    return V.console_calls(S.table(spark, sf_dir, "events").select("event_id", raw.alias("arguments")), "event_id").select("event_id", "message", F.col("args").isNotNull().alias("has_args"))
+
+
+@query("SELECT p_partkey, p_size + greatest(coalesce(e, 0), 3) AS end_line FROM part LEFT JOIN (SELECT p_brand b, p_size s, max(p_partkey % 9) e FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL) ON b = p_brand AND s = p_size")
+def end_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = S.table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("file"), F.col("p_size").cast("long").alias("start_line"))
+    spans = part.filter("p_partkey % 3 = 0").select("file", "start_line", (F.col("start_line") + F.col("p_partkey") % 9).alias("end_line"))
+    return extract.with_end_lines(part.withColumn("end_line", F.col("start_line") + 3), spans).select("p_partkey", "end_line")
+
+
+def _named_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts as tests of a file each, some failures without a message."""
+    failed, k = F.col("status") == "failed", F.col("seq") % 3
+    return _attempts(spark, sf_dir).select(
+        "entity", "seq", "status", "duration", F.concat(F.lit("test "), F.col("entity").cast("string")).alias("name"), F.concat(F.lit("/srv/app/src/"), F.col("entity").cast("string"), F.lit(".ts")).alias("file"),
+        F.col("entity").alias("start_line"), (F.col("entity") + 2).alias("end_line"), F.array(F.lit("suite")).alias("suite"), F.when(failed & (k != 0), "boom").alias("message"),
+        F.when(failed & (k == 1), "RangeError").alias("type"), F.lit("x").alias("stack"),
+    )
+
+
+@query(_ATTEMPTS + """SELECT seq, CASE status WHEN 'failed' THEN 'failures' ELSE status END AS section, 'test ' || CAST(entity AS VARCHAR) AS test, 'src/' || CAST(entity AS VARCHAR) || '.ts' AS file, CASE WHEN status <> 'failed' THEN status END AS status,
+ CASE WHEN status <> 'failed' THEN duration END AS duration, CASE WHEN status = 'failed' THEN CASE seq % 3 WHEN 0 THEN 'Test failed' ELSE 'boom' END END AS message, CASE WHEN status = 'failed' THEN CASE seq % 3 WHEN 0 THEN 'TestFailure' WHEN 1 THEN 'RangeError' ELSE 'Error' END END AS kind FROM a""")
+def result_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = extract.entries(_named_attempts(spark, sf_dir), extract.Building(root="/srv/app"))
+    return built.select("seq", "section", "entry.test", F.col("entry.fileRelative").alias("file"), "entry.status", "entry.duration", "entry.error.message", F.col("entry.error.type").alias("kind"))
+
+
+@query(_ATTEMPTS + "SELECT (SELECT count(*) FROM a) + late total, (SELECT count(*) FROM a WHERE status = 'failed') + late failed, (SELECT count(*) FROM a WHERE status = 'failed') + late n_failures, late n_teardown FROM (SELECT count(*) late FROM events WHERE event_id % 6 = 3)")
+def teardown_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _attempts(spark, sf_dir)
+    late = extract.stray_errors(_raw_errors(spark, sf_dir).filter("event_id % 6 = 3"))
+    failures, totals = extract.with_teardown(_named_attempts(spark, sf_dir).filter("status = 'failed'"), report.summary(rows), late)
+    counted = failures.agg(F.count("*").alias("n_failures"), F.count_if(F.col("name") == "Teardown Error").alias("n_teardown"))
+    return totals.select("total", "failed").join(F.broadcast(counted), F.lit(True), "inner")  # one row each
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS row, v[1] AS path, v[1] || ': Expected ' || v[2] AS message FROM (SELECT p_partkey, unnest(CASE p_partkey % 4 WHEN 0 THEN [['root', 'object, got array']] WHEN 1 THEN [['summary', 'object, got undefined'], ['passed', 'array, got string']]
+ WHEN 2 THEN CASE WHEN p_size > 40 THEN [['failures (rows)', 'value <= 40, got ' || CAST(p_size AS VARCHAR)]] ELSE [] END || CASE WHEN 2 * p_size + 1 > 100 THEN [['failures (bytes)', 'memory usage <= 100, got ' || CAST(2 * p_size + 1 AS VARCHAR)]] ELSE [] END ELSE CASE WHEN p_size > 30 THEN [['skipped (bytes)', 'memory usage <= 100, got ' || CAST(40 + 2 * p_size AS VARCHAR)]] ELSE [] END END) v FROM part)""")
+def structure_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of four forms: an array, one without a summary, one of many failures, one of many bytes."""
+    k, n = F.col("p_partkey") % 4, F.col("p_size")
+    many = F.concat(F.lit('{"summary":{},"failures":['), F.array_join(F.array_repeat(F.lit("1"), n), ","), F.lit("]}"))
+    large = F.concat(F.lit('{"summary":{},"skipped":["'), F.repeat(F.lit("x"), 36 + 2 * n), F.lit('"]}'))
+    doc = F.when(k == 0, "[]").when(k == 1, '{"passed":"x"}').when(k == 2, many).otherwise(large)
+    rows = S.table(spark, sf_dir, "part").select("p_partkey", doc.alias("document"))
+    return validate.structure_violations(rows, "p_partkey", limits=validate.Limits(max_failures=40, max_section_bytes=100))
+
+
 @query()
 def truncate_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = _attempts(spark, sf_dir).filter("status = 'failed'")

@@ -91,13 +91,16 @@ def package_dependencies(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.explode(names).alias("name")).distinct()
 
 
-def environment(spark: SparkSession, os_info: bool = True, runtime: bool = True, ci: bool = True) -> DataFrame:
+def environment(spark: SparkSession, os_info: bool = True, runtime: bool = True, ci: bool = True, packages: bool = True) -> DataFrame:
     """One row about where this runs."""
     fields = []
     if os_info:
         fields.append(F.struct(F.lit(platform.system().lower()).alias("platform"), F.lit(platform.release()).alias("release"), F.lit(platform.machine()).alias("arch")).alias("os"))
     if runtime:
         fields.append(F.struct(F.lit(spark.version).alias("spark"), F.lit(sys.version.split()[0]).alias("python")).alias("runtime"))
+    agent = os.environ.get("npm_config_user_agent", "").split("/")[0]
+    if packages and agent:  # only where one started this
+        fields.append(F.lit(agent).alias("packageManager"))
     if ci:
         fields.append(F.lit(bool(os.environ.get("CI"))).alias("ci"))
     return spark.range(1).select(*fields)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import sys
 from concurrent.futures import Future, ThreadPoolExecutor
 
@@ -22,6 +24,25 @@ def write_json(documents: DataFrame, path: str, column: str = "document") -> str
     return path
 
 
+def laid_out(document: str, spacing: int = 0) -> str:
+    """A JSON document with an indent of so many blanks, or in its shortest form."""
+    value = json.loads(document)
+    return json.dumps(value, ensure_ascii=False, indent=spacing) if spacing else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def write_file(document: DataFrame, path: str, spacing: int = 0, column: str = "document") -> str:
+    """Write a one-row report as one file of the driver's, with its folders; returns the absolute path."""
+    target = os.path.abspath(path)
+    try:
+        text = laid_out(document.select(column).first()[column], spacing)
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        with open(target, "w", encoding="utf-8") as f:
+            f.write(text)
+    except Exception as e:
+        raise OutputError(f"Failed to write output file: {e}") from e
+    return target
+
+
 def write_json_later(documents: DataFrame, path: str, column: str = "document") -> Future[str]:
     """As ``write_json``, without waiting for it."""
     pool = ThreadPoolExecutor(1)
@@ -31,13 +52,14 @@ def write_json_later(documents: DataFrame, path: str, column: str = "document")
         pool.shutdown(wait=False)
 
 
-def print_document(document: DataFrame, frame: bool = False, column: str = "document") -> bool:
-    """Print a one-row report if its summary has results; whether it was printed."""
-    row = document.select(column, F.get_json_object(column, "$.summary.total").cast("long").alias("total")).first()
-    if row is None or not row["total"]:
+def print_document(document: DataFrame, frame: bool = False, column: str = "document", spacing: int = 2) -> bool:
+    """Print a one-row report, laid out, if its summary has results or it has failures; whether it was printed."""
+    shown = F.get_json_object(column, "$.failures[0]").isNotNull() | (F.get_json_object(column, "$.summary.total").cast("long") > 0)
+    row = document.select(column, shown.alias("shown")).first()
+    if row is None or not row["shown"]:
         return False
     line = "=" * 80 + "\n"
-    sys.stdout.write(f"{line if frame else ''}{row[column]}\n{line if frame else ''}")
+    sys.stdout.write(f"{line if frame else ''}{laid_out(row[column], spacing)}\n{line if frame else ''}")
     return True
 
 

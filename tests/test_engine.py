@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sievemill.functions import errors as E
 from sievemill.functions import paths as P
 from sievemill.functions import text as T
-from sievemill.operators import attempts, buffers, dedup, filters, report, sanitize, truncate, validate
+from sievemill.functions import values as V
+from sievemill.operators import attempts, buffers, dedup, extract, filters, report, sanitize, truncate, validate
 from sievemill.sources import events as S
 from sievemill.sources import sinks
 
@@ -275,3 +276,76 @@ def test_smaller_parts(spark, tmp_path):
     assert [(r["entity"], r["suppressed"]["total_lines"]) for r in logs] == [("t1", 3)]
     assert set(sanitize.environment(S.environment(spark)).columns) == {"os", "runtime", "ci"}
     assert sinks.write_json_later(spark.createDataFrame([("{}",)], "document string"), str(tmp_path / "later")).result(60)
+
+
+def test_console_values(spark):
+    shown = {
+        '"it"': "it", "5": "5", "true": "true", "null": "null", "nope": "[Failed to serialize]", "{}": "{}", "[]": "[]", '{"b": "it\'s", "a-b": [1]}': "{ 'a-b': [ 1 ], b: \"it's\" }",
+        json.dumps(list(range(12))): "[ 0, 1, 2, 3, 4, 5, 6, 7, 8, 9, ... 2 more items ]", '{"a": {"b": {"c": {"d": {}, "e": [1]}}}}': "{ a: { b: { c: { d: {}, e: [Array] } } } }",
+        json.dumps(["x" * 201]): "[ '" + "x" * 200 + "'... 1 more character ]",
+    }
+    rows = spark.createDataFrame([(k,) for k in shown] + [(None,)], "j string").select("j", V.console_value(F.col("j")).alias("v")).collect()
+    assert {r["j"]: r["v"] for r in rows} == shown | {None: "undefined"}
+    calls = spark.createDataFrame([(1, ["1", '"a"']), (2, ['{"k":1}']), (3, ['"a"']), (4, []), (5, None)], "id int, arguments array<string>")
+    got = {r["id"]: (r["message"], r["args"]) for r in V.console_calls(calls, "id").collect()}
+    assert got == {1: ("1 a", ["1", "a"]), 2: ("{ k: 1 }", ["{ k: 1 }"]), 3: ("a", None), 4: ("", None), 5: ("", None)}
+
+
+def test_value_guards(spark):
+    cases = ['{"id": "x", "expected": null}', '{"id": 1}', '["a", "b"]', '["a", 1]', "[]", '"id"', "nope", None]
+    rows = spark.createDataFrame([(c,) for c in cases], "j string")
+    j = F.col("j")
+    got = [tuple(r) for r in rows.select(V.has_id(j), V.has_property(j, "id"), V.is_string_array(j), V.is_assertion(j)).collect()]
+    no = (False, False, False, False)
+    assert got == [(True, True, False, True), (False, True, False, False), (False, False, True, False), no, (False, False, True, False), no, no, no]
+
+
+def test_errors_with_code(spark):
+    error = '{"message": "m", "stack": "Error: m\\n    at f (/srv/app/a.ts:2:3)"}'
+    rows = spark.createDataFrame([(1, error), (2, '{"context": {"code": "own()", "line": 3}}'), (3, None)], "id int, error string")
+    lines = spark.createDataFrame([("/srv/app/a.ts", i, f"l{i}") for i in (1, 2, 3)], "file string, line int, text string")
+    got = {r["id"]: r for r in extract.with_code(extract.extracted_errors(rows, "/srv/app"), lines, "id", around=1).collect()}
+    assert got[1]["code"] == ["  1: l1", "  2: l2 // <- failure", "  3: l3"] and got[1]["extracted"]["line"] == 2
+    assert got[2]["code"] == ["own()"] and got[2]["extracted"]["line"] == 3 and got[3]["code"] is None and got[3]["assertion"] is None
+
+
+def test_teardown_without_a_report(spark):
+    none = spark.createDataFrame([], "name string, file string, start_line int, end_line int, suite array<string>, message string, type string")
+    summary = spark.createDataFrame([], "total long, passed long, failed long")
+    late = extract.stray_errors(spark.createDataFrame([('"gone"',), ('{"message": "x", "name": "E"}',)], "error string"))
+    failures, totals = extract.with_teardown(none, summary, late)
+    assert {(r["name"], r["message"], r["type"]) for r in failures.collect()} == {("Teardown Error", "gone", "Error"), ("Teardown Error", "x", "E")}
+    assert totals.first().asDict() == {"total": 2, "failed": 2, "passed": 0}
+
+
+def test_success_entries(spark):
+    table = attempts_table(spark, t1="P").select("*", F.lit("n").alias("name"), F.lit("a.ts").alias("file"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.array(F.lit("s")).alias("suite"))
+    totals = spark.createDataFrame([("t1", 0, 0)], "entity string, total_lines int, suppressed_lines int")
+    logs = report.success_logs(table, messages(spark, ("t1", 1, "log", "hello")), totals)
+    entry = json.loads(extract.success_entries(logs).select(F.to_json("entry").alias("e")).first()["e"])
+    assert entry["status"] == "passed" and entry["consoleEvents"] == [{"level": "log", "message": "hello"}] and "suppressed" not in entry and "error" not in entry
+
+
+def test_suite_paths_of_any_depth(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None, str(i)) for i in range(40)] + [(99, 77, "stray")], "id int, parent int, name string")
+    got = {r["id"]: r["path"] for r in report.suite_paths(chain).collect()}
+    assert got[39] == [str(i) for i in range(40)] and got[0] == ["0"] and got[99] == ["stray"]
+    with pytest.raises(ValueError):
+        report.suite_paths(spark.createDataFrame([(1, 2, "a"), (2, 1, "b")], "id int, parent int, name string"))
+
+
+def test_pretty_length(spark):
+    rows = spark.createDataFrame([("m", ["a", "b"], None, 3), ("n", [], "x", 4)], "message string, code array<string>, gone string, line int")
+    texts = [json.dumps({"failures": [{k: v for k, v in r.asDict().items() if v is not None}]}, indent=2) for r in rows.collect()]
+    frame = len(json.dumps({"failures": [1]}, indent=2)) - len("\n    1")
+    # Spark writes a row's own line; an empty array stays on its line
+    assert [r[0] for r in rows.select(truncate.pretty_length(rows)).collect()] == [len(t) - frame + 1 for t in texts]
+
+
+def test_one_file_and_layout(spark, tmp_path, capsys):
+    doc = spark.createDataFrame([('{"summary":{"total":0},"failures":[{"test":"é"}]}',)], "document string")
+    path = sinks.write_file(doc, str(tmp_path / "deep" / "report.json"), spacing=2)
+    assert open(path, encoding="utf-8").read().startswith('{\n  "summary": {') and json.load(open(path, encoding="utf-8"))["failures"][0]["test"] == "é"
+    assert sinks.print_document(doc) and '\n  "failures"' in capsys.readouterr().out
+    with pytest.raises(sinks.OutputError):
+        sinks.write_file(doc, "/proc/none/report.json")
