@@ -122,6 +122,29 @@ class Graph:
             active = active[(open_[active] & np.isfinite(sims[active])).any(axis=1)]
         return ids, sims
 
+    def links_of(self) -> bytes:
+        """Its links as bytes: start and top, then by level how many nodes have links there, these nodes, and their links."""
+        parts = [np.array([self.start, self.top], "<i4")]
+        for near in self.near:
+            linked = np.flatnonzero((near >= 0).any(axis=1))
+            parts += [np.array([len(linked), near.shape[1]], "<i4"), linked.astype("<i4"), near[linked].astype("<i4").ravel()]
+        return np.concatenate(parts).tobytes()
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, links: bytes) -> Graph:
+        """A graph to search, of vectors and what ``links_of`` gave for them."""
+        raw = np.frombuffer(links, "<i4")
+        graph = cls.__new__(cls)
+        graph.x, graph.start, graph.top, graph.near = vectors, int(raw[0]), int(raw[1]), []
+        at = 2
+        for _ in range(graph.top + 1):
+            n, width = raw[at : at + 2].tolist()
+            near = np.full((len(vectors), width), -1, np.int32)
+            near[raw[at + 2 : at + 2 + n]] = raw[at + 2 + n : at + 2 + n * (1 + width)].reshape(n, width)
+            graph.near.append(near)
+            at += 2 + n * (1 + width)
+        return graph
+
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         entry = np.full(len(q), self.start)
         for k in range(self.top, 0, -1):
@@ -228,7 +251,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.93
     dealt = dealt.select("cid", "label", "d", "s", "shards", "e", "copies")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task's vectors of each shard as one row of bytes."""
+        """A task's vectors of each shard as one row of bytes, and the links of the shard's graph, which is built only here."""
         held: dict[tuple, list] = {}
         for batch in batches:
             values = batch.column(5).flatten().to_numpy().astype("<f8")
@@ -236,31 +259,29 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.93
             for cid, label, d, s, shards, n in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 6))):
                 held.setdefault((label, d, s, shards), []).append((cid, values[at : at + d].tobytes(), n))
                 at += d
-        if held:
-            keys = list(held)
-            columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32()))]
-            columns.append(pa.array([np.array([c for c, _, _ in held[k]], "<i8").tobytes() for k in keys], pa.binary()))
-            columns.append(pa.array([b"".join(v for _, v, _ in held[k]) for k in keys], pa.binary()))
-            columns.append(pa.array([np.array([n for _, _, n in held[k]], "<i8").tobytes() for k in keys], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["label", "d", "s", "shards", "cids", "data", "weights"])
+        for key in list(held):
+            part = held.pop(key)
+            data = b"".join(v for _, v, _ in part)
+            columns = [pa.array([x], t) for x, t in zip(key, (pa.string(), pa.int32(), pa.int32(), pa.int32()))]
+            for raw in (np.array([c for c, _, _ in part], "<i8").tobytes(), data, np.array([n for _, _, n in part], "<i8").tobytes(), Graph(_unit_block(data, key[1])).links_of()):
+                columns.append(pa.array([raw], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["label", "d", "s", "shards", "cids", "data", "weights", "graph"])
 
     by_shard = map_arrow(
-        dealt.repartition(shuffle_width(spark), "label", "d", "s"), gather, "label string, d int, s int, shards int, cids binary, data binary, weights binary"
+        dealt.repartition(shuffle_width(spark), "label", "d", "s"), gather, "label string, d int, s int, shards int, cids binary, data binary, weights binary, graph binary"
     )
     blocks = checkpoint(spark, by_shard)
-    asked = blocks.select("label", "d", F.col("cids").alias("q_cids"), F.col("data").alias("q_data"), F.col("weights").alias("q_weights"), F.explode(F.expr("sequence(s, shards - 1)")).alias("s"))
-    cells = asked.join(blocks.select("label", "d", "s", "cids", "data", "weights"), ["label", "d", "s"])
-    cells = cells.select("d", "q_cids", "q_data", "q_weights", "cids", "data", "weights").repartition(shuffle_width(spark))
+    held = ("cids", "data", "weights", "graph")
+    asked = blocks.select("label", "d", *[F.col(c).alias(f"q_{c}") for c in held], F.explode(F.expr("sequence(s, shards - 1)")).alias("s"))
+    cells = asked.join(blocks.select("label", "d", "s", *held), ["label", "d", "s"])
+    cells = cells.select("d", *[f"q_{c}" for c in held], *held).repartition(shuffle_width(spark))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graphs: dict[bytes, Graph] = {}
         for batch in batches:
-            for d, q_cids, q_data, q_weights, cids, data, weights in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                graphs = {k: g for k, g in graphs.items() if k in (q_cids, cids)}
-                for k, v in ((q_cids, q_data), (cids, data)):
-                    if k not in graphs:
-                        graphs[k] = Graph(_unit_block(v, d))
-                left, right = linked_pairs(graphs[q_cids], graphs[cids] if cids != q_cids else None, least)
+            for at in range(batch.num_rows):
+                d, q_cids, q_data, q_weights, q_graph, cids, data, weights, graph = (batch.column(i)[at].as_py() for i in range(9))
+                one = Graph.of(_unit_block(q_data, d), q_graph)
+                left, right = linked_pairs(one, Graph.of(_unit_block(data, d), graph) if cids != q_cids else None, least)
                 mine, other = np.frombuffer(q_cids, "<i8"), np.frombuffer(cids, "<i8")
                 # a class's links are the copies of all classes linked with it; what joins classes is returned as stars
                 count = np.bincount(left, np.frombuffer(weights, "<i8")[right], len(mine)).astype(np.int64)

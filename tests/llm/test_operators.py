@@ -646,3 +646,14 @@ def test_links_found_from_one_end_count_at_both():
     assert {(i, i) for i in range(200)} <= set(zip(left.tolist(), right.tolist()))
     left, right = hnsw.linked_pairs(two, None, 0.93, find)
     assert (left < right).all()
+
+
+def test_graph_links_survive_bytes():
+    x = np.random.default_rng(3).normal(size=(700, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for part in (x, x[:1], x[:0]):
+        graph = hnsw.Graph(part)
+        again = hnsw.Graph.of(part, graph.links_of())
+        assert (again.start, again.top) == (graph.start, graph.top) and all((a == b).all() for a, b in zip(again.near, graph.near))
+        if len(part):
+            assert all((a == b).all() for a, b in zip(graph.search(x[:50], 20), again.search(x[:50], 20)))
