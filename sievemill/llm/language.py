@@ -3,8 +3,11 @@
 For each language, byte context trees of orders 0 to ``order`` hold how often each byte followed each context. A byte's
 code length in a context is that of its count among count + distinct symbols; a byte not seen there costs the escape,
 distinct / (count + distinct), and then its code length in the context one byte shorter; below order 0 all bytes are
-equal. The statistics are frozen after training, so the code length of every byte after every context is laid out once
-as a table, in 1/256 bit, and a text's code length in every language is a sum of table rows over all its bytes.
+equal. The statistics are frozen after training, so the code length of every byte after every context of the shorter
+orders and after the most frequent of the longest is laid out once as a table, and a text's code length in every language
+is a sum of table rows over all its bytes. After the other contexts it comes from a sorted list of the bytes seen there,
+or from the table after the escape; both ways give the same number. The logarithm of each count and each escape is rounded
+to 1/256 bit; nothing else is.
 """
 
 from __future__ import annotations
@@ -34,8 +37,12 @@ class Model:
     order: int
     classes: np.ndarray  # byte -> its class; 0 is any byte never seen
     n_classes: int
-    page_of: np.ndarray  # the classes of the last bytes as one number -> page
+    page_of: np.ndarray  # the classes of the last bytes as one number -> page, or -1 - place among the listed contexts
     cost: np.ndarray  # (pages * classes, languages), in 1/UNIT bit
+    listed_page: np.ndarray  # of each listed context: the page of its suffix
+    listed_escape: np.ndarray  # (listed contexts, languages): what a byte not seen there costs more than after the suffix
+    grams: np.ndarray  # sorted: listed contexts with a byte seen there, as numbers
+    gram_cost: np.ndarray  # (grams, languages)
 
     def lengths(self, text: bytes) -> np.ndarray:
         """Code length in each language, in 1/UNIT bit; a text is coded as if blanks stood before it."""
@@ -49,14 +56,31 @@ class Model:
             for i in range(k):
                 context *= a
                 context += c[i : i + n]
-            total += self.cost[self.page_of[context] * a + c[k:]].sum(axis=0, dtype=np.int64)
+            page, last = self.page_of[context], c[k:]
+            some = np.flatnonzero(page < 0)
+            place = -1 - page[some]
+            page[some] = self.listed_page[place]
+            rest = page * a + last
+            if len(some):
+                gram = context[some].astype(np.int64) * a + last[some]
+                at_gram = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
+                known = self.grams[at_gram] == gram
+                total += self.gram_cost[at_gram[known]].sum(axis=0, dtype=np.int64)
+                total += self.listed_escape[place[~known]].sum(axis=0, dtype=np.int64)
+                rest = np.delete(rest, some[known])
+            total += self.cost[rest].sum(axis=0, dtype=np.int64)
         return total
 
 
-def train(counts: dict[str, dict[int, int]], order: int = 3, max_contexts: int = 40_000) -> Model:
+def _units(ratio: float) -> int:
+    return round(math.log2(ratio) * UNIT)
+
+
+def train(counts: dict[str, dict[int, int]], order: int = 3, laid_out: int = 40_000) -> Model:
     """``counts``: per language, how often each string of order + 1 bytes (big-endian number) occurs.
 
-    Of the longest contexts the ``max_contexts`` most frequent are kept; a rarer one is coded as its suffix is.
+    The ``laid_out`` most frequent of the longest contexts become pages of the table, the others are listed. All count;
+    this only says which way a code length is found.
     """
     languages = sorted(counts)
     grams = {}
@@ -71,8 +95,8 @@ def train(counts: dict[str, dict[int, int]], order: int = 3, max_contexts: int =
     classes = np.where(seen, np.cumsum(seen), 0).astype(np.uint8 if seen.sum() < 255 else np.int16)
     a = int(seen.sum()) + 1
     unseen = 256 - (a - 1)
-    uniform = np.full(a, 8.0)
-    uniform[0] = 8.0 if unseen else 64.0
+    uniform = np.full(a, 8 * UNIT, np.int32)
+    uniform[0] = 8 * UNIT if unseen else 64 * UNIT
 
     weight: dict[tuple[int, ...], int] = defaultdict(int)
     following: list[list[dict[tuple[int, ...], dict[int, int]]]] = []
@@ -94,10 +118,10 @@ def train(counts: dict[str, dict[int, int]], order: int = 3, max_contexts: int =
                     weight[context] += m
             orders.append(tree)
         following.append(orders)
-    kept = {x for x, _ in sorted(weight.items(), key=lambda x: (-x[1], x[0]))[:max_contexts]}
+    kept = {x for x, _ in sorted(weight.items(), key=lambda x: (-x[1], x[0]))[:laid_out]}
 
     pages: dict[tuple[int, ...], int] = {}
-    vectors: list[np.ndarray] = []  # per page: (languages, classes), in bits
+    vectors: list[np.ndarray] = []  # per page: (languages, classes)
     for k in range(order + 1):
         contexts = {c for orders in following for c in orders[k]} if k < order else kept
         if not k:
@@ -108,17 +132,44 @@ def train(counts: dict[str, dict[int, int]], order: int = 3, max_contexts: int =
             for row, orders in enumerate(following):
                 if nxt := orders[k].get(context):
                     total, distinct = sum(nxt.values()), len(nxt)
-                    vector[row] += math.log2((total + distinct) / distinct)
+                    vector[row] += _units((total + distinct) / distinct)
                     for symbol, m in nxt.items():
-                        vector[row, symbol] = math.log2((total + distinct) / m)
+                        vector[row, symbol] = _units((total + distinct) / m)
             pages[context] = len(vectors)
             vectors.append(vector)
 
+    listed = sorted(set(weight) - kept)
+    listed_page = np.zeros(len(listed), np.int32)
+    listed_escape = np.zeros((len(listed), len(languages)), np.int32)
+    grams, gram_cost = [], []
+    for i, context in enumerate(listed):
+        listed_page[i] = pages[longest(context[1:], pages)]
+        below = vectors[listed_page[i]]
+        found = [orders[order].get(context, {}) for orders in following]
+        totals = [sum(nxt.values()) + len(nxt) for nxt in found]
+        listed_escape[i] = [_units(t / len(nxt)) if nxt else 0 for t, nxt in zip(totals, found)]
+        for symbol in sorted(set().union(*found)):
+            grams.append(packed_number((*context, symbol), a))
+            gram_cost.append([_units(t / nxt[symbol]) if symbol in nxt else int(below[row, symbol] + listed_escape[i, row]) for row, (t, nxt) in enumerate(zip(totals, found))])
+
     page_of = np.full((a,) * order, pages[()], np.int32)
     for context in sorted(pages, key=len):
         page_of[(slice(None),) * (order - len(context)) + context] = pages[context]
-    cost = np.round(np.stack(vectors).transpose(0, 2, 1).reshape(len(vectors) * a, len(languages)) * UNIT)
-    return Model(languages, order, classes, a, page_of.reshape(-1), np.minimum(cost, 32_767).astype(np.int16))
+    for i, context in enumerate(listed):
+        page_of[context] = -1 - i
+    cost = np.stack(vectors).transpose(0, 2, 1).reshape(len(vectors) * a, len(languages))
+    narrow = np.int16 if not cost.size or cost.max() <= np.iinfo(np.int16).max else np.int32
+    return Model(
+        languages, order, classes, a, page_of.reshape(-1), cost.astype(narrow), listed_page, listed_escape,
+        np.array(grams, np.int64), np.array(gram_cost, np.int32).reshape(len(grams), len(languages)),
+    )
+
+
+def packed_number(symbols: tuple[int, ...], base: int) -> int:
+    number = 0
+    for x in symbols:
+        number = number * base + x
+    return number
 
 
 def longest(context: tuple[int, ...], pages: dict) -> tuple[int, ...]:
@@ -151,7 +202,7 @@ def gram_counts(docs: DataFrame, order: int) -> DataFrame:
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn(spark: SparkSession, docs: DataFrame, order: int = 3, sample: int = 1500, max_contexts: int = 40_000) -> Model:
+def learn(spark: SparkSession, docs: DataFrame, order: int = 3, sample: int = 1500) -> Model:
     """Learn from ``doc_id, lang, text`` rows whose lang is not null.
 
     The bound of the training sample: about ``sample`` documents of each language, chosen by a hash of doc_id; with
@@ -167,7 +218,7 @@ def learn(spark: SparkSession, docs: DataFrame, order: int = 3, sample: int = 15
     counts: dict[str, dict[int, int]] = {lang: {} for lang in sizes}
     for lang, part in grams.groupby("lang"):
         counts[lang] = dict(zip(part["gram"].tolist(), part["n"].tolist()))
-    return train(counts, order, max_contexts)
+    return train(counts, order)
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:

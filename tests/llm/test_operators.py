@@ -165,6 +165,9 @@ def test_code_lengths_equal_a_plain_coder():
     for text in (b"abra", b"yellow bra", b"zzz", b"he\xffllo"):
         for i, lang in enumerate(model.languages):
             assert model.lengths(text)[i] / language.UNIT == pytest.approx(bits(lang, text), abs=0.01 * len(text))
+    for laid_out in (0, 1, 5):  # however few contexts are laid out, all count, and alike
+        other = language.train(counts, order, laid_out)
+        assert len(other.listed_page) and all((other.lengths(t) == model.lengths(t)).all() for t in (b"abra", b"yellow bra", b"zzz", b"he\xffllo", b""))
 
 
 def test_language_held_out_and_awkward(spark, sf, awkward, none):
