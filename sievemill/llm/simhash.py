@@ -145,10 +145,37 @@ def blocks_of(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def linked_stars(spark: SparkSession, prints: DataFrame, budget: int = 2, crowd: int = 4096, split_bits: int = 10) -> DataFrame:
+def whole_cells(batches: Iterator[pa.RecordBatch], column: int, held: int) -> Iterator[pa.Table]:
+    """Rows sorted by a column as tables of about ``held`` rows that split no value of it; a larger value comes whole."""
+    parts: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts.append(batch)
+        n += batch.num_rows
+        if n < held:
+            continue
+        cells = batch.column(column).to_numpy()
+        cut = int(np.searchsorted(cells, cells[-1]))  # the last value may go on
+        if cut or parts[0].column(column)[0].as_py() != cells[-1]:
+            if not cut:  # it began before this batch
+                table = pa.Table.from_batches(parts)
+                cut = int(np.searchsorted(table.column(column).to_numpy(), cells[-1]))
+                done, rest = table.slice(0, cut), table.slice(cut)
+            else:
+                done, rest = pa.Table.from_batches([*parts[:-1], batch.slice(0, cut)]), pa.Table.from_batches([batch.slice(cut)])
+            yield done
+            parts, n = rest.to_batches(), rest.num_rows
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+def linked_stars(spark: SparkSession, prints: DataFrame, budget: int = 2, crowd: int = 4096, split_bits: int = 10, held: int = 1 << 18) -> DataFrame:
     """a, b: stars over the ids of ``fp, id`` rows (distinct fp) within ``budget`` bits; connected as the links are.
 
-    A block value shared by over ``crowd`` fingerprints is split into node pairs ``split_bits`` deeper.
+    A block value shared by over ``crowd`` fingerprints is split into node pairs ``split_bits`` deeper. Cells are sorted
+    (by Spark, which spills) and joined about ``held`` rows at a time, so a task's memory does not grow with its rows.
     """
     blocks = blocks_of(budget)
     near = [m for m in range(1 << split_bits) if m.bit_count() <= budget]
@@ -171,21 +198,19 @@ def linked_stars(spark: SparkSession, prints: DataFrame, budget: int = 2, crowd:
     cells = cells.select("fp", "id", "r", F.xxhash64("r", "key", one, two).alias("cell"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = [b for b in batches if b.num_rows]
-        if not whole:
-            return
-        got = pa.Table.from_batches(whole)
-        fp, ids, r, cell = (got.column(i).to_numpy() for i in range(4))
-        x = fp.astype(np.int64).view(np.uint64).copy()
-        for i, (s, _) in enumerate(blocks):
-            x[r == i] = _rotated(x[r == i], s)
-        order = np.lexsort((x, cell))
-        x, ids, cell = x[order], ids[order], cell[order]
-        root = linked_roots(cell, x, budget)
-        rest = np.flatnonzero(root != np.arange(len(x)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[rest]), pa.array(ids[root[rest]])], ["a", "b"])
-
-    return map_arrow(cells.repartition(shuffle_width(spark), "cell").select("fp", "id", "r", "cell"), run, "a long, b long")
+        for got in whole_cells(batches, 3, held):
+            fp, ids, r, cell = (got.column(i).to_numpy() for i in range(4))
+            x = fp.astype(np.int64).view(np.uint64).copy()
+            for i, (s, _) in enumerate(blocks):
+                x[r == i] = _rotated(x[r == i], s)
+            order = np.lexsort((x, cell))
+            x, ids, cell = x[order], ids[order], cell[order]
+            root = linked_roots(cell, x, budget)
+            rest = np.flatnonzero(root != np.arange(len(x)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rest]), pa.array(ids[root[rest]])], ["a", "b"])
+
+    dealt = cells.repartition(shuffle_width(spark), "cell").sortWithinPartitions("cell")
+    return map_arrow(dealt.select("fp", "id", "r", "cell"), run, "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:

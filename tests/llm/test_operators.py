@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -237,6 +238,18 @@ def test_trie_join_on_dense_and_split_groups(spark, crowd):
     assert [found.get(i, i) for i in range(len(values))] == _components(len(values), lambda i, j: (values[i] ^ values[j]).bit_count() <= 2)
 
 
+@pytest.mark.parametrize("held", [1, 3, 7, 100])
+def test_cells_come_whole(held):
+    rng = np.random.default_rng(held)
+    cells = np.sort(rng.integers(0, 9, 60))
+    cells[20:45] = cells[20]
+    cells.sort()
+    batches = [pa.RecordBatch.from_arrays([pa.array(c), pa.array(np.arange(len(c)))], ["cell", "n"]) for c in np.split(cells, [0, 4, 5, 5, 30, 31, 52])]
+    got = [t.column("cell").to_numpy() for t in simhash.whole_cells(iter(batches), 0, held)]
+    assert (np.concatenate(got) == cells).all() and all(a[-1] != b[0] for a, b in zip(got, got[1:]))
+    assert list(simhash.whole_cells(iter(batches[:1]), 0, held)) == []
+
+
 def test_simhash_awkward(spark, awkward, none):
     rows = simhash.near_duplicates(spark, awkward).collect()
     assert len(rows) == len(AWKWARD)
