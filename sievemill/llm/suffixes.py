@@ -39,6 +39,8 @@ _ANCHOR, _SEED = 32, 12
 #: Starts of a run at most, so that its first and last window cover it.
 _RUN = 32
 _CHUNK = 1 << 17
+#: Windows hashed at a time: few enough that every intermediate result stays in a core's cache.
+_TILE = 1 << 14
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.random.default_rng(20_011).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -68,21 +70,28 @@ def _sliding_minimum(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (w - width)], h[w - width :]) if w > width else h
 
 
-def window_hashes(x: np.ndarray, seeds: bool = True) -> tuple[np.ndarray, ...]:
-    """For every window of ``x``: its anchor, and (unless only that is asked for) its seed, the smallest 12-byte hash,
-    and a hash of all of it."""
+def _hashes(x: np.ndarray, seeds: bool) -> tuple[np.ndarray, ...]:
     h1 = _BYTE[x]
     h2 = _joined(h1, h1, 1, 1)
     h4 = _joined(h2, h2, 2, 2)
     h8 = _joined(h4, h4, 4, 4)
     h16 = _joined(h8, h8, 8, 8)
     h32 = _joined(h16, h16, 16, 16)
-    # minima are small numbers; the factors spread them over all buckets again
-    anchor = _sliding_minimum(_mixed(h32), WINDOW - _ANCHOR + 1) * _SPREAD
     if not seeds:
-        return (anchor,)
+        # minima are small numbers; the factors spread them over all buckets again
+        return (_sliding_minimum(_mixed(h32), WINDOW - _ANCHOR + 1) * _SPREAD,)
     seed = _sliding_minimum(_mixed(_joined(h8, h4, 8, 4)), WINDOW - _SEED + 1) * _SPREAD
-    return anchor, seed, _joined(_joined(h32, h16, 32, 16), h2, 48, 2)
+    return seed, _joined(_joined(h32, h16, 32, 16), h2, 48, 2)
+
+
+def window_hashes(x: np.ndarray, seeds: bool) -> tuple[np.ndarray, ...]:
+    """For every window of ``x``: its anchor, or (``seeds``) its seed, the smallest 12-byte hash, and a hash of all of it."""
+    n = max(len(x) - WINDOW + 1, 0)
+    out = tuple(np.empty(n, np.uint64) for _ in range(1 + seeds))
+    for a in range(0, n, _TILE):
+        for column, values in zip(out, _hashes(x[a : a + _TILE + WINDOW - 1], seeds)):
+            column[a : a + _TILE] = values
+    return out
 
 
 # -- groups of documents -------------------------------------------------------------------------------------------
@@ -107,37 +116,28 @@ class Group:
         self.known, self.x, self.extras = join(known, bool), join(texts, np.uint8), extras
         self.at = np.cumsum(self.sizes) - self.sizes
 
-    def only(self, chosen: np.ndarray) -> Group:
-        """The chosen documents; ``origin``: where each began in this group."""
-        part = object.__new__(Group)
-        part.ids, part.sizes, part.known = self.ids[chosen], self.sizes[chosen], self.known[chosen]
-        part.x = np.concatenate([self.x[a : a + n] for a, n in zip(self.at[chosen], part.sizes)] or [self.x[:0]])
-        part.at = np.cumsum(part.sizes) - part.sizes
-        part.extras, part.origin = [], self.at[chosen]
-        return part
-
-    def chunks(self, seeds: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
-        """Start (in x), document number and hashes of all windows, a bounded number at a time."""
+    def runs(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """Runs of neighbouring windows of a document that have one anchor, a bounded number at a time: where the first
+        window starts (in x), how many there are, the document's number, the anchor."""
         first = 0
         n = len(self.ids)
         while first < n:
             last = first + 1
             while last < n and self.at[last] + self.sizes[last] - self.at[first] <= _CHUNK:
                 last += 1
-            lo, hi = int(self.at[first]), int(self.at[last - 1] + self.sizes[last - 1])
+            at, past = self.at[first:last], (self.at + self.sizes)[first:last] - WINDOW + 1
+            lo, hi = int(at[0]), int(past[-1]) + WINDOW - 1
             for a in range(lo, max(hi - WINDOW + 1, lo), _CHUNK):
-                b = min(a + _CHUNK + WINDOW - 1, hi)
-                if b - a < WINDOW:
-                    continue
-                hashes = window_hashes(self.x[a:b], seeds)
-                n_windows = b - a - WINDOW + 1
-                starts = np.arange(a, a + n_windows)
-                if last - first == 1:
-                    doc = np.full(n_windows, first)
-                else:
-                    doc = np.repeat(np.arange(first, last), self.sizes[first:last])[a - lo : a - lo + n_windows]
-                ok = (starts + WINDOW <= (self.at + self.sizes)[doc]) & self.known[doc]
-                yield starts[ok], doc[ok], *(h[ok] for h in hashes)
+                (anchor,) = window_hashes(self.x[a : min(a + _CHUNK + WINDOW - 1, hi)], seeds=False)
+                new = np.ones(len(anchor), bool)
+                np.not_equal(anchor[1:], anchor[:-1], out=new[1:])
+                # windows that start in a document but do not end in it are runs of their own, left out below
+                edges = np.concatenate([at, past]) - a
+                new[edges[(edges >= 0) & (edges < len(anchor))]] = True
+                begin = np.flatnonzero(new)
+                of = np.repeat(np.arange(last - first), np.diff(np.searchsorted(begin, at - a), append=len(begin)))
+                ok = np.flatnonzero((begin + a < past[of]) & self.known[first + of])
+                yield begin[ok] + a, np.diff(begin, append=len(anchor))[ok], first + of[ok], anchor[begin[ok]]
             first = last
 
 
@@ -165,16 +165,16 @@ def _slices(bucket: np.ndarray, buckets: int) -> np.ndarray:
 def anchors_of(group: Group) -> tuple[np.ndarray, np.ndarray]:
     """A group's distinct anchors in order, and whether two documents have each."""
     values, owners = [], []
-    for _, doc, anchor in group.chunks(seeds=False):
-        if len(anchor):
-            new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
-            values.append(anchor[new])
-            owners.append(doc[new].astype(np.int32))
+    for _, _, doc, anchor in group.runs():
+        values.append(anchor)
+        owners.append(doc.astype(np.int32))
     if not values:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
     value, owner = np.concatenate(values), np.concatenate(owners)
     values.clear()
     owners.clear()
+    if not len(value):
+        return value, np.zeros(0, bool)
     order = np.argsort(value)
     value, owner = value[order], group.ids[owner[order]]
     del order
@@ -219,38 +219,35 @@ class Snippets:
     ``run_of``, ``start``, ``count``, ``doc``: all runs and the distinct run each is; ``first``: a run for each distinct.
     """
 
-    def __init__(self, whole_group: Group, shared: np.ndarray, places: int, buckets: int):
+    def __init__(self, group: Group, shared: np.ndarray, places: int, buckets: int):
         """``shared``: places of the anchors, of which there are so many buckets, that another document has too, sorted."""
         starts, counts, docs, keys, seeds = [], [], [], [], []
-        hit_docs = np.zeros(len(whole_group.ids), bool)
-
-        def hits(doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-            """Windows with shared anchors; neighbours with one anchor are looked up once."""
-            if not len(anchor) or not len(shared):
-                return np.zeros(len(anchor), bool)
-            begin = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
-            place = _place(anchor[begin], places)
-            at = np.searchsorted(shared, place).clip(max=len(shared) - 1)
-            return np.repeat(shared[at] == place, np.diff(np.append(begin, len(anchor))))
-
-        for _, doc, anchor in whole_group.chunks(seeds=False):
-            hit_docs[doc[hits(doc, anchor)]] = True
-        number = np.flatnonzero(hit_docs)
-        group = whole_group.only(number)
-        shift = group.origin - group.at
-        for start, doc, anchor, seed, whole in group.chunks():
-            hit = np.flatnonzero(hits(doc, anchor))
+        # most anchors are not shared; a table by their last bits tells that of nearly all, without a search
+        low = np.uint64((1 << min(24, 3 + len(shared).bit_length())) - 1)
+        seen = np.zeros(int(low) + 1, bool)
+        seen[shared & np.int64(low)] = True
+        for begin, n, doc, anchor in group.runs():
+            hit = np.flatnonzero(seen[anchor & low])
+            place = _place(anchor[hit], places)
+            hit = hit[shared[np.searchsorted(shared, place).clip(max=len(shared) - 1)] == place] if len(hit) else hit
             if not len(hit):
                 continue
-            s, d, m, w = start[hit], doc[hit], seed[hit], whole[hit]
-            new = np.concatenate([[True], (s[1:] != s[:-1] + 1) | (d[1:] != d[:-1]) | (m[1:] != m[:-1])])
+            begin, n, doc = begin[hit], n[hit], doc[hit]
+            # windows with shared anchors, stretch by stretch (documents lie apart), with their hashes
+            new = np.flatnonzero(np.concatenate([[True], begin[1:] != begin[:-1] + n[:-1]]))
+            begin, n = begin[new], np.add.reduceat(n, new)
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            of_stretch = np.repeat(np.arange(len(n)), n)
+            s, d = begin[of_stretch] + within, doc[new][of_stretch]
+            m, w = (h[np.arange(len(s)) + (WINDOW - 1) * of_stretch] for h in window_hashes(_cut_out(group.x, begin, n + WINDOW - 1), seeds=True))
+            new = np.concatenate([[True], (s[1:] != s[:-1] + 1) | (m[1:] != m[:-1])])
             begin = np.flatnonzero(new)
             place = np.arange(len(s)) - np.repeat(begin, np.diff(np.append(begin, len(s))))
             begin = np.flatnonzero(place % _RUN == 0)
             end = np.append(begin[1:], len(s)) - 1
-            starts.append(s[begin] + shift[d[begin]])
+            starts.append(s[begin])
             counts.append(end - begin + 1)
-            docs.append(number[d[begin]])
+            docs.append(d[begin])
             seeds.append(m[begin])
             keys.append(_mixed(w[begin]) * np.uint64(3) + _mixed(w[end] + (end - begin).astype(np.uint64)))
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
@@ -266,7 +263,7 @@ class Snippets:
         self.bucket = bucket[self.first]
         self.slice = (seed[self.first] >> np.uint64(8)).astype(np.uint8)
         self.owner = np.full(len(self.first), np.iinfo(np.int64).max)
-        np.minimum.at(self.owner, self.run_of, whole_group.ids[self.doc])
+        np.minimum.at(self.owner, self.run_of, group.ids[self.doc])
 
     def rows(self, group: Group, buckets: int) -> Iterator[tuple[int, bytes]]:
         """Each bucket's snippets: their number, starts, slices, smallest doc_ids and bytes."""
@@ -368,7 +365,7 @@ def _sharing(data: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int =
         if not len(n):
             continue
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        whole = window_hashes(data[np.repeat(begin[a:b], n) + within])[2]
+        whole = window_hashes(data[np.repeat(begin[a:b], n) + within], seeds=True)[1]
         ok = np.flatnonzero((within + WINDOW <= np.repeat(n, n))[: len(whole)])
         hashes.append(whole[ok])
         owner.append(np.repeat(np.arange(a, min(b, len(size))), n)[ok])

@@ -552,6 +552,55 @@ def test_merged_transforms_sort_and_count_prefixes():
     assert [a != b for a, b in zip(ordered, ordered[1:])] == [a != b for a, b in zip(block.tolist(), block.tolist()[1:])]
 
 
+def _group(texts):
+    return suffixes.Group([suffixes.pack_group(list(range(len(texts))), texts, [None] * len(texts))])
+
+
+def test_only_windows_with_shared_anchors_get_seeds(monkeypatch):
+    rng = np.random.default_rng(21)
+    noise = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (40_000, 60_000, 300_000)]
+    passage = bytes(rng.integers(0, 256, 200, dtype=np.uint8))
+    group = _group([noise[0] + passage, noise[1] + passage + noise[2], b"", b"x" * 49])
+    value, twice = suffixes.anchors_of(group)
+    hashed, hashes = {False: [], True: []}, suffixes.window_hashes
+
+    def counted(x, seeds=True):
+        hashed[seeds].append(len(x))
+        return hashes(x, seeds)
+
+    monkeypatch.setattr(suffixes, "window_hashes", counted)
+    snippets = suffixes.Snippets(group, np.sort(suffixes._place(value[twice], 8)), 8, 2)
+    monkeypatch.undo()
+    # the passage's windows, and on either side the few that overlap it and have one of its anchors
+    at = {start + k for start, count in zip(snippets.start.tolist(), snippets.count.tolist()) for k in range(count)}
+    want = [i for a in (40_000, 100_200) for i in range(a, a + 151)]
+    assert at >= set(want) and all(any(a - 18 <= i <= a + 168 for a in (40_000, 100_200)) for i in at)
+    # once over the whole group for anchors, and seeds only where anchors are shared
+    assert sum(hashed[False]) <= 1.01 * len(group.x) and sum(hashed[True]) <= 2 * (200 + 2 * 18)
+
+
+def test_anchor_runs_equal_brute_force():
+    rng = np.random.default_rng(22)
+    texts = [rng.choice(np.frombuffer(b"abcd", np.uint8), int(n)).tobytes() for n in [0, 49, 50, 51, *rng.integers(0, 400, 60), 140_000, 0, 131_121, 70_000, 65_000, 49]] + [b"a" * 20_000, b""]
+    group = _group(texts)
+    group.known[5] = False
+    got = [(int(b), int(n), int(d), int(a)) for part in group.runs() for b, n, d, a in zip(*part)]
+    anchors = {}
+    for b, n, d, a in got:
+        for i in range(b, b + n):
+            assert i not in anchors
+            anchors[i] = (d, a)
+    want = {}
+    for d, (at, size) in enumerate(zip(group.at.tolist(), group.sizes.tolist())):
+        if size >= 50 and group.known[d]:
+            for k, a in enumerate(suffixes._hashes(group.x[at : at + size], False)[0].tolist()):
+                want[at + k] = (d, a)
+    assert anchors == want
+    # maximal, save at the ends of the parts a long document is taken in
+    joined = sum(b0 + n0 == b1 and (d0, a0) == (d1, a1) for (b0, n0, d0, a0), (b1, _, d1, a1) in zip(got, got[1:]))
+    assert joined <= 1
+
+
 def test_repeats_awkward(spark, awkward, none):
     rows = suffixes.remove_repeats(spark, awkward.select("doc_id", "text")).collect()
     got = {r["doc_id"]: r for r in rows}
